@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from seasonlark.llm.simhash_anchors import op5_simhash_anchors
+from seasonlark.llm import divergence_rules, rule_ensemble, simhash_anchors, substring_cover
 
 
 def queries() -> dict:
-    return {"op5_simhash_anchors": op5_simhash_anchors}
+    return {
+        "op1_rule_ensemble": rule_ensemble.op1_rule_ensemble,
+        "op3_divergence_rules": divergence_rules.op3_divergence_rules,
+        "op5_simhash_anchors": simhash_anchors.op5_simhash_anchors,
+        "op6_substring_cover": substring_cover.op6_substring_cover,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_substring_cover": substring_cover.OP6_SQL}
