@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from seasonlark.llm import divergence_rules, rule_ensemble, simhash_anchors, substring_cover
+from seasonlark.llm import divergence_rules, latent_decontamination, ordinal_toxicity, rule_ensemble, simhash_anchors, substring_cover, token_shards
 
 
 def queries() -> dict:
     return {
         "op1_rule_ensemble": rule_ensemble.op1_rule_ensemble,
+        "op2_latent_decontamination": latent_decontamination.op2_latent_decontamination,
         "op3_divergence_rules": divergence_rules.op3_divergence_rules,
+        "op4_ordinal_toxicity": ordinal_toxicity.op4_ordinal_toxicity,
         "op5_simhash_anchors": simhash_anchors.op5_simhash_anchors,
         "op6_substring_cover": substring_cover.op6_substring_cover,
+        "op9_token_shards": token_shards.op9_token_shards,
     }
 
 
