@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seasonlark.llm import divergence_rules, latent_decontamination, ordinal_toxicity, rule_ensemble, simhash_anchors, substring_cover, token_shards
+from seasonlark.llm import divergence_rules, latent_decontamination, ordinal_toxicity, piece_lattice, rule_ensemble, simhash_anchors, substring_cover, token_shards
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_simhash_anchors": simhash_anchors.op5_simhash_anchors,
         "op6_substring_cover": substring_cover.op6_substring_cover,
         "op9_token_shards": token_shards.op9_token_shards,
+        "op10_piece_lattice": piece_lattice.op10_piece_lattice,
     }
 
 
