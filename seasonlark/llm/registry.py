@@ -2,20 +2,53 @@
 
 from __future__ import annotations
 
-from seasonlark.llm import divergence_rules, latent_decontamination, ordinal_toxicity, piece_lattice, rule_ensemble, simhash_anchors, substring_cover, token_shards
+from functools import wraps
+
+from seasonlark.llm import (
+    divergence_rules,
+    latent_decontamination,
+    license_scan,
+    ordinal_toxicity,
+    piece_lattice,
+    rule_ensemble,
+    simhash_anchors,
+    substring_cover,
+    token_shards,
+    wrapper_induction,
+)
+
+#: Rows of an Arrow batch: texts can be long, and a Python worker holds a batch or two.
+BATCH_ROWS = 1000
+
+
+def tuned(spark) -> None:
+    """Small Arrow batches for tables of long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def _query(f):
+    @wraps(f)
+    def run(spark, sf_dir):
+        tuned(spark)
+        return f(spark, sf_dir)
+
+    return run
 
 
 def queries() -> dict:
-    return {
-        "op1_rule_ensemble": rule_ensemble.op1_rule_ensemble,
-        "op2_latent_decontamination": latent_decontamination.op2_latent_decontamination,
-        "op3_divergence_rules": divergence_rules.op3_divergence_rules,
-        "op4_ordinal_toxicity": ordinal_toxicity.op4_ordinal_toxicity,
-        "op5_simhash_anchors": simhash_anchors.op5_simhash_anchors,
-        "op6_substring_cover": substring_cover.op6_substring_cover,
-        "op9_token_shards": token_shards.op9_token_shards,
-        "op10_piece_lattice": piece_lattice.op10_piece_lattice,
-    }
+    own = [
+        rule_ensemble.op1_rule_ensemble,
+        latent_decontamination.op2_latent_decontamination,
+        divergence_rules.op3_divergence_rules,
+        ordinal_toxicity.op4_ordinal_toxicity,
+        simhash_anchors.op5_simhash_anchors,
+        substring_cover.op6_substring_cover,
+        wrapper_induction.op7_wrapper_induction,
+        license_scan.op8_license_scan,
+        token_shards.op9_token_shards,
+        piece_lattice.op10_piece_lattice,
+    ]
+    return {f.__name__: _query(f) for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
