@@ -8,6 +8,7 @@ before.  Where the session names no folder (tests on one machine) a default is u
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +37,10 @@ def materialise(df: DataFrame, tag: str = "step") -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps (it does so when the JVM collects)."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for pause in (0.5, 1.0):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
 
 
 def remove(df: DataFrame) -> None:
