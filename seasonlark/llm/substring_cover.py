@@ -5,7 +5,7 @@ in both: anchors are short windows that start where ``position mod period`` is i
 difference cover, and any two residues are brought into the cover by one common shift
 smaller than the period.  So only anchors are dealt out and counted.  Windows that hold
 an anchor seen in another place are extended to their full length and grouped by a 96-bit
-key of their words; the smallest (document, start) of each group is the one that stays.
+key of their words; the smallest document of each group keeps its first such window.
 Groups are reduced by counts and minima alone, so a passage that a third of all
 documents share costs one row per task after the map-side combine.
 """
@@ -101,11 +101,6 @@ class Batch:
         k2 = _rolling(self.h ^ self.h >> np.uint64(17), self.window, _M2)[starts] >> np.uint64(32)
         return _rolling(self.h, self.window, _M1)[starts].view(np.int64), k2.astype(np.int64)
 
-    def tags(self, starts: np.ndarray) -> np.ndarray:
-        """Start position, with 31 bits of the text's digest above: rows that share an id but not the text differ."""
-        texts = np.array([xxhash.xxh32_intdigest(b" ".join(w)) >> 1 for w in self.words], np.int64)
-        return texts[self.doc[starts]] << 32 | self.pos[starts]
-
     def first_in_doc(self, starts: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
         """Whether each start is the first of its key in its own document."""
         order = np.lexsort((starts, k2, k1, self.doc[starts]))
@@ -141,21 +136,25 @@ def shared_anchors(docs: DataFrame, window: int = 20) -> DataFrame:
     return rows.join(common, "h").groupBy("k").agg(F.collect_list("h").alias("shared"))
 
 
-def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20) -> DataFrame:
+def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove from each text the words covered by a window that also starts earlier.
 
-    Returns ``(doc_id, n_words, n_removed, kept)``: one row per input row; ``kept`` has the
-    words that stay, joined by one space.  A null text has no words.  Ids order the
-    documents, null first; rows with equal id and equal text count as the same document,
-    rows with equal id and another text are ordered by a digest of the text.  Texts shorter
+    Returns ``(doc_id, n_words, n_removed, kept, *carry)``: one row per input row; ``kept`` has
+    the words that stay, joined by one space; the columns named in ``carry`` come along.  A null text has no words.  Ids order the
+    documents, null first; rows that share an id stand at the same place, so none of them
+    loses words to another.  Texts shorter
     than the window stay as they are.  An empty table gives no rows; other columns are ignored.
     """
     if window < PERIOD + 2:
         raise ValueError(f"window must be at least {PERIOD + 2} words")
-    base = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("k"), F.col(text).alias("text"))
-    shared = materialise(shared_anchors(base, window), "anchors")
+    key, words = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("k"), F.col(text).alias("text")
+    shared = materialise(shared_anchors(docs.select(key, words), window), "anchors")
     release(docs.sparkSession)
+    own = {f"carry{i}": F.col(c) for i, c in enumerate(carry)}
+    base = docs.select(key, words, *[c.alias(n) for n, c in own.items()])
     marked = base.join(shared, "k", "left")
+    carried = list(own)
+    types = {n: f.dataType.simpleString() for n, f in zip(own, (docs.select(*carry).schema if carry else []), strict=True)}
 
     def windows(frames):
         for f in _split(frames):
@@ -164,24 +163,23 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
             k1, k2 = b.keys(at)
             own = b.first_in_doc(at, k1, k2)
             at, k1, k2 = at[own], k1[own], k2[own]
-            yield pd.DataFrame({"k1": k1, "k2": k2, "k": f["k"].to_numpy(np.int64)[b.doc[at]], "tag": b.tags(at)})
+            yield pd.DataFrame({"k1": k1, "k2": k2, "k": f["k"].to_numpy(np.int64)[b.doc[at]]})
 
-    rows = marked.mapInPandas(windows, "k1 bigint, k2 bigint, k bigint, tag bigint")
-    earliest = rows.groupBy("k1", "k2").agg(F.min(F.struct("k", "tag")).alias("f"))
-    firsts = earliest.groupBy(F.col("f.k").alias("k")).agg(F.collect_list("f.tag").alias("firsts"))
+    rows = marked.mapInPandas(windows, "k1 bigint, k2 bigint, k bigint")
+    earliest = rows.groupBy("k1", "k2").agg(F.min("k").alias("k"))
+    firsts = earliest.groupBy("k").agg(F.collect_list("k1").alias("firsts"))
 
     def strip(frames):
         for f in _split(frames):
             b = Batch(f["text"], window)
             at = b.candidates(list(f["shared"]))
-            tags = b.tags(at)
+            k1, k2 = b.keys(at)
             cuts = np.searchsorted(b.doc[at], np.arange(len(b.n) + 1))
-            again = np.ones(len(at), bool)
+            again = ~b.first_in_doc(at, k1, k2)
             for i, s in enumerate(f["firsts"]):
-                if s is not None and len(s) and cuts[i] < cuts[i + 1]:
+                if cuts[i] < cuts[i + 1]:
                     part = slice(cuts[i], cuts[i + 1])
-                    again[part] = ~np.isin(tags[part], np.asarray(s, np.int64))
-            # a window that repeats one of its own document is no group's first
+                    again[part] |= ~np.isin(k1[part], np.asarray([] if s is None else s, np.int64))
             hits = at[again]
             cover = np.zeros(len(b.h) + 1, np.int64)
             np.add.at(cover, hits, 1)
@@ -192,10 +190,14 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
                 g = gone[b.first[i] : b.first[i + 1]]
                 removed.append(int(g.sum()))
                 kept.append(b" ".join([w for w, x in zip(ws, g.tolist(), strict=True) if not x] if removed[-1] else ws).decode("utf-8", "surrogatepass"))
-            yield pd.DataFrame({"k": f["k"].to_numpy(np.int64), "n_words": b.n, "n_removed": np.array(removed, np.int64), "kept": kept})
-
-    out = marked.join(firsts, "k", "left").mapInPandas(strip, "k bigint, n_words bigint, n_removed bigint, kept string")
-    return out.select(F.nullif("k", F.lit(NO_ID)).alias("doc_id"), "n_words", "n_removed", "kept")
+            out = pd.DataFrame({"k": f["k"].to_numpy(np.int64), "n_words": b.n, "n_removed": np.array(removed, np.int64), "kept": kept})
+            for c in carried:
+                out[c] = f[c].to_numpy()
+            yield out
+
+    schema = "k bigint, n_words bigint, n_removed bigint, kept string" + "".join(f", {n} {t}" for n, t in types.items())
+    out = marked.join(firsts, "k", "left").mapInPandas(strip, schema)
+    return out.select(F.nullif("k", F.lit(NO_ID)).alias("doc_id"), "n_words", "n_removed", "kept", *[F.col(n).alias(c) for n, c in zip(own, carry, strict=True)])
 
 
 def op6_substring_cover(spark, sf_dir: str) -> DataFrame:

@@ -48,10 +48,10 @@ def test_matches_brute_force_on_planted_runs(spark):
 
 def test_nulls_and_repeated_rows(spark):
     run = " ".join(f"a{i}" for i in range(25))
-    rows = [(None, run), (1, run), (1, run), (2, "b " + run + " c"), (2, "other"), (3, None)]
+    rows = [(None, run), (1, run), (1, run), (2, "b " + run + " c"), (2, "other"), (3, None), (4, "new " * 25), (4, "new " * 25)]
     out = S.dedup_substrings(spark.createDataFrame([(*r, 1, "s", "t") for r in rows], SCHEMA)).collect()
     got = sorted(((r.doc_id or 0), r.n_words, r.n_removed) for r in out)
-    assert got == [(0, 25, 0), (1, 25, 25), (1, 25, 25), (2, 1, 0), (2, 27, 25), (3, 0, 0)]
+    assert got == [(0, 25, 0), (1, 25, 25), (1, 25, 25), (2, 1, 0), (2, 27, 25), (3, 0, 0), (4, 25, 24), (4, 25, 24)]
     assert S.dedup_substrings(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
