@@ -60,7 +60,8 @@ def cosim(a: list[Column], b: list[Column]) -> Column:
 
 def curve_distance(a: list[Column], b: list[Column], ddof: int = 1) -> Column:
     """Distance of two standardised curves of 365 days, from their harmonics alone (closed form)."""
-    return F.sqrt(2.0 * (DAYS - ddof) * F.greatest(1 - cosim(a, b), F.lit(0.0)))
+    gap = 1 - cosim(a, b)
+    return F.sqrt(2.0 * (DAYS - ddof) * F.when(gap < 0, 0.0).otherwise(gap))
 
 
 def raw_curve_distance(const_a: Column, a: list[Column], const_b: Column, b: list[Column]) -> Column:

@@ -36,7 +36,7 @@ def simple_ols(df: DataFrame, keys: list[str], x: Column, y: Column, intercept:
         agg = base.groupBy(*keys).agg(F.count(F.when(ok, 1)).alias("n"), s(F.col("__x") * F.col("__x")).alias("sxx"), s(F.col("__x") * F.col("__y")).alias("sxy"), s(F.col("__y") * F.col("__y")).alias("syy"))
         agg = agg.withColumn("slope", F.col("sxy") / F.nullif("sxx", F.lit(0.0))).withColumn("intercept", F.lit(0.0)).withColumn("df", F.col("n") - 1)
         sse = F.greatest(F.col("syy") - F.col("slope") * F.col("sxy"), F.lit(0.0))
-        agg = agg.withColumn("r2", 1 - sse / F.nullif("syy", F.lit(0.0)))
+        agg = agg.withColumn("r2", F.when(F.col("slope").isNotNull(), 1 - sse / F.nullif("syy", F.lit(0.0))))
     error = F.sqrt(sse / F.nullif(F.greatest("df", F.lit(0)), F.lit(0)) / F.nullif("sxx", F.lit(0.0)))
     out = agg.withColumn("t", F.when(error > 0, F.col("slope") / F.nullif(error, F.lit(0.0))))
     return out.withColumn("p", t_sf(F.col("t"), F.col("df").cast("double"))).select(*keys, "n", "slope", "intercept", "r2", "t", "p")

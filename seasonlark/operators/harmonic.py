@@ -78,7 +78,7 @@ def harmonic_fit(df: DataFrame, keys: list[str], ts: str, value: str, n_freq: in
     """
     t = time_radians(F.col(ts))
     mean = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.avg(t).alias("__t0"), F.avg(value).alias("mean"))
-    timed = df.withColumn("__t", t).join(mean, keys)
+    timed = df.select(*keys, ts, value, t.alias("__t")).join(mean, keys)
     xs = regressors(F.col("__t"), n_freq, trend, intercept)
     if trend and intercept:
         xs["t"] = F.col("__t") - F.col("__t0")
@@ -87,9 +87,9 @@ def harmonic_fit(df: DataFrame, keys: list[str], ts: str, value: str, n_freq: in
     if trend and intercept:
         summary = summary.withColumn("constant", F.col("constant") - F.col("t") * F.col("__t0"))
     summary = summary.withColumn("phase", F.atan2("sin_1", "cos_1")).withColumn("amplitude", F.hypot("sin_1", "cos_1"))
-    parts = [F.col(name) * c for name, c in regressors(F.col("__t"), n_freq, trend, intercept).items()]
-    coef = summary.select(*keys, *[c for c in summary.columns if c in regressors(F.lit(0.0), n_freq, trend, intercept)])
-    fitted = df.withColumn("__t", t).join(coef, keys).withColumn("fitted", reduce(lambda a, b: a + b, parts))
+    parts = [F.col(f"__c_{name}") * c for name, c in regressors(F.col("__t"), n_freq, trend, intercept).items()]
+    coef = summary.select(*keys, *[F.col(c).alias(f"__c_{c}") for c in regressors(F.lit(0.0), n_freq, trend, intercept)])
+    fitted = df.select(*keys, ts, value, t.alias("__t")).join(coef, keys).withColumn("fitted", reduce(lambda a, b: a + b, parts))
     peak = fitted.groupBy(*keys).agg(F.pmod(F.max_by("__t", "fitted"), F.lit(2 * pi)).alias("t_max"))
     summary = summary.join(peak, keys, "left").drop("__t0")
     return summary, fitted.select(*keys, ts, value, "fitted")
@@ -118,7 +118,7 @@ def permute_time(times: DataFrame, ts: str, seeds: int) -> DataFrame:
 
 
 def harmonic_permutation_test(df: DataFrame, keys: list[str], ts: str, value: str, n_perm: int = 20, max_p: float = 0.001, n_freq: int = 2) -> DataFrame:
-    """``(keys, r2, fails, p, significant)``: fails counts permutations whose r2 is at least the true one, p = fails / n_perm."""
+    """``(keys, r2, fails, perm_p, significant)``: fails counts permutations whose r2 is at least the true one, perm_p = fails / n_perm."""
     true, _ = harmonic_fit(df, keys, ts, value, n_freq)
     moves = permute_time(df, ts, n_perm)
     moved = df.select(*keys, ts, value).join(F.broadcast(moves), ts)
@@ -128,4 +128,4 @@ def harmonic_permutation_test(df: DataFrame, keys: list[str], ts: str, value: st
     null = ols(moved, [*keys, "seed"], F.col(value), xs).select(*keys, F.col("r2").alias("r2_perm"))
     hits = true.select(*keys, "r2").join(null, keys)
     out = hits.groupBy(*keys, "r2").agg(F.sum((F.col("r2_perm") >= F.col("r2")).cast("int")).alias("fails"))
-    return out.withColumn("p", F.col("fails") / n_perm).withColumn("significant", (F.col("p") <= max_p).cast("int"))
+    return out.withColumn("perm_p", F.col("fails") / n_perm).withColumn("significant", (F.col("perm_p") <= max_p).cast("int"))

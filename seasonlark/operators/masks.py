@@ -67,7 +67,7 @@ def overall_mask(parts: DataFrame, strict: bool = False, min_evenness: float = 0
 
     Missing evenness counts as 0, and evenness is clamped to [0, 1]; any other missing part masks.
     """
-    even = F.coalesce(F.greatest(F.least(F.col("evenness"), F.lit(1.0)), F.lit(0.0)), F.lit(0.0))
+    even = F.greatest(F.least(F.coalesce("evenness", F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
     ok = (even >= min_evenness) & (F.col("land") > (1 if strict else 0)) & (F.col("availability") >= min_availability) & (F.col("significant") == 1)
     return parts.withColumn("ok", F.coalesce(ok, F.lit(False)).cast("int"))
 

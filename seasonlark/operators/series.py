@@ -23,7 +23,7 @@ def percentile_clip(df: DataFrame, value: str, low: float, high: float) -> DataF
     """Rescale between two exact percentiles and clip to [0, 1]."""
     cut = df.agg(F.percentile(value, F.lit(low)).alias("__a"), F.percentile(value, F.lit(high)).alias("__b"))
     v = (F.col(value) - F.col("__a")) / F.nullif(F.col("__b") - F.col("__a"), F.lit(0.0))
-    return df.join(F.broadcast(cut)).withColumn(value, F.greatest(F.least(v, F.lit(1.0)), F.lit(0.0))).drop("__a", "__b")
+    return df.join(F.broadcast(cut)).withColumn(value, F.when(v.isNotNull(), F.greatest(F.least(v, F.lit(1.0)), F.lit(0.0)))).drop("__a", "__b")
 
 
 def rotate_to_min(df: DataFrame, keys: list[str], idx: str, value: str, nsteps: int = 7) -> DataFrame:
