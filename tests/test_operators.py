@@ -62,7 +62,7 @@ def test_harmonic_fit_and_permutations(spark):
         for k in range(60):
             d = start + timedelta(days=int(11 * k))
             t = 2 * np.pi * (d - datetime(2000, 1, 1)).total_seconds() / (365.25 * 86400)
-            rows.append((p, d, float(3 + 0.1 * t + (2 * np.sin(t) + 0.5 * np.cos(2 * t)) * (p > 0) + rng.normal(0, 0.3)), float(t)))
+            rows.append((p, d, float(3 + (0.1 * t + 2 * np.sin(t) + 0.5 * np.cos(2 * t)) * (p > 0) + rng.normal(0, 0.3)), float(t)))
     rows += [(7, start, 1.0, 0.0), (8, start, None, 0.0)]
     df = spark.createDataFrame(rows, "p int, ts timestamp, v double, t double")
     fit, fitted = harmonic.harmonic_fit(df, ["p"], "ts", "v")
