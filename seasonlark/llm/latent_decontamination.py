@@ -93,14 +93,33 @@ def _rows(terms: np.ndarray, first: np.ndarray, idf: np.ndarray):
 
 
 def _project(row: np.ndarray, t: np.ndarray, val: np.ndarray, n: int, basis: np.ndarray) -> np.ndarray:
-    """Sparse rows times a dense matrix; entries are sorted by row."""
+    """Sparse rows times a dense matrix; entries are sorted by row, and the j-th entries of all rows are added together."""
     out = np.zeros((n, basis.shape[1]), np.float32)
-    if len(row):
-        heads = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        out[row[heads]] = np.add.reduceat(basis[t] * val[:, None].astype(np.float32), heads, axis=0)
+    if not len(row):
+        return out
+    val = val.astype(np.float32)
+    heads = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    sizes = np.diff(np.append(heads, len(row)))
+    order = np.argsort(-sizes, kind="stable")
+    heads, sizes = heads[order], sizes[order]
+    acc = np.zeros((len(heads), basis.shape[1]), np.float32)
+    for j in range(int(sizes[0])):
+        live = int(np.searchsorted(-sizes, -j, side="left"))
+        at = heads[:live] + j
+        acc[:live] += basis[t[at]] * val[at, None]
+    out[row[heads]] = acc
     return out
 
 
+def _project_back(row: np.ndarray, t: np.ndarray, val: np.ndarray, y: np.ndarray, acc: np.ndarray) -> None:
+    """Add the transpose of the sparse rows times ``y`` to ``acc``, term by term."""
+    order = np.argsort(t, kind="stable")
+    row, t, val = row[order], t[order], val[order].astype(np.float32)
+    heads = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+    for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(t)], strict=True):
+        acc[t[a]] += val[a:b] @ y[row[a:b]]
+
+
 def _item_rows(items: list[list[int]], idf: np.ndarray) -> np.ndarray:
     out = np.zeros((len(items), len(idf)))
     for i, ts in enumerate(items):
@@ -148,9 +167,7 @@ def right_singular_vectors(coded: DataFrame, idf: np.ndarray, items: np.ndarray,
             if not len(row):
                 continue
             y = _project(row, t, val, len(owner), omega)
-            order = np.argsort(t, kind="stable")
-            heads = np.flatnonzero(np.concatenate([[True], np.diff(t[order]) != 0]))
-            acc[t[order][heads]] += np.add.reduceat(y[row[order]] * val[order, None].astype(np.float32), heads, axis=0)
+            _project_back(row, t, val, y, acc)
             rows += len(np.unique(row))
         if rows:
             for s, part in enumerate(np.array_split(acc, SLICES)):
@@ -215,12 +232,17 @@ def _search(docs: DataFrame, known: list, doc_id: str, text: str) -> DataFrame:
     queries = (items @ basis).astype(np.float32)
     norm = np.linalg.norm(queries, axis=1, keepdims=True)
     queries /= np.where(norm > 0, norm, 1)
+    # no item's cosine to a passage exceeds the sum of its terms' largest weights in any item
+    limit = np.abs(queries @ basis.T).max(axis=0).astype(np.float64)
     rare = [np.unique([t for t in ts if idf[t] > 0]) for ts in coded_items]
 
     def search(frames):
         for doc, terms, first in _chunks(frames):
             row, t, val, owner, number = _rows(terms, first, idf)
-            near = _project(row, t, val, len(owner), basis) @ queries.T
+            hope = np.bincount(row, val * limit[t], len(owner)) >= COSINE - 1e-4
+            use = hope[row]
+            near = np.zeros((len(owner), len(queries)), np.float32)
+            near[hope] = _project(row[use], t[use], val[use], len(owner), basis)[hope] @ queries.T
             best: dict[tuple[int, int], tuple] = {}
             for r, q in zip(*np.nonzero(near >= COSINE), strict=True):
                 d, item = int(owner[r]), coded_items[q]
