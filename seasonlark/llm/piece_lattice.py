@@ -28,8 +28,8 @@ from seasonlark.scratch import materialise, release
 
 META = "▁"
 #: So many of the most frequent chunks are sent to every task.
-FREQUENT = 300_000
-#: Longer chunks are merged by a heap in their own row, since a lattice costs the square of the length.
+FREQUENT = 400_000
+#: Longer chunks are merged by a heap in their own row: a lattice costs the square of the length, and its boundaries are bits of a bigint.
 LATTICE_CHARS = 48
 CHUNKS_A_PARTITION = 60_000
 NO_ID = -(2**63)
@@ -43,7 +43,8 @@ class Model:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = sp.get_piece_size()
-        self.pieces = {sp.id_to_piece(i): (i, sp.get_score(i)) for i in range(self.size) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+        # inside, a space stands for the meta symbol
+        self.pieces = {sp.id_to_piece(i).replace(META, " "): (i, sp.get_score(i)) for i in range(self.size) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
         self.byte_base = sp.piece_to_id("<0x00>")
         if [sp.piece_to_id(f"<0x{i:02X}>") for i in range(256)] != list(range(self.byte_base, self.byte_base + 256)):
             raise ValueError("byte pieces must be consecutive")
@@ -53,26 +54,39 @@ class Model:
 
     def _chunk_pattern(self) -> str:
         """Cuts where no piece crosses: between letters and other characters and around digits, or else before spaces only."""
-        kind = lambda c: "S" if c == META else "N" if re.match(r"\d", c) else "L" if re.match(r"[^\W\d_]", c) else "P"
-        odd = sorted({x for p in self.pieces for a, b in zip(p, p[1:], strict=False) for x, y in ((a, b), (b, a)) if kind(x) == "L" and kind(y) == "P"})
-        extra = "".join(map(re.escape, odd))
-        fine = rf"{META}*(?:(?:(?![{extra}])[^\W\d_])+|(?:[^\w{META}]|[_{extra}])+)|{META}+|\d" if odd else rf"{META}*(?:[^\W\d_]+|(?:[^\w{META}]|_)+)|{META}+|\d"
-        if all(re.fullmatch(fine, p) for p in self.pieces):
+        kind = lambda c: "S" if c == " " else "N" if re.match(r"\d", c) else "L" if re.match(r"[^\W\d_]", c) else "P"
+        odd = {x for p in self.pieces for a, b in zip(p, p[1:], strict=False) for x, y in ((a, b), (b, a)) if kind(x) == "L" and kind(y) == "P"}
+        extra = "".join(map(re.escape, sorted(odd)))
+        letter = rf"(?:(?![{extra}])[^\W\d_])" if odd else r"[^\W\d_]"
+        fine = rf" *(?:{letter}+|(?:[^\w ]|[_{extra}])+)| +|\d"
+        if all(re.fullmatch(fine, p) for p in self.pieces) and not any(re.fullmatch(rf"[{PLAIN}]", c) for c in odd):
             return fine
-        plain = rf"{META}*[^{META}]+|{META}+"
+        plain = r" *[^ ]+| +"
         if not all(re.fullmatch(plain, p) for p in self.pieces):
             raise ValueError("pieces cross spaces")
         return plain
 
 
+#: Letters of plain texts, whose chunks a quicker pattern of the same meaning finds.
+PLAIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+_NOT_PLAIN = re.compile(rf"[^{PLAIN}0-9!-/:-@\[-`{{-~ \n\t]")
+_QUICK = re.compile(rf" *(?:[{PLAIN}]+|[!-/:-@\[-`{{-~\n\t]+)| +|[0-9]").findall
+
+
 @cache
-def _chunker(pattern: str):
-    return re.compile(pattern).findall
+def chunker(pattern: str):
+    """A function from a text to its chunks; a text starts with a space of its own, and the meta symbol is a space."""
+    slow = re.compile(pattern).findall
+    quick = _QUICK if r"\d" in pattern else slow
 
+    def chunks(text: str | None) -> list[str]:
+        if not text:
+            return []
+        if _NOT_PLAIN.search(text):
+            return slow(" " + text.replace(META, " "))
+        return quick(" " + text)
 
-def normalise(text: str | None) -> str:
-    """Spaces become the meta symbol, and a text starts with one; nothing else changes."""
-    return META + text.replace(" ", META) if text else ""
+    return chunks
 
 
 def merge_long(chunk: str, pieces: dict[str, tuple[int, float]], byte_base: int) -> list[int]:
@@ -111,11 +125,11 @@ def chunk_counts(texts: DataFrame, pattern: str) -> DataFrame:
     """``(chunk, n)`` over the column ``text``, summed within batches before the shuffle."""
 
     def count(frames):
-        find = _chunker(pattern)
+        find = chunker(pattern)
         for f in frames:
             c: Counter = Counter()
             for t in f["text"]:
-                c.update(find(normalise(t)))
+                c.update(find(t))
             yield pd.DataFrame({"chunk": list(c), "n": list(c.values())})
 
     return texts.select("text").mapInPandas(count, "chunk string, n bigint").groupBy("chunk").agg(F.sum("n").alias("n"))
@@ -126,27 +140,35 @@ def _byte_ids(char: Column, byte_base: int) -> Column:
     return F.transform(codes, lambda h: F.conv(h, 16, 10).cast("int") + byte_base)
 
 
+def _shift(x: int, i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(x).cast("bigint"), i)
+
+
+def _bit(i: Column) -> Column:
+    return _shift(1, i)
+
+
 def _merge_fold(edges: Column, n: Column) -> Column:
-    """Boundaries (0 to n) that remain when no edge over two neighbouring symbols is left."""
-    place = lambda cuts, x: F.array_position(cuts, x)
+    """Boundaries that remain, as bits of a bigint, when no edge over two neighbouring symbols is left.
 
-    def step(state, _):
-        live = F.filter(state["edges"], lambda e: (place(state["cuts"], e["s"]) > 0) & (place(state["cuts"], e["e"]) > place(state["cuts"], e["s"]) + 1))
-        return F.struct(state["cuts"].alias("cuts"), live.alias("edges"))
+    edges come best first, with the bits of their ends and of what lies between them.
+    """
 
-    def take(state, i):
-        kept = step(state, i)
-        best = F.get(F.filter(kept["edges"], lambda e: place(kept["cuts"], e["e"]) == place(kept["cuts"], e["s"]) + 2), F.lit(0))
-        cuts = F.when(best.isNull(), kept["cuts"]).otherwise(F.array_remove(kept["cuts"], F.get(kept["cuts"], place(kept["cuts"], best["s"]).cast("int"))))
-        return F.struct(cuts.alias("cuts"), F.when(best.isNull(), F.slice(kept["edges"], 1, 0)).otherwise(kept["edges"]).alias("edges"))
+    def fits(cuts, e):
+        return (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(cuts.bitwiseAND(e["inner"])) == 1)
 
-    start = F.struct(F.sequence(F.lit(0), n).alias("cuts"), edges.alias("edges"))
+    def take(state, _):
+        best = F.get(F.filter(edges, lambda e: fits(state["cuts"], e)), F.lit(0))
+        merged = state["cuts"].bitwiseAND(F.bitwise_not(best["inner"]))
+        return F.struct(F.coalesce(merged, state["cuts"]).alias("cuts"), merged.isNull().alias("done"))
+
+    start = F.struct((_shift(2, n) - 1).alias("cuts"), (F.size(edges) == 0).alias("done"))
     rounds = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(rounds, start, lambda s, i: F.when(F.size(s["edges"]) == 0, s).otherwise(take(s, i)), lambda s: s["cuts"])
+    return F.aggregate(rounds, start, lambda s, i: F.when(s["done"], s).otherwise(take(s, i)), lambda s: s["cuts"])
 
 
 def _viterbi_fold(edges: Column, n: Column) -> Column:
-    """Boundaries of the path with the highest sum of scores; edges come ordered by their end."""
+    """Boundaries of the path with the highest sum of scores, as bits of a bigint; edges come ordered by their end."""
     blank = F.struct(F.lit(None).cast("double").alias("score"), F.lit(0).alias("from"))
     start = F.transform(F.sequence(F.lit(0), n), lambda i: F.when(i == 0, F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("from"))).otherwise(blank))
 
@@ -161,7 +183,8 @@ def _viterbi_fold(edges: Column, n: Column) -> Column:
     walk = lambda path, _: F.when(F.get(path["cuts"], F.lit(0)) == 0, path).otherwise(
         F.struct(path["best"].alias("best"), F.concat(F.array(F.get(path["best"], F.get(path["cuts"], F.lit(0)))["from"]), path["cuts"]).alias("cuts"))
     )
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.struct(best.alias("best"), F.array(n).alias("cuts")), walk, lambda p: p["cuts"])
+    path = F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.struct(best.alias("best"), F.array(n).alias("cuts")), walk, lambda p: p["cuts"])
+    return F.aggregate(path, F.lit(0).cast("bigint"), lambda a, i: a.bitwiseOR(_bit(i)))
 
 
 def encode_chunks(chunks: DataFrame, pieces: DataFrame, longest: int, byte_base: int, fold: str = "merge") -> DataFrame:
@@ -182,21 +205,20 @@ def encode_chunks(chunks: DataFrame, pieces: DataFrame, longest: int, byte_base:
         order = [F.col("e").alias("a"), F.col("s").alias("b")]
     else:
         order = [(-F.col("score")).alias("a"), F.col("s").alias("b")]
-    edge = F.struct(*order, "s", "e", "id", "score")
+    ends, inner = _bit(F.col("s")) + _bit(F.col("e")), _bit(F.col("e")) - _shift(2, F.col("s"))
+    edge = F.struct(*order, "s", "e", "id", "score", ends.alias("ends"), inner.alias("inner"))
     grouped = hit.groupBy("chunk").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
     if fold == "merge":
-        grouped = grouped.withColumn("multi", F.filter("edges", lambda e: e["e"] > e["s"] + 1))
+        grouped = grouped.withColumn("multi", F.transform(F.filter("edges", lambda e: e["inner"] != 0), lambda e: F.struct(e["ends"].alias("ends"), e["inner"].alias("inner"))))
         cuts = _merge_fold(F.col("multi"), F.length("chunk"))
     else:
         cuts = _viterbi_fold(F.col("edges"), F.length("chunk"))
     done = grouped.withColumn("cuts", cuts)
-
-    def ids_of(s, e):
-        own = F.get(F.filter("edges", lambda x: (x["s"] == s) & (x["e"] == e)), F.lit(0))["id"]
-        return F.when(own.isNotNull(), F.array(own)).otherwise(_byte_ids(F.substring(F.col("chunk"), s + 1, F.lit(1)), byte_base))
-
-    pairs = F.arrays_zip(F.slice("cuts", F.lit(1), F.size("cuts") - 1).alias("s"), F.slice("cuts", F.lit(2), F.size("cuts") - 1).alias("e"))
-    return done.select("chunk", F.flatten(F.transform(pairs, lambda p: ids_of(p["s"], p["e"]))).alias("ids"))
+    c = F.col("cuts")
+    used = F.filter("edges", lambda e: (c.bitwiseAND(e["ends"]) == e["ends"]) & (c.bitwiseAND(e["inner"]) == 0))
+    tokens = F.sort_array(F.transform(used, lambda e: F.struct(e["s"].alias("s"), e["id"].alias("id"))))
+    ids = F.transform(tokens, lambda x: F.when(x["id"].isNotNull(), F.array(x["id"])).otherwise(_byte_ids(F.substring(F.col("chunk"), x["s"] + 1, F.lit(1)), byte_base)))
+    return done.select("chunk", F.flatten(ids).alias("ids"))
 
 
 def dictionary(counts: DataFrame, model: Model, fold: str = "merge") -> DataFrame:
@@ -205,6 +227,8 @@ def dictionary(counts: DataFrame, model: Model, fold: str = "merge") -> DataFram
     pieces = spark.createDataFrame([(p, i, float(s)) for p, (i, s) in model.pieces.items()], "piece string, id int, score double")
     n = counts.count()
     dealt = counts.repartition(max(1, -(-n // CHUNKS_A_PARTITION)), "chunk")
+    if fold == "viterbi" and counts.where(F.length("chunk") > 61).limit(1).count():
+        raise ValueError("the Viterbi fold takes chunks of up to 61 characters")
     short = dealt.where(F.length("chunk") <= LATTICE_CHARS) if fold == "merge" else dealt
     coded = encode_chunks(short, pieces, model.longest, model.byte_base, fold)
     table, base = model.pieces, model.byte_base
@@ -219,6 +243,16 @@ def dictionary(counts: DataFrame, model: Model, fold: str = "merge") -> DataFram
     return coded
 
 
+def _id_bytes(rows, kind: np.dtype) -> dict[str, bytes]:
+    """Chunk to id bytes from an Arrow table of chunks and id arrays."""
+    out: dict[str, bytes] = {}
+    for batch in rows.to_batches():
+        ids = batch.column("ids")
+        cuts, flat = ids.offsets.to_numpy(), ids.values.to_numpy(zero_copy_only=False).astype(kind)
+        out.update((c, flat[a:b].tobytes()) for c, a, b in zip(batch.column("chunk").to_pylist(), cuts[:-1], cuts[1:], strict=True))
+    return out
+
+
 def encode(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text: str = "text", fold: str = "merge", frequent: int = FREQUENT) -> DataFrame:
     """``(doc_id, ids)``: the token ids of each whole text, one row per input row.
 
@@ -231,27 +265,27 @@ def encode(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text: str =
     counts = materialise(chunk_counts(base, model.chunk), "chunks")
     coded = materialise(dictionary(counts, model, fold), "lattice")
     release(spark)
-    top = counts.orderBy(F.desc("n"), "chunk").limit(frequent).join(coded, "chunk").select("chunk", "ids").toPandas()
+    top = counts.orderBy(F.desc("n"), "chunk").limit(frequent).join(coded, "chunk").select("chunk", "ids").toArrow()
     kind = np.dtype("<u2" if model.size <= 1 << 16 else "<u4")
-    known = spark.sparkContext.broadcast({c: np.asarray(i, kind).tobytes() for c, i in zip(top["chunk"], top["ids"], strict=True)})
+    known = spark.sparkContext.broadcast(_id_bytes(top, kind))
     pattern = model.chunk
 
     def missing(frames):
-        find, have = _chunker(pattern), known.value
+        find, have = chunker(pattern), known.value
         for f in frames:
-            rows = [(k, c) for k, t in zip(f["k"].tolist(), f["text"], strict=True) for c in set(find(normalise(t))) - have.keys()]
+            rows = [(k, c) for k, t in zip(f["k"].tolist(), f["text"], strict=True) for c in set(find(t)) if c not in have]
             yield pd.DataFrame(rows, columns=["k", "chunk"])
 
     rare = base.mapInPandas(missing, "k bigint, chunk string").join(coded, "chunk")
     own = rare.groupBy("k").agg(F.collect_list(F.struct("chunk", "ids")).alias("own"))
 
     def assemble(frames):
-        find, have = _chunker(pattern), known.value
+        find, have = chunker(pattern), known.value
         for f in frames:
             out = []
             for t, own in zip(f["text"], f["own"], strict=True):
                 extra = {} if own is None else {r["chunk"]: np.asarray(r["ids"], kind).tobytes() for r in own}
-                raw = b"".join([have[c] if c in have else extra[c] for c in find(normalise(t))])
+                raw = b"".join([have[c] if c in have else extra[c] for c in find(t)])
                 out.append(np.frombuffer(raw, kind).astype(np.int32))
             yield pd.DataFrame({"k": f["k"], "ids": out})
 
@@ -261,7 +295,8 @@ def encode(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text: str =
 
 def decode_column(ids: Column, model: Model) -> Column:
     """The text of an array of ids: each piece's bytes in hexadecimal, looked up by position, joined and read as UTF-8."""
-    table = F.lit([b.hex() for b in model.decoded])
+    # one folded literal: an array of as many literals would burden the optimizer
+    table = F.split(F.lit(" ".join(b.hex() for b in model.decoded)), " ")
     whole = F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), "")), "UTF-8")
     return F.regexp_replace(whole, "^ ", "")
 
