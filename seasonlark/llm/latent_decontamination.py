@@ -38,8 +38,14 @@ SLICES, FAN_IN = 16, 32
 _TOKEN = re.compile(r"\w+")
 
 
+#: For texts of ASCII alone: word characters in lower case, all others a space.
+_ASCII = {i: chr(i).lower() if chr(i).isalnum() or chr(i) == "_" else " " for i in range(128)}
+
+
 def tokens(text: str | None) -> list[str]:
-    return _TOKEN.findall((text or "").lower())
+    """Lower-case runs of word characters."""
+    text = text or ""
+    return text.translate(_ASCII).split() if text.isascii() else _TOKEN.findall(text.lower())
 
 
 def lcs_length(item: list[int], region: list[int]) -> int:
