@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasonlark.llm import latent_decontamination, piece_lattice, rule_ensemble, simhash_anchors, substring_cover
+from seasonlark.llm import latent_decontamination, piece_lattice, rule_ensemble, similar_texts, substring_cover
 from seasonlark.llm.registry import tuned
 from seasonlark.scratch import new_path
 
@@ -21,9 +21,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near-duplicates."""
+    """One document, that with the smallest id, of each group of near-duplicates (five-word shingles, similarity of 0.8)."""
     tuned(spark)
-    return simhash_anchors.keep_one_of_each(docs)
+    return similar_texts.keep_one_of_each(docs)
 
 
 def repeated_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality),
-    ("SimHash near-dedup", near_duplicates),
+    ("near-dedup", near_duplicates),
     ("substring dedup", repeated_runs),
     ("benchmark decontamination", decontaminate),
     ("SentencePiece encoding and decoding", tokenise),
