@@ -9,6 +9,11 @@ yield the sketch A'A Omega, and a Nystroem step turns that into right singular v
 Passages whose latent cosine to an item reaches the threshold are candidates; the longest
 common subsequence of words, the item's informative terms and its ending decide.
 
+The latent space has fewer directions than the benchmark may have items, so an item can lie
+outside it.  Windows of blocks that hold any run of the item's length are therefore candidates
+too wherever they have as many of the item's terms as the decision asks for: no text of the
+item's length that would be accepted is lost, whatever the rank.
+
 No join, no pairing of documents and no text leaves its task; what is gathered is bounded by
 the benchmark, which is taken in blocks of ``MAX_ITEMS`` items.
 """
@@ -241,19 +246,41 @@ def _search(docs: DataFrame, known: list, doc_id: str, text: str) -> DataFrame:
     # no item's cosine to a passage exceeds the sum of its terms' largest weights in any item
     limit = np.abs(queries @ basis.T).max(axis=0).astype(np.float64)
     rare = [np.unique([t for t in ts if idf[t] > 0]) for ts in coded_items]
+    # what each term counts for each item, what a window must reach, and its number of blocks
+    counts, need = np.zeros((size, len(known)), np.float32), np.full(len(known), np.inf, np.float32)
+    span = np.array([max(2, -(-(len(ts) - 1) // STRIDE) + 1) for ts in coded_items])
+    for q, own in enumerate(rare):
+        if len(own):
+            counts[own, q] = 1
+            need[q] = TERM_SHARE * len(own) - 1e-3
+    counted = counts.any(axis=1)
+
+    def windows(terms, block, owner):
+        """Blocks by items: whether the window that starts at the block has enough of the item's terms."""
+        use = counted[terms]
+        code = np.unique(block[use] * size + terms[use])
+        own = _project(code // size, code % size, np.ones(len(code), np.float32), len(owner), counts)
+        total, out = own.copy(), np.zeros(own.shape, bool)
+        for n in range(2, int(span.max()) + 1):
+            j = n - 1
+            total[:-j] += own[j:] * (owner[j:] == owner[:-j])[:, None]
+            at = span == n
+            out[:, at] = total[:, at] >= need[at]
+        return out
 
     def search(frames):
         for doc, terms, first in _chunks(frames):
             row, t, val, owner, number = _rows(terms, first, idf)
-            hope = np.bincount(row, val * limit[t], len(owner)) >= COSINE - 1e-4
+            held = windows(terms, _blocks(first)[0], owner)
+            hope = (np.bincount(row, val * limit[t], len(owner)) >= COSINE - 1e-4) | held.any(axis=1)
             use = hope[row]
             near = np.zeros((len(owner), len(queries)), np.float32)
             near[hope] = _project(row[use], t[use], val[use], len(owner), basis)[hope] @ queries.T
             best: dict[tuple[int, int], tuple] = {}
-            for r, q in zip(*np.nonzero(near >= COSINE), strict=True):
+            for r, q in zip(*np.nonzero((near >= COSINE) | held), strict=True):
                 d, item = int(owner[r]), coded_items[q]
                 at = int(number[r]) * STRIDE
-                region = terms[first[d] + max(0, at - len(item)) : min(first[d + 1], first[d] + at + 2 * STRIDE + len(item))]
+                region = terms[first[d] + max(0, at - len(item)) : min(first[d + 1], first[d] + at + int(span[q]) * STRIDE + len(item))]
                 found = lcs_length(item, region.tolist()) / len(item)
                 if found < LCS_BACKED:
                     continue

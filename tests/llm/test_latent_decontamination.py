@@ -84,3 +84,19 @@ def test_query_finds_every_exact_passage(spark):
     exact = {(d, i) for d, t in docs for i, x in items if x in t}
     got = {(r.doc_id, r.item_id) for r in L.op2_latent_decontamination(spark, sf).collect()}
     assert exact and exact <= got and len(got - exact) <= 2
+
+
+def test_more_items_than_directions(spark):
+    """Every one of 1024 items is found in a text that holds it whole, though the latent space has 112 directions."""
+    rng = np.random.default_rng(12)
+    vocab = np.array(["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(2500)])
+    share = 1 / np.arange(1, len(vocab) + 1)
+    pick = lambda n: rng.choice(vocab, n, p=share / share.sum()).tolist()
+    items = [(i, pick(int(rng.integers(16, 100)))) for i in range(1024)]
+    docs = []
+    for i, own in items:
+        words = pick(int(rng.integers(60, 200)))
+        at = int(rng.integers(0, len(words)))
+        docs.append((i, " ".join([*words[:at], *own, *words[at:]])))
+    got = L.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")).collect()
+    assert {i for i, _ in items} == {r.item_id for r in got if r.doc_id == r.item_id}
