@@ -12,7 +12,8 @@ common subsequence of words, the item's informative terms and its ending decide.
 The latent space has fewer directions than the benchmark may have items, so an item can lie
 outside it.  Windows of blocks that hold any run of the item's length are therefore candidates
 too wherever they have as many of the item's terms as the decision asks for: no text of the
-item's length that would be accepted is lost, whatever the rank.
+item's length that would be accepted is lost, whatever the rank.  An item whose terms are all
+common has no latent row (its cosine is 0) and is searched by its words in the same way.
 
 No join, no pairing of documents and no text leaves its task; what is gathered is bounded by
 the benchmark, which is taken in blocks of ``MAX_ITEMS`` items.
@@ -253,6 +254,9 @@ def _search(docs: DataFrame, known: list, doc_id: str, text: str) -> DataFrame:
         if len(own):
             counts[own, q] = 1
             need[q] = TERM_SHARE * len(own) - 1e-3
+        else:  # all of its terms are common, as where many texts hold it: its words themselves are looked for
+            np.add.at(counts[:, q], coded_items[q], 1)
+            need[q] = LCS_BACKED * len(coded_items[q]) - 1e-3
     counted = counts.any(axis=1)
 
     def windows(terms, block, owner):

@@ -100,3 +100,26 @@ def test_more_items_than_directions(spark):
         docs.append((i, " ".join([*words[:at], *own, *words[at:]])))
     got = L.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")).collect()
     assert {i for i, _ in items} == {r.item_id for r in got if r.doc_id == r.item_id}
+
+
+def test_items_of_common_terms(spark):
+    """An item that a third of the texts hold makes its own terms common, and is found in all of them."""
+    rng = np.random.default_rng(13)
+    vocab = np.array(["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(2000)])
+    pick = lambda n: rng.choice(vocab, n).tolist()
+    items = [(i, pick(25)) for i in range(5)]
+    items[1] = (1, [*items[0][1][:20], *pick(20)])  # shares most of its beginning with the hot one
+    docs, want = [], set()
+    for d in range(300):
+        words = pick(int(rng.integers(30, 150)))
+        if d % 3 == 0 or d < 12:
+            i = d // 3 % 5 if d < 12 else 0
+            at = int(rng.integers(0, len(words)))
+            words[at:at] = items[i][1]
+            want.add((d, i))
+        docs.append((d, " ".join(words)))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
+    table = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    got = L.contaminated(table, bench).collect()
+    assert want <= {(r.doc_id, r.item_id) for r in got}
+    assert not {d for d, _ in want} & {r.doc_id for r in L.drop_contaminated(table, bench).collect()}
