@@ -157,7 +157,8 @@ class Encoder:
 
     The vocabulary's pre-tokenizer starts a new piece at every single space and at every
     single line feed between other characters, so such texts are the sum of their words.
-    A text with any other white space is encoded in one go.
+    A text with any other white space is encoded in one go, and so is a text that holds an
+    added token's string, which the library takes out before it splits.
     """
 
     _odd = re.compile(r"\s\s|[^\S \n]")
@@ -167,7 +168,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([self._odd.pattern, *added]))
         self.type = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.type).tobytes()
         self.known: dict[str, bytes] = {}
@@ -183,7 +185,7 @@ class Encoder:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         known = self.known
-        parts = [None if "\0" in t or self._odd.search(t) else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in texts]
+        parts = [None if "\0" in t or self.whole.search(t) else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in texts]
         missing = list({w for p in parts if p for w in p} - known.keys())
         known.update(zip(missing, self._raw(missing), strict=True))
         whole = [i for i, p in enumerate(parts) if p is None]

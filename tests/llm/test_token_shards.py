@@ -72,3 +72,13 @@ def test_query_against_brute_force(spark, tok):
         start += len(ids)
     got = S.op9_token_shards(spark, sf).collect()
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in got} == want and len(got) == len(docs)
+
+
+def test_added_tokens_are_the_librarys_own():
+    """Texts with an added token's string get its id, as the library gives by default."""
+    default = Tokenizer.from_file(PATH)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>\ny", "a  <|endoftext|>", "<|endoftext|", "plain words\nand lines"]
+    enc = S.Encoder(PATH, 0)
+    got = [np.frombuffer(x, enc.type).tolist() for x in enc.encode(texts)]
+    assert got == [[*default.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert 50256 in got[0]
