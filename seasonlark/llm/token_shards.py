@@ -22,14 +22,18 @@ import re
 import struct
 import uuid
 import zlib
+from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seasonlark.llm.ragged import ChunkTable, hashes, spread, sums, text_bytes
 from seasonlark.scratch import materialise, new_path
 
 MAGIC = b"SLTOKSST"
@@ -37,8 +41,8 @@ BLOCK_BYTES = 1 << 16
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 _FOOT = struct.Struct("<QQQQQQBI8s")
 _INDEX = struct.Struct("<B9sQQQQ")
-#: Distinct words whose ids a worker remembers at most; it starts afresh beyond.
-CACHE_WORDS = 400_000
+#: Distinct chunks whose ids a worker remembers at most; it starts afresh beyond.
+CACHE_WORDS = 1_500_000
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -153,12 +157,14 @@ class ShardReader:
 
 
 class Encoder:
-    """Encodes whole texts with the tokenizers library, words that were met before from memory.
+    """Encodes whole texts with the tokenizers library, chunks that were met before from memory.
 
     The vocabulary's pre-tokenizer starts a new piece at every single space and at every
-    single line feed between other characters, so such texts are the sum of their words.
-    A text with any other white space is encoded in one go, and so is a text that holds an
-    added token's string, which the library takes out before it splits.
+    single line feed between other characters, and inside such a word wherever letters, digits
+    and other characters meet, so such texts are the sum of these chunks.  A word with an
+    apostrophe or a character beyond Latin-1 letters is one chunk.  A text with any other white
+    space is encoded in one go, and so is a text that holds an added token's string, which the
+    library takes out before it splits.
     """
 
     _odd = re.compile(r"\s\s|[^\S \n]")
@@ -168,42 +174,136 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        added = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([self._odd.pattern, *added]))
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.type = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.type).tobytes()
-        self.known: dict[str, bytes] = {}
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for i in range(0, len(texts), 4096):
-            out += [np.array(e.ids, self.type).tobytes() for e in self.tok.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        (self.line,) = self.tok.encode("\n", add_special_tokens=False).ids
+        self.known = ChunkTable(self.type)
+
+    def _whole(self, texts: pa.Array, raw: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """Which texts the library has to take in one go."""
+        kind = _KINDS[raw]
+        space = (kind == _SPACE) | (kind == _LINE)
+        twice = space.copy()
+        twice[1:] &= space[:-1]
+        twice[cuts[:-1][cuts[:-1] < len(raw)]] = False
+        whole = sums(twice | (kind == _WHITE), cuts) > 0
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        # white space beyond ASCII begins with one of these bytes
+        for i in np.nonzero(~whole & (sums(np.isin(raw, _WIDE_SPACE), cuts) > 0))[0].tolist():
+            whole[i] = bool(self._odd.search(texts[i].as_py()))
+        return whole
+
+    def _learn(self, h: np.ndarray, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, listed: bool = True) -> np.ndarray:
+        """Encode new chunks, line feeds between them, and return their entries."""
+        words = [raw[a : a + n].tobytes().decode() for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+        lists = ["\n".join(words[i : i + 64]) for i in range(0, len(words), 64)]
+        ids = []
+        for i in range(0, len(lists), 64):
+            for e in self.tok.encode_batch_fast(lists[i : i + 64], add_special_tokens=False):
+                ids += e.ids
+                ids.append(self.line)
+        flat = np.array(ids, np.uint32)
+        ends = np.nonzero(flat == self.line)[0]
+        n = np.diff(ends, prepend=-1) - 1
+        return self.known.add(h, raw[spread(starts, lengths)], lengths, flat[flat != self.line].astype(self.type), n, listed)
+
+    def _ids(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the chunks that begin at ``starts``, and how many each has."""
+        lengths = np.diff(starts, append=len(raw))
+        h = hashes(raw, starts, lengths)
+        line = raw[starts] == 10
+        entries = self.known.find(h)
+        entries[line] = 0
+        new = np.nonzero(entries < 0)[0]
+        if len(new):
+            _, first = np.unique(h[new], return_index=True)
+            first = new[first]
+            self._learn(h[first], raw, starts[first], lengths[first])
+            entries[new] = self.known.find(h[new])
+        odd = np.nonzero(~line & ~self.known.same(entries, raw, starts, lengths))[0]
+        if len(odd):
+            entries[odd] = self._learn(h[odd], raw, starts[odd], lengths[odd], listed=False)
+        return self.known.gather(entries)
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Id bytes of each text with the end id."""
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known = self.known
-        parts = [None if "\0" in t or self.whole.search(t) else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in texts]
-        missing = list({w for p in parts if p for w in p} - known.keys())
-        known.update(zip(missing, self._raw(missing), strict=True))
-        whole = [i for i, p in enumerate(parts) if p is None]
-        rest = dict(zip(whole, self._raw([texts[i] for i in whole]), strict=True))
-        get = known.__getitem__
-        return [(rest[i] if p is None else b"".join(map(get, p))) + self.end for i, p in enumerate(parts)]
-
-
-def _chunks(values: list, chars: int = 2_000_000):
-    """Slices of about so many characters."""
+        texts = pa.array(texts, pa.large_utf8()) if isinstance(texts, list) else texts.cast(pa.large_utf8())
+        if not self.known.size or self.known.size > CACHE_WORDS:
+            self.known = ChunkTable(self.type)
+            # entry 0 is the line feed, which parts the words of a list
+            self.known.add(np.zeros(1, np.uint64), np.array([10], np.uint8), np.ones(1, np.int64), np.array([self.line], self.type), np.ones(1, np.int64), listed=False)
+        raw, cuts = text_bytes(texts)
+        whole = self._whole(texts, raw, cuts)
+        out: list[bytes] = [b""] * len(texts)
+        at = np.nonzero(whole)[0].tolist()
+        for i in range(0, len(at), 64):
+            some = at[i : i + 64]
+            for j, e in zip(some, self.tok.encode_batch_fast(texts.take(pa.array(some)).to_pylist(), add_special_tokens=False), strict=True):
+                out[j] = np.array(e.ids, self.type).tobytes()
+        rest = np.nonzero(~whole)[0]
+        if len(rest):
+            raw, cuts = text_bytes(texts.take(pa.array(rest)) if len(at) else texts)
+            starts = _chunk_starts(raw, cuts)
+            if len(starts):
+                ids, n = self._ids(raw, starts)
+                total = np.concatenate([[0], np.cumsum(n)])
+                ends = total[np.searchsorted(starts, cuts)]
+                for i, a, b in zip(rest.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    out[i] = ids[a:b].tobytes()
+        return [x + self.end for x in out]
+
+
+_LETTER, _DIGIT, _OTHER, _SPACE, _LINE, _WHITE = range(6)
+_KINDS = np.full(256, _OTHER, np.uint8)
+_KINDS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
+_KINDS[48:58] = _DIGIT
+_KINDS[32], _KINDS[10] = _SPACE, _LINE
+_KINDS[[9, 11, 12, 13, 28, 29, 30, 31]] = _WHITE
+#: First bytes of white space beyond ASCII in UTF-8.
+_WIDE_SPACE = np.array([0xC2, 0xE1, 0xE2, 0xE3], np.uint8)
+
+
+def _chunk_starts(raw: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Where the chunks of texts begin that hold single spaces and line feeds only."""
+    if not len(raw):
+        return np.empty(0, np.int64)
+    kind = _KINDS[raw]
+    before = np.empty_like(kind)
+    before[0], before[1:] = _LINE, kind[:-1]
+    start = (kind == _SPACE) | (kind == _LINE) | (before == _LINE)
+    start[cuts[:-1][cuts[:-1] < len(raw)]] = True
+    words = np.nonzero(start)[0]
+    # beyond ASCII only the letters from U+00C0 to U+00FF but U+00D7 and U+00F7 are split off: C3 and one more byte
+    odd = (raw == 39) | (raw < 32) & (kind == _OTHER) | (raw == 127)
+    high = raw >= 128
+    if high.any():
+        lead = raw == 0xC3
+        follows = np.concatenate([[False], lead[:-1]])
+        odd |= high & ~lead & ~(follows & (raw != 0x97) & (raw != 0xB7))
+    inner = (kind != before) & (before != _SPACE) & ~start
+    if odd.any():
+        inner &= ~np.repeat(np.logical_or.reduceat(odd, words), np.diff(words, append=len(raw)))
+    return np.nonzero(start | inner)[0]
+
+
+@cache
+def encoder(path: str, end_id: int) -> Encoder:
+    """One encoder for all tasks of a Python worker."""
+    return Encoder(path, end_id)
+
+
+def _slices(sizes: np.ndarray, most: int = 4_000_000):
+    """Ranges of about so many bytes."""
     start = size = 0
-    for i, v in enumerate(values):
-        size += len(v)
-        if size >= chars:
+    for i, n in enumerate(sizes.tolist()):
+        size += n
+        if size >= most:
             yield start, i + 1
             start, size = i + 1, 0
-    if start < len(values):
-        yield start, len(values)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
@@ -215,34 +315,34 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, doc_id: str = "do
     empty, null ids come first, repeated ids stay side by side.
     """
 
-    def write(frames):
+    def write(batches):
         enc = fs = stream = writer = path = None
         first = None
-        for f in frames:
-            if not len(f):
+        for f in batches:
+            if not f.num_rows:
                 continue
             if writer is None:
-                enc = Encoder(tokenizer, end_id)
+                enc = encoder(tokenizer, end_id)
                 fs, base = pyarrow.fs.FileSystem.from_uri(folder)
                 fs.create_dir(base, recursive=True)
                 path = f"{base}/{uuid.uuid4().hex}.sst"
                 stream = fs.open_output_stream(path)
                 writer = ShardWriter(stream, enc.type.itemsize)
-                first = f["rank"].iloc[0]
-            texts = [t or "" for t in f["text"]]
-            keys = [None if n else int(k) for k, n in zip(f["id"], f["none"], strict=True)]
-            for a, b in _chunks(texts):
-                for k, v in zip(keys[a:b], enc.encode(texts[a:b]), strict=True):
+                first = f.column("rank")[0].as_py()
+            texts, keys = f.column("text"), f.column("id").to_pylist()
+            for a, b in _slices(pc.binary_length(texts).to_numpy(zero_copy_only=False)):
+                for k, v in zip(keys[a:b], enc.encode(texts.slice(a, b - a)), strict=True):
                     writer.add(key_of(k), v)
         if writer is not None:
             writer.close()
             stream.close()
-            yield pd.DataFrame({"shard": [int(first)], "path": [path], "n_docs": [writer.docs], "n_ids": [writer.ids]})
+            row = [[first], [path], [writer.docs], [writer.ids]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["shard", "path", "n_docs", "n_ids"])
 
-    base = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(0)).alias("id"), F.col(doc_id).isNull().alias("none"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ordered = base.repartitionByRange(F.col("none").desc(), F.col("id")).sortWithinPartitions(F.col("none").desc(), F.col("id"), F.xxhash64("text"))
+    base = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    ordered = base.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
     ordered = ordered.withColumn("rank", F.spark_partition_id())
-    return materialise(ordered.mapInPandas(write, "shard int, path string, n_docs bigint, n_ids bigint"), "manifest")
+    return materialise(ordered.mapInArrow(write, "shard int, path string, n_docs bigint, n_ids bigint"), "manifest")
 
 
 def _shard_list(manifest: DataFrame) -> list[tuple[str, int]]:
