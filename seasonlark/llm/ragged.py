@@ -112,9 +112,9 @@ class ChunkTable:
         self.size, self.n_bytes, self.all_ids = first + n, self.n_bytes + len(raw), self.all_ids + len(ids)
         entries = np.arange(first, first + n, dtype=np.int32)
         if listed:
-            if 2 * self.size > len(self.slots):
+            if 3 * self.size > 2 * len(self.slots):
                 kept = self.slots[self.slots >= 0]
-                self.slots = np.full(1 << int(3 * self.size).bit_length(), -1, np.int32)
+                self.slots = np.full(1 << int(3 * self.size // 2).bit_length(), -1, np.int32)
                 self._claim(kept)
             self._claim(entries)
         return entries
@@ -138,25 +138,18 @@ class ChunkTable:
         return self.ids[spread(self.id_at[entries], n)], n
 
     def state(self) -> dict:
-        """What to broadcast."""
-        return {
-            "hash": self.hash[: self.size],
-            "at": self.at[: self.size],
-            "length": self.length[: self.size],
-            "id_at": self.id_at[: self.size],
-            "n_ids": self.n_ids[: self.size],
-            "bytes": self.bytes[: self.n_bytes],
-            "ids": self.ids[: self.all_ids],
-            "slots": self.slots,
-        }
+        """What to broadcast of a table of listed chunks: places and index follow from it."""
+        n = {k: getattr(self, k)[: self.size].astype(np.uint32 if getattr(self, k)[: self.size].max(initial=0) >> 16 else np.uint16) for k in ("length", "n_ids")}
+        return {"hash": self.hash[: self.size], **n, "bytes": self.bytes[: self.n_bytes], "ids": self.ids[: self.all_ids]}
 
     @classmethod
     def of(cls, state: dict) -> ChunkTable:
-        table = cls.__new__(cls)
-        table.__dict__.update(state)
-        table.kind, table.size = state["ids"].dtype, len(state["hash"])
-        table.n_bytes, table.all_ids = len(state["bytes"]), len(state["ids"])
-        return table
+        """The table of a state; a Python worker builds it once and keeps it there."""
+        if "table" not in state:
+            table = cls(state["ids"].dtype)
+            table.add(state["hash"], state["bytes"], state["length"].astype(np.int64), state["ids"], state["n_ids"].astype(np.int64))
+            state["table"] = table
+        return state["table"]
 
 
 def sums(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:

@@ -1,10 +1,12 @@
 import hashlib
+import re
 import zlib
 from itertools import combinations
 
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from seasonlark.llm import piece_lattice as P
 
@@ -34,17 +36,37 @@ def test_merge_fold_equals_the_library(spark, sp):
         assert got[i][1] == sp.decode(got[i][0]), t
 
 
-def test_long_chunks_equal_the_library(sp):
+def test_long_chunks_equal_the_library(spark, sp):
+    """The fold over arrays of boundaries, for chunks of more than 61 characters."""
+    rng = np.random.default_rng(5)
+    letters = list("etaoinshrdlu") + ["the", "ing", "tion", "er"]
+    rows = [(n, "".join(rng.choice(letters, n))) for n in [*range(55, 140), 700, 1500]] + [(9000, "=" * 5000), (9001, "漢字" * 400), (9002, "a" * 3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r.ids for r in P.encode(docs, P.model_path()).collect()}
+    assert got == {i: sp.encode(t) for i, t in rows}
+
+
+def test_chunks_by_bytes_are_those_of_the_pattern():
     m = P.Model(P.model_path())
     for t in texts():
-        got = [i for c in P.chunker(m.chunk)(t) for i in P.merge_long(c, m.pieces, m.byte_base)]
-        assert got == sp.encode(t or "")
+        want = re.findall(m.chunk, " " + t.replace(P.META, " ")) if t else []
+        assert P.chunks_of(t, m.chunk) == want
+
+
+def test_chunks_of_one_hash_are_told_apart():
+    table = P.ChunkTable(np.dtype("<u2"))
+    h = np.array([7], np.uint64)
+    table.add(h, np.frombuffer(b"abc", np.uint8), np.array([3]), np.array([1, 2], np.uint16), np.array([2]))
+    raw = np.frombuffer(b"abcabdab", np.uint8)
+    entries = table.find(np.array([7, 7, 7], np.uint64))
+    assert entries.tolist() == [0, 0, 0]
+    assert table.same(entries, raw, np.array([0, 3, 6]), np.array([3, 3, 2])).tolist() == [True, False, False]
 
 
 def test_viterbi_fold_is_the_best_path(spark):
     pieces = {"a": (10, -1.0), "b": (11, -2.5), "ab": (12, -3.0), "ba": (13, -1.5), "aba": (14, -3.9), "bab": (15, -4.2)}
-    table = spark.createDataFrame([(p, i, s) for p, (i, s) in pieces.items()], "piece string, id int, score double")
-    words = ["a", "b", "ab", "aba", "abab", "bbab", "babab", "abxba", "xx"]
+    table = P.piece_table(spark, pieces, "viterbi")
+    words = ["a", "b", "ab", "aba", "abab", "bbab", "babab", "abxba", "xx", "ab" * 6]
     got = {r.chunk: r.ids for r in P.encode_chunks(spark.createDataFrame([(w,) for w in words], "chunk string"), table, 3, 1000, "viterbi").collect()}
     for w in words:
         best = None
@@ -62,6 +84,8 @@ def test_odd_rows(spark):
     out = P.encode(docs, P.model_path(), frequent=1).collect()
     assert len(out) == 4 and sum(r.doc_id is None for r in out) == 1
     assert P.encode(docs.limit(0), P.model_path()).count() == 0
+    named = P.encode(docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), P.model_path())
+    assert {r.doc_id for r in named.collect()} == {None, "d2"}
 
 
 def test_query_against_the_library(spark, sp):
