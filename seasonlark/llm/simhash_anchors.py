@@ -85,7 +85,11 @@ def text_fingerprint(text: str | None, words: int = 3) -> int:
         return 0
     grams = [b" ".join(w)] if len(w) < words else list(map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)))
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(g, SHINGLE_SEED) for g in grams), np.uint64, len(grams))
+    return fingerprint_of(np.fromiter((digest(g, SHINGLE_SEED) for g in grams), np.uint64, len(grams)))
+
+
+def fingerprint_of(h: np.ndarray) -> int:
+    """Signed 64-bit number of the bits that over half of the hashes set; 0 without hashes."""
     votes = np.zeros(64, np.int64)
     for i in range(0, len(h), 4096):
         votes += np.unpackbits(h[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

@@ -1,10 +1,12 @@
 """Near-duplicates by exact similarity of their sets of word shingles.
 
 Two texts are near-duplicates where the Jaccard similarity of their sets of five-word
-shingles is at least 0.8.  A 64-bit fingerprint cannot look for that: such pairs differ
-in some 10 of its bits, often in 15, and within 15 bits of a field lies half the corpus.
-Candidates therefore come from bands of minimum hashes (a pair of similarity 0.8 shares
-one of ``BANDS`` with probability 0.9996), and the shingles themselves decide.
+shingles is at least 0.8.  SimHash anchors propose first: sets whose fingerprints differ in
+at most two bits, which is what copies with few changes do, become one component at once.
+Fingerprints cannot find the rest: pairs near the threshold differ in some 10 of 64 bits, often in
+15, and within 15 bits of a field lies half the corpus.  Those candidates come from bands of
+minimum hashes (a pair of similarity 0.8 shares one of ``BANDS`` with probability 0.9996).
+Whatever proposes a pair, the shingles themselves decide.
 
 Texts of equal shingle sets are one node.  In a bucket all members are held against one
 of them first, twice; what that links is one component, and only members outside the
@@ -20,10 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seasonlark.graph import connected_components
+from seasonlark.llm.simhash_anchors import fingerprint_links, fingerprint_of
 from seasonlark.scratch import materialise
 
 WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 20, 5
+#: Sets whose fingerprints differ in at most so many bits are compared by the anchors' means.
+ANCHOR_BITS = 2
 STARS = 2
 SEED = 42
 _MIX = np.random.default_rng(31).integers(1, 2**63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
@@ -62,6 +67,7 @@ def _mark(frames):
         out = f[["doc_id", "text"]].copy()
         out["doc_id"] = out["doc_id"].astype("Int64")
         out["key"] = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in hs], np.uint64).view(np.int64)
+        out["fp"] = np.array([fingerprint_of(h) for h in hs], np.int64)
         out["n"] = [len(h) for h in hs]
         out["bands"] = [band_keys(h) for h in hs]
         yield out
@@ -95,6 +101,14 @@ def _pairs(members: DataFrame, others: DataFrame, least: float) -> DataFrame:
     return x.join(y, "band").where((F.col("cx") != F.col("cy")) & can).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _anchored(nodes: DataFrame) -> DataFrame:
+    """Pairs of nodes ``(a, b)`` whose fingerprints meet at an anchor; of equal fingerprints the first node meets the others."""
+    first = nodes.groupBy("fp").agg(F.min("key").alias("rep"))
+    near = fingerprint_links(first, ANCHOR_BITS)
+    same = nodes.join(first, "fp").where("key <> rep").select(F.col("rep").alias("a"), F.col("key").alias("b"))
+    return near.unionAll(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _members(buckets: DataFrame, links: DataFrame) -> DataFrame:
     """Rows of the buckets with their node's component so far, but those of buckets that are one component."""
     comps = connected_components(links, "a", "b").withColumnRenamed("id", "key")
@@ -110,13 +124,14 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     text (null if no member has an id); repeated rows stay; an empty table gives no rows.
     """
     base = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    marked = materialise(base.mapInPandas(_mark, "doc_id bigint, text string, key bigint, n bigint, bands array<bigint>"), "shingled")
+    marked = materialise(base.mapInPandas(_mark, "doc_id bigint, text string, key bigint, fp bigint, n bigint, bands array<bigint>"), "shingled")
     nodes = marked.groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands"))
     buckets = nodes.select(F.explode("bands").alias("band"), "key", "n")
     full = buckets.groupBy("band").count().where("count > 1").select("band")
     buckets = materialise(buckets.join(full, "band", "left_semi"), "buckets")
-    links = docs.sparkSession.createDataFrame([], "a bigint, b bigint")
-    members = buckets.withColumn("component", F.col("key"))
+    anchored = materialise(_anchored(marked.select("key", "fp").distinct()), "anchored")
+    links = _links(anchored, marked, least)
+    members = _members(buckets, links)
     for _ in range(STARS):
         sizes = members.groupBy("band", "component").agg(F.count("*").alias("size"), F.min(F.struct("key", "n")).alias("first"))
         # each component but the largest meets the first node of the largest

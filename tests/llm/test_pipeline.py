@@ -6,7 +6,7 @@ import sentencepiece
 
 import corpus_pipeline as C
 from seasonlark.llm import piece_lattice, rule_ensemble
-from test_simhash_anchors import brute_components
+from test_similar_texts import brute_components
 from test_substring_cover import brute
 
 
@@ -30,8 +30,8 @@ def test_quality(spark, steps):
 
 
 def test_near_duplicates(steps):
-    comps = brute_components([(i, r.text) for i, r in steps[1].items()])
-    assert set(steps[2]) == {i for i, (_, c) in comps.items() if i == c}
+    comps, links = brute_components([(i, r.text) for i, r in steps[1].items()])
+    assert set(steps[2]) == {i for i, c in comps.items() if i == c} and links
 
 
 def test_repeated_runs(steps):
@@ -59,3 +59,30 @@ def test_tokens(steps):
 
 def test_run(spark, steps):
     assert {r.doc_id: r.n_tokens for r in C.run(spark, "/root/testdata/sf0.001").collect()} == {i: r.n_tokens for i, r in steps[5].items()}
+
+
+ODD = [
+    (None, None, "en", "web", 0, "x"),
+    (None, "", "en", None, None, "x"),
+    (3, None, None, "web", 0, "x"),
+    (4, "", "en", "web", 0, "x"),
+    (5, "one two three " * 4000, "en", "web", 56000, "x"),
+    (5, "one two three " * 4000, "en", "web", 56000, "x"),
+    (6, "é 日本 ▁ <|endoftext|> \x00 " * 30, "fr", "web", 600, None),
+]
+
+
+@pytest.mark.parametrize("name, stage", C.STAGES)
+def test_stages_take_odd_rows(spark, name, stage):
+    """Nulls in any column, empty and long texts, repeated rows, no rows, and columns named like the operators' own."""
+    sf = "/root/testdata/sf0.001"
+    rows = spark.createDataFrame(ODD, "doc_id bigint, text string, lang string, source string, n_chars bigint, key string")
+    out = stage(spark, rows, sf)
+    last = name == C.STAGES[-1][0]
+    assert last or out.columns == rows.columns
+    got = out.collect()
+    assert len(got) <= len(ODD) and {r.doc_id for r in got} <= {None, 3, 4, 5, 6}
+    if last:
+        sp = sentencepiece.SentencePieceProcessor(model_file=piece_lattice.model_path())
+        assert sorted(len(r.ids) for r in got) == sorted(len(sp.encode(r[1] or "")) for r in ODD)
+    assert stage(spark, rows.limit(0), sf).count() == 0
