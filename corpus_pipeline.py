@@ -21,7 +21,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near-duplicates (five-word shingles, similarity of 0.8)."""
+    """One document, that with the smallest id, of each group of near-duplicates (five-word shingles, similarity of 0.8).
+
+    SimHash anchors propose first, bands of minimum hashes what fingerprints cannot find; shingles decide.
+    """
     tuned(spark)
     return similar_texts.keep_one_of_each(docs)
 
@@ -51,7 +54,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality),
-    ("near-dedup", near_duplicates),
+    ("SimHash near-dedup", near_duplicates),
     ("substring dedup", repeated_runs),
     ("benchmark decontamination", decontaminate),
     ("SentencePiece encoding and decoding", tokenise),
