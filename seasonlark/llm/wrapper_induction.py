@@ -15,16 +15,20 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import deque
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seasonlark.scratch import materialise, release
+from seasonlark.scratch import materialise
 
 #: A slot is template if at least MIN_PAGES pages have it and in this share of them the text is the same.
 MIN_PAGES, CONSTANT_SHARE = 5, 0.9
+#: Pages of a host that one task aligns at most, or about so.
+HOST_PAGES = 5000
 #: It must also be met on this share of the host's pages.
 PRESENT_SHARE = 0.5
 
@@ -40,7 +44,12 @@ FURNITURE_TAGS = frozenset("nav footer aside form button head menu dialog".split
 FURNITURE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer login menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion reader related reply replies search share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription toolbar widget widgets complementary contentinfo alert masthead".split()
 )
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
+#: Words that names of furniture are made up with.
+NEUTRAL_WORDS = frozenset("area bar block bottom box button container content form group header inner item left link links list outer page panel posts right section site top wrap wrapper".split())
+#: Elements that hold the page or its article, whatever they are called.
+NEVER_NAMED = frozenset("html body main article h1".split())
+_OPEN = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*)")
+_VALUE = re.compile(r"""=\s*(["'])|>""")
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)|(?=[\s/]|$))""", re.I)
 _NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
@@ -61,11 +70,62 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTR.finditer(raw)} if raw and ("=" in raw or "hidden" in raw) else {}
 
 
+def _named(names: str) -> bool:
+    """Whether a class, id or role is a furniture word, or made up of such words and neutral ones."""
+    for token in names.split():
+        words = [w.lower() for w in _NAME.findall(token)]
+        if any(w in FURNITURE_WORDS for w in words) and all(w in FURNITURE_WORDS or w in NEUTRAL_WORDS for w in words):
+            return True
+    return False
+
+
 def _is_furniture(tag: str, attrs: dict[str, str], inside_article: bool) -> bool:
     if tag in FURNITURE_TAGS or "hidden" in attrs or (tag == "header" and not inside_article):
         return True
-    named = " ".join(attrs.get(k, "") for k in ("class", "id", "role"))
-    return bool(named.strip()) and any(w.lower() in FURNITURE_WORDS for w in _NAME.findall(named))
+    return tag not in NEVER_NAMED and _named(" ".join(attrs.get(k, "") for k in ("class", "id", "role")))
+
+
+def _tags(page: str):
+    """(start, end, slash, name, attributes) of each tag, comment or declaration, whose name is empty.
+
+    A quoted value may hold any character; a quote that is never closed is an ordinary one.  What
+    is not found once is not looked for again, so every page takes linear time.
+    """
+    at, last = 0, {"-->": 0, '"': 0, "'": 0, ">": 0}
+
+    def find(what: str, start: int) -> int:
+        if last[what] < 0:
+            return -1
+        i = page.find(what, start)
+        if i < 0:
+            last[what] = -1
+        return i
+
+    while m := _OPEN.search(page, at):
+        start, at = m.start(), m.end()
+        if m[0] == "<!--":
+            i = find("-->", at)
+            at = i + 3 if i >= 0 else len(page)
+            yield start, at, "", "", ""
+            continue
+        close = find(">", at)
+        if close < 0:
+            return
+        if not m[2]:
+            at = close + 1
+            yield start, at, "", "", ""
+            continue
+        i = at
+        while v := _VALUE.search(page, i):
+            if v[1] is None:
+                close = v.start()
+                break
+            i = find(v[1], v.end()) + 1
+            if not i:
+                break
+        # without an end outside quotes the tag ends at its first one
+        yield start, close + 1, m[1], m[2].lower(), page[at:close]
+        at = close + 1
 
 
 def parse(page: str | None) -> Node:
@@ -74,7 +134,7 @@ def parse(page: str | None) -> Node:
     root = Node("#root", "#root", False)
     stack: list[tuple[str, Node]] = [("#root", root)]
     articles = 0
-    at, end = 0, len(page)
+    at, end, unclosed = 0, len(page), set()
 
     def text(raw: str) -> None:
         if raw:
@@ -96,17 +156,15 @@ def parse(page: str | None) -> Node:
             if stack[i][0] in stop:
                 return None
 
-    while at < end:
-        m = _TAG.search(page, at)
-        if not m:
-            text(page[at:])
-            break
-        text(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+    for start, stop, slash, tag, raw_attrs in _tags(page):
+        if start < at:
+            # inside a script or the like
+            continue
+        text(page[at:start])
+        at = stop
         if not tag:
             continue
-        if m[1]:
+        if slash:
             i = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
             if i:
                 leave(i)
@@ -114,8 +172,10 @@ def parse(page: str | None) -> Node:
                 stack[-1][1].parts.append(None)
             continue
         if tag in RAW:
-            if not m[3].rstrip().endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if not raw_attrs.rstrip().endswith("/"):
+                close = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                if close is None:
+                    unclosed.add(tag)
                 at = close.end() if close else end
             continue
         if tag in VOID:
@@ -136,7 +196,7 @@ def parse(page: str | None) -> Node:
             close_open({"td", "th"}, {"tr", "table"})
         elif tag == "tr":
             close_open({"tr"}, {"table", "tbody", "thead", "tfoot"})
-        attrs = _attributes(m[3])
+        attrs = _attributes(raw_attrs)
         furniture = _is_furniture(tag, attrs, articles > 0)
         if tag in BLOCK or furniture:
             node = Node(f"{tag}.{attrs.get('class', '')}", tag, furniture)
@@ -145,9 +205,27 @@ def parse(page: str | None) -> Node:
             articles += tag in ("article", "main")
         else:
             stack.append((tag, stack[-1][1]))
+    text(page[at:])
+    _keep_articles(root)
     return root
 
 
+def _keep_articles(root: Node) -> None:
+    """An element that is furniture by its name alone is none if it holds an article, a main element or a first heading."""
+    todo, order = [(root, None)], []
+    while todo:
+        n, up = todo.pop()
+        order.append((n, up))
+        todo += [(c, n) for c in n.children()]
+    holds = {id(n) for n, _ in order if n.tag in NEVER_NAMED and not n.furniture}
+    for n, up in reversed(order):
+        if id(n) in holds:
+            if n.furniture and n.tag not in FURNITURE_TAGS and n.tag != "header":
+                n.furniture = False
+            if up is not None and not n.furniture:
+                holds.add(id(up))
+
+
 def blocks(node: Node) -> list[tuple[Node, str]]:
     """(owner, text) of each run of text between block boundaries, in page order; furniture is left out."""
     out, run, stack = [], [], []
@@ -178,9 +256,9 @@ def blocks(node: Node) -> list[tuple[Node, str]]:
 
 def _main(root: Node) -> list[Node]:
     """The article or main elements, outermost first met; the whole page where there is none with text."""
-    found, queue = {"article": [], "main": []}, [root]
+    found, queue = {"article": [], "main": []}, deque([root])
     while queue:
-        n = queue.pop(0)
+        n = queue.popleft()
         if n.furniture:
             continue
         if n.tag in found:
@@ -194,60 +272,122 @@ def _main(root: Node) -> list[Node]:
     return [root]
 
 
-def match_trees(a: Node, b: Node) -> dict[int, Node]:
-    """Simple tree matching: an order-preserving map of nodes, keyed by ``id`` of a node of ``a``.
-
-    Children with equal labels at both ends are paired at once where they have no children of
-    their own; between them a table of best sums decides.
-    """
-    weights: dict[tuple[int, int], int] = {}
+class _Shapes:
+    """Shapes of trees as numbers: equal labels over equal children have one number."""
 
-    def trimmed(xs: list[Node], ys: list[Node]) -> tuple[int, int]:
-        head = tail = 0
-        leaf = lambda x, y: x.label == y.label and not x.children() and not y.children()
-        while head < min(len(xs), len(ys)) and leaf(xs[head], ys[head]):
+    def __init__(self):
+        self.number: dict[tuple, int] = {}
+        self.label: list[str] = []
+        self.below: list[tuple[int, ...]] = []
+        self.size: list[int] = []
+        self.weights: dict[tuple[int, int], int] = {}
+
+    def of(self, root: Node) -> dict[int, int]:
+        """The shape of every node, keyed by ``id``."""
+        out: dict[int, int] = {}
+        todo = [(root, False)]
+        while todo:
+            n, done = todo.pop()
+            if not done:
+                todo.append((n, True))
+                todo += [(c, False) for c in n.children()]
+                continue
+            below = tuple(out[id(c)] for c in n.children())
+            key = (n.label, below)
+            if key not in self.number:
+                self.number[key] = len(self.label)
+                self.label.append(n.label)
+                self.below.append(below)
+                self.size.append(1 + sum(self.size[b] for b in below))
+            out[id(n)] = self.number[key]
+        return out
+
+    def trimmed(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> tuple[int, int]:
+        """Equal shapes at both ends, which a best alignment may pair at once."""
+        least, head, tail = min(len(xs), len(ys)), 0, 0
+        while head < least and xs[head] == ys[head]:
             head += 1
-        while tail < min(len(xs), len(ys)) - head and leaf(xs[-1 - tail], ys[-1 - tail]):
+        while tail < least - head and xs[-1 - tail] == ys[-1 - tail]:
             tail += 1
         return head, tail
 
-    def table(xs: list[Node], ys: list[Node]) -> list[list[int]]:
-        rows = [[0] * (len(ys) + 1)]
+    def known(self, x: int, y: int) -> int | None:
+        if x == y:
+            return self.size[x]
+        return self.weights.get((x, y)) if self.label[x] == self.label[y] else 0
+
+    def middle(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        head, tail = self.trimmed(xs, ys)
+        return xs[head : len(xs) - tail], ys[head : len(ys) - tail]
+
+    def ensure(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> None:
+        """Weights of all pairs of two lists, by an explicit stack: pages can be thousands of elements deep."""
+        todo = [(a, b) for a in set(xs) for b in set(ys)]
+        while todo:
+            x, y = todo[-1]
+            if self.known(x, y) is not None:
+                todo.pop()
+                continue
+            mx, my = self.middle(self.below[x], self.below[y])
+            need = [(a, b) for a in set(mx) for b in set(my) if self.known(a, b) is None]
+            if need:
+                todo += need
+                continue
+            head, tail = self.trimmed(self.below[x], self.below[y])
+            ends = self.below[x][:head] + self.below[x][len(self.below[x]) - tail :]
+            self.weights[x, y] = 1 + sum(self.size[a] for a in ends) + int(self.last_row(mx, my)[-1])
+            todo.pop()
+
+    def last_row(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> np.ndarray:
+        """Best sums of aligning xs with each beginning of ys; the weights are known."""
+        kinds, place = np.unique(np.array(ys, np.int64), return_inverse=True)
+        row, rows = np.zeros(len(ys) + 1, np.int64), {}
         for x in xs:
-            row = [0]
-            for j, y in enumerate(ys):
-                row.append(max(rows[-1][j + 1], row[j], rows[-1][j] + (size(x, y) if x.label == y.label else 0)))
-            rows.append(row)
-        return rows
-
-    def size(x: Node, y: Node) -> int:
-        key = (id(x), id(y))
-        if key not in weights:
-            xs, ys = x.children(), y.children()
-            head, tail = trimmed(xs, ys)
-            weights[key] = 1 + head + tail + table(xs[head : len(xs) - tail], ys[head : len(ys) - tail])[-1][-1]
-        return weights[key]
+            if x not in rows:
+                rows[x] = np.array([self.known(x, int(y)) for y in kinds], np.int64)[place] if len(ys) else np.empty(0, np.int64)
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + rows[x]))
+        return row
+
+    def pairs(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> list[tuple[int, int]]:
+        """Places of a best alignment, halving xs again and again so that no whole table is held."""
+        self.ensure(*self.middle(xs, ys))
+        out, todo = [], [(0, len(xs), 0, len(ys))]
+        while todo:
+            a, b, c, d = todo.pop()
+            head, tail = self.trimmed(xs[a:b], ys[c:d])
+            out += [(a + i, c + i) for i in range(head)] + [(b - 1 - i, d - 1 - i) for i in range(tail)]
+            a, b, c, d = a + head, b - tail, c + head, d - tail
+            if a == b or c == d:
+                continue
+            if b - a == 1:
+                w = [self.known(xs[a], y) for y in ys[c:d]]
+                if max(w):
+                    out.append((a, c + w.index(max(w))))
+                continue
+            half = (a + b) // 2
+            first = self.last_row(xs[a:half], ys[c:d])
+            second = self.last_row(xs[half:b][::-1], ys[c:d][::-1])[::-1]
+            cut = c + int(np.argmax(first + second))
+            todo += [(a, half, c, cut), (half, b, cut, d)]
+        return out
+
 
+def match_trees(a: Node, b: Node) -> dict[int, Node]:
+    """Simple tree matching: an order-preserving map of nodes of the greatest size, keyed by ``id`` of a node of ``a``.
+
+    Weights are kept by shape, so rows alike cost once, and equal shapes at both ends of two lists are
+    paired at once.  Time grows with the product of two sibling lists' unlike middles, memory with their sum.
+    """
+    shapes = _Shapes()
+    of = {**shapes.of(a), **shapes.of(b)}
     out: dict[int, Node] = {}
     todo = [(a, b)] if a.label == b.label else []
     while todo:
         x, y = todo.pop()
         out[id(x)] = y
         xs, ys = x.children(), y.children()
-        head, tail = trimmed(xs, ys)
-        for k in [*range(head), *range(-tail, 0)]:
-            out[id(xs[k])] = ys[k]
-        mx, my = xs[head : len(xs) - tail], ys[head : len(ys) - tail]
-        rows = table(mx, my)
-        i, j = len(mx), len(my)
-        while i and j:
-            if rows[i][j] == rows[i - 1][j]:
-                i -= 1
-            elif rows[i][j] == rows[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                todo.append((mx[i], my[j]))
+        for i, j in shapes.pairs(tuple(of[id(n)] for n in xs), tuple(of[id(n)] for n in ys)):
+            todo.append((xs[i], ys[j]))
     return out
 
 
@@ -301,7 +441,7 @@ def templates(pages: DataFrame, references: DataFrame) -> DataFrame:
                     rows[key] = rows.get(key, 0) + 1
             yield pd.DataFrame({"host": [k[0] for k in rows], "slot": [k[1] for k in rows], "h": pd.array([k[2] for k in rows], "Int64"), "n": list(rows.values())})
 
-    counts = pages.join(references, "host").mapInPandas(count, "host string, slot int, h bigint, n bigint").groupBy("host", "slot", "h").agg(F.sum("n").alias("n"))
+    counts = pages.join(references, ["host", "part"]).select("host", "html", "ref_html").mapInPandas(count, "host string, slot int, h bigint, n bigint").groupBy("host", "slot", "h").agg(F.sum("n").alias("n"))
     counts = materialise(counts.where((F.col("n") >= MIN_PAGES) | (F.col("slot") < 0)), "slots")
     total = counts.where("slot < 0").select("host", F.col("n").alias("pages"))
     met = counts.where("slot >= 0 and h is null").select("host", "slot", F.col("n").alias("met"))
@@ -318,9 +458,23 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     pages has no template, and only what HTML and names declare is left out.
     """
     base = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
-    references = materialise(base.groupBy("host").agg(F.min_by("html", F.struct(F.xxhash64("page_id"), "html")).alias("ref_html")), "references")
-    constant = materialise(templates(base.select("host", "html"), references), "templates")
-    release(pages.sparkSession)
+    # the reference is a page with content, and copies of a page count once
+    full = base.where(F.length(F.trim("html")) > 0)
+    references = full.groupBy("host").agg(F.min_by("html", F.struct(F.xxhash64("html"), "html")).alias("ref_html"), F.count("*").alias("pages"))
+    references = materialise(references, "references")
+    copies = full.select("host", F.xxhash64("html").alias("h"), "page_id").groupBy("host", "h").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n")).where("n > 1")
+    spare = materialise(copies.select("host", "h", F.col("page_id").alias("first")), "copies")
+    seen = full.withColumn("h", F.xxhash64("html")).join(spare, ["host", "h"], "left").where("first is null or first = page_id or page_id is null")
+    # hosts of many pages, at most one for each HOST_PAGES rows, are dealt in parts
+    big = references.where(F.col("pages") > HOST_PAGES).select("host", F.ceil(F.col("pages") / HOST_PAGES).cast("int").alias("parts"))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(big), "host", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("page_id", "html"), "parts").cast("int")).otherwise(0)).drop("parts")
+
+    def replicated(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("pages") / HOST_PAGES).cast("int") - 1))).drop("pages")
+
+    constant = materialise(templates(dealt(seen.select("host", "html", "page_id")), replicated(references)), "templates")
 
     def texts(frames):
         ref = _Reference()
@@ -338,8 +492,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     kind = dict(base.dtypes)["page_id"]
     # the reference page is needed only where a host has a template
-    needed = constant.join(references, "host")
-    return base.join(needed, "host", "left").select("page_id", "url", "html", "ref_html", "constant").mapInPandas(texts, f"page_id {kind}, url string, text string, n_chars bigint")
+    needed = replicated(constant.join(references, "host"))
+    return dealt(base).join(needed, ["host", "part"], "left").select("page_id", "url", "html", "ref_html", "constant").mapInPandas(texts, f"page_id {kind}, url string, text string, n_chars bigint")
 
 
 def op7_wrapper_induction(spark, sf_dir: str) -> DataFrame:

@@ -71,3 +71,59 @@ def test_query_against_plain_extraction(spark):
         article = re.search(r"<article>(.*)</article>", pages[r.page_id].html, re.S)[1]
         parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", article)]
         assert r.text == "\n".join(p for p in parts if p) and r.url == pages[r.page_id].url
+
+
+def test_deep_and_wide_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    deep = "<div>" * 5000 + "<p>core</p>" + "</div>" * 5000
+    rows = lambda n, k: "<table>" + "".join(f"<tr class='r{i % k}'><td>{i}</td></tr>" for i in range(n)) + "</table>"
+    for a, b in ((deep, deep.replace("core", "rind")), (deep, "<div>" * 4000 + "<p>x</p>"), (rows(20000, 1), rows(15000, 1)), (rows(3000, 7), rows(2500, 5))):
+        x, y = W.parse(a), W.parse(b)
+        match = W.match_trees(x, y)
+        assert len(match) > 2000
+    quotes = "<p>kept</p>" + "<a title='" * 8001 + "<p>x"
+    assert [t for _, t in W.blocks(W.parse(quotes))][0] == "kept"
+    assert W.parse("<a b=\"" * 20000) is not None
+    assert time.perf_counter() - began < 60
+
+
+def test_alignment_has_the_greatest_size():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+
+    def tree(depth):
+        return "".join(f"<{t}>{tree(depth - 1) if depth else ''}</{t}>" for t in rng.choice(["div", "section", "ul"], int(rng.integers(0, 4))))
+
+    def best(x, y):
+        if x.label != y.label:
+            return 0
+        xs, ys = x.children(), y.children()
+        rows = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+        for i, a in enumerate(xs):
+            for j, b in enumerate(ys):
+                rows[i + 1][j + 1] = max(rows[i][j + 1], rows[i + 1][j], rows[i][j] + best(a, b))
+        return 1 + rows[-1][-1]
+
+    for _ in range(150):
+        a, b = W.parse(tree(3)), W.parse(tree(3))
+        assert len(W.match_trees(a, b)) == best(a, b)
+
+
+def test_names_cut_furniture_only():
+    text = lambda page: [t for part in W._main(W.parse(page)) for _, t in W.blocks(part)]
+    assert text("<body class='has-sidebar'><article class='reader-content'><p>a</p><div class='related-work'>b</div><div class='cookie-banner'>c</div></article>") == ["a", "b"]
+    assert text("<main class='search-page'><p>a</p></main>") == ["a"]
+    assert text("<div id='widget'><h1>t</h1><p>a</p></div><div class='sidebar'>s</div>") == ["t", "a"]
+    assert text('<p class="x>hello</p><p>b</p>') == ["hello", "b"]
+    assert text("<p title='a > b'>c</p><script>if (a < b) { x = '</p>' }</script><p>d &amp; e</p>") == ["c", "d & e"]
+
+
+def test_copies_of_one_page_are_no_template(spark):
+    """Nine copies of an article under several addresses, an empty page and one other article of the host."""
+    page = lambda t: f"<body><div><p>{t}</p></div></body>"
+    rows = [(i, f"http://h.example/{i}", page("same article")) for i in range(9)] + [(20, "http://h.example/20", None), (21, "http://h.example/21", page("other"))]
+    out = {r.page_id: r.text for r in W.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert out == {**dict.fromkeys(range(9), "same article"), 20: "", 21: "other"}
