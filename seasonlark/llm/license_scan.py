@@ -61,8 +61,10 @@ TEMPLATES: dict[str, list[str]] = {
     "Proprietary": ["All rights reserved.", "No part of this publication may be reproduced without the prior written permission of the publisher.", "Copyright, all rights reserved, confidential and proprietary."],
 }
 FAMILIES = ["unknown", *TEMPLATES]
-#: Ordinary paragraphs taken from the corpus for the fit at most, those with the smallest hash.
+#: Ordinary lines taken from the corpus for the fit at most, those with the smallest hash.
 MAX_PROSE = 4000
+#: Lengths of the lines among which those are taken: a bound on what the driver gets.
+LEARNT_CHARS = (20, 4000)
 VARIATIONS, SEED = 40, 5
 #: Share of a template's word pairs that confirms a prediction.
 CONFIRM_SHARE = 0.6
@@ -175,31 +177,72 @@ class Classifier:
 
 
 def train(docs: DataFrame, text: str = "text", max_prose: int = MAX_PROSE) -> Classifier:
-    """Fit on the templates and at most ``max_prose`` of the corpus' paragraphs."""
-    lines = docs.select(F.explode(F.split(F.col(text), "\n")).alias("line")).where(F.length("line").between(20, 400))
-    rows = lines.orderBy(F.xxhash64("line"), "line").limit(max_prose).collect()
+    """Fit on the templates and at most ``max_prose`` of the corpus' lines, those with the smallest hashes.
+
+    A first pass counts the lines; the second keeps distinct ones whose hash lies below the
+    share that is wanted, so the driver gets little more than it uses whatever the table's size.
+    """
+    lines = docs.select(F.explode(F.split(F.col(text), "\n")).alias("line")).where(F.length("line").between(*LEARNT_CHARS))
+    n = lines.count()
+    steps = 1 << 40
+    share = min(steps, 2 * max_prose * steps // max(1, n))
+    some = lines.where(F.pmod(F.xxhash64("line"), F.lit(steps)) < share).distinct()
+    rows = some.orderBy(F.xxhash64("line"), "line").limit(max_prose).collect()
     return Classifier(sorted({r.line for r in rows}))
 
 
+def _units(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, int, str]]]:
+    """Lines (number, line, template pairs) with at least two template pairs, and runs (first, last line, text) of lines that hold some."""
+    lines, runs, run, total = [], [], [], 0
+
+    def close() -> None:
+        nonlocal run, total
+        if len(run) > 1 and total >= 2:
+            runs.append((run[0][0], run[-1][0], " ".join(x for _, x in run)))
+        run, total = [], 0
+
+    for i, line in enumerate(text.split("\n")):
+        words = _WORD.findall(line.lower())
+        n = sum(f"{a} {b}" in VOCABULARY for a, b in zip(words, words[1:], strict=False)) if not WORDS.isdisjoint(words) else 0
+        if n >= 2:
+            lines.append((i, line, n))
+        # a wrapped notice may end in a line of one word
+        if n or (run and words and len(words) < 3 and WORDS.issuperset(words)):
+            run.append((i, line))
+            total += n
+        else:
+            close()
+    close()
+    return lines, runs
+
+
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Classifier | None = None) -> DataFrame:
     """``(doc_id, paragraph, family, probability, template_share, confirmed)`` of paragraphs classed as a licence.
 
-    ``paragraph`` counts the lines of the whole text from 0.  Paragraphs of unknown class give no row.
+    A paragraph is a line, or a run of neighbouring lines that a wrapped notice fills; ``paragraph``
+    is the number of its first line in the whole text, from 0.  A line without two of the templates'
+    word pairs is unknown by definition.  A run counts where the template confirms it and none of
+    its lines alone is confirmed as the same family.  Paragraphs of unknown class give no row.
     Null and empty texts give none; repeated rows and null ids each give their own; an empty
-    table gives no rows; other columns are ignored.
+    table gives no rows; other columns are ignored.  The id is cast to bigint.
     """
     model = model or train(docs, text)
 
     def find(frames):
         for f in frames:
-            keys, lines = [], []
+            keys, lines, spans, runs = [], [], [], []
             for d, t in zip(f["doc_id"], f["text"], strict=True):
-                for i, line in enumerate((t or "").split("\n")):
-                    words = _WORD.findall(line.lower())
-                    if sum(map(WORDS.__contains__, words)) >= 2 and sum(f"{a} {b}" in VOCABULARY for a, b in zip(words, words[1:], strict=False)) >= 2:
-                        keys.append((d, i))
-                        lines.append(line)
-            rows = [(d, i, *r) for (d, i), r in zip(keys, model.predict(lines), strict=True) if r[0] != "unknown"]
+                own, joined = _units(t or "")
+                spans += [(d, len(keys), len(keys) + len(own), a, b) for a, b, _ in joined]
+                runs += [x for _, _, x in joined]
+                keys += [(d, i) for i, _, _ in own]
+                lines += [x for _, x, _ in own]
+            found = model.predict(lines)
+            rows = [(d, i, *r) for (d, i), r in zip(keys, found, strict=True) if r[0] != "unknown"]
+            for (d, lo, hi, a, b), r in zip(spans, model.predict(runs), strict=True):
+                alone = any(a <= keys[k][1] <= b and found[k][0] == r[0] and found[k][2] >= CONFIRM_SHARE for k in range(lo, hi))
+                if r[0] != "unknown" and r[2] >= CONFIRM_SHARE and not alone:
+                    rows.append((d, a, *r))
             out = pd.DataFrame(rows, columns=["doc_id", "paragraph", "family", "probability", "template_share"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
@@ -210,5 +253,5 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Cla
 
 
 def op8_license_scan(spark, sf_dir: str) -> DataFrame:
-    """Licence notices in all documents, with the number of paragraphs scanned in each document that has one."""
+    """Licence notices in all documents: family, probability and the share of the best template, one row a paragraph."""
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -39,3 +39,26 @@ def test_odd_rows(spark, model):
     out = S.scan(docs, model=model).collect()
     assert sorted((r.doc_id or 0, r.paragraph, r.family, r.confirmed) for r in out) == [(0, 1, "MIT", True), (1, 1, "MIT", True), (1, 1, "MIT", True)]
     assert S.scan(docs.limit(0)).count() == 0
+
+
+def test_wrapped_notices_are_confirmed(spark):
+    """Notices wrapped at 80 columns, the usual form of a licence, and ordinary texts wrapped alike."""
+    import textwrap
+
+    prose = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 60").collect()]
+    rows, want = [], {}
+    for k, (family, ts) in enumerate(S.TEMPLATES.items()):
+        for v, t in enumerate(ts):
+            if len(t.split()) > 14:
+                i = 100 * k + v
+                rows.append((i, "\n".join([prose[k][:200], "", *textwrap.wrap(t, 80), "", prose[k + 20][:200]])))
+                want[i] = family
+    rows += [(10_000 + i, "\n".join(textwrap.wrap(t, 80))) for i, t in enumerate(prose)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = S.scan(docs, model=S.train(spark.createDataFrame([(t,) for t in prose], "text string"))).where("confirmed").collect()
+    got = {}
+    for r in out:
+        got.setdefault(r.doc_id, set()).add(r.family)
+    assert len(want) > 5 and sum(want[i] in got.get(i, ()) for i in want) >= 0.9 * len(want)
+    held = [i for i, t in rows if i >= 10_000 and any(len(x & S.pairs(t)) >= 0.6 * len(x) for ps in S.PAIRS.values() for x in ps)]
+    assert {i for i in got if i >= 10_000} <= set(held)
