@@ -8,7 +8,7 @@ import pytest
 from seasonlark.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.01"
-TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
+TABLES = "region nation customer supplier part orders lineitem events embeddings documents pages".split()
 
 
 @pytest.fixture(scope="module")
