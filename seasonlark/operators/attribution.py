@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seasonlark.operators.stats import permutations
+from seasonlark.operators.stats import numbered, permutations
 
 
 def standardise(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -95,8 +95,10 @@ def shap_sample(model, df: DataFrame, background: DataFrame, key: str, xs: list[
     variables (by hash); two vectors that differ in the variable alone are scored in one job.
     """
     n = background.count()
-    bg = background.select(*[F.col(x).alias(f"__b_{x}") for x in xs], F.row_number().over(W.orderBy(*xs)).alias("__rank"))
     h = lambda *c: F.xxhash64(F.lit(seed), *c)
+    # numbered by hash, range by range
+    bg = background.select(*[F.col(x).alias(f"__b_{x}") for x in xs]).withColumn("__h", h(*[F.col(f"__b_{x}") for x in xs])).withColumn("__part", F.shiftright("__h", 54))
+    bg = numbered(bg, [], "__part", [F.col("__h"), *[F.col(f"__b_{x}") for x in xs]], "__rank").drop("__h", "__part")
     base = df.select(key, *xs).withColumn("variable", F.explode(F.array(*map(F.lit, xs)))).withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(nsim - 1))))
     base = base.withColumn("__rank", (F.pmod(h(F.col(key).cast("string"), F.col("variable"), F.col("sim")), F.lit(n)) + 1).cast("int")).join(bg, "__rank")
     place = lambda name: h(F.col(key).cast("string"), F.col("sim"), F.lit("order"), name)

@@ -77,15 +77,39 @@ def tukey_hsd(df: DataFrame, group: str, value: str) -> DataFrame:
     return both.select("a", "b", (F.col("mb") - F.col("ma")).alias("diff"), q.alias("q"), "k", "dfw").withColumn("p", sf("q", "k", F.col("dfw").cast("double"))).drop("k", "dfw")
 
 
+#: Ranks of a whole table are counted within so many ranges of the index.
+RANK_PARTS = 512
+
+
+def numbered(df: DataFrame, keys: list[str], part: str, order: list, out: str) -> DataFrame:
+    """Add the row number from 1 within ``keys`` by (part, order): counted inside each part, plus the rows of the parts before.
+
+    Parts are ranges of the order, so no task sorts a whole group; their counts are few.
+    """
+    sizes = df.groupBy(*keys, part).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over((W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))).orderBy(part).rowsBetween(W.unboundedPreceding, -1))
+    starts = sizes.select(*keys, part, F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = df.withColumn("__in", F.row_number().over(W.partitionBy(*keys, part).orderBy(*order)))
+    return inside.join(starts, [*keys, part]).withColumn(out, F.col("__in") + F.col("__before")).drop("__in", "__before")
+
+
 def permutations(df: DataFrame, keys: list[str], index: str, value: str, n: int, salt: str = "") -> DataFrame:
     """``(keys, perm, index, value)``: for each of ``n`` seeds the values dealt anew within a group.
 
     Ranks by index meet ranks by md5(perm-index); the join is on (keys, perm, rank).
     """
-    part = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))
-    base = df.select(*keys, index, value, F.row_number().over(part.orderBy(index)).alias("__i"))
-    many = base.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    drawn = many.withColumn("__j", F.row_number().over(W.partitionBy(*keys, "perm").orderBy(F.md5(F.concat_ws("-", F.lit(salt), "perm", index)), index)))
+    base = df.select(*keys, index, value)
+    if dict(df.dtypes)[index] in ("tinyint", "smallint", "int", "bigint"):
+        ends = base.agg(F.min(index).alias("__lo"), F.max(index).alias("__hi"))
+        at = (F.col(index) - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + 1) * RANK_PARTS
+        base = base.join(F.broadcast(ends)).withColumn("__part", F.coalesce(F.floor(at).cast("int"), F.lit(-1))).drop("__lo", "__hi")
+    else:
+        base = base.withColumn("__part", F.lit(0))
+    base = numbered(base, keys, "__part", [F.col(index)], "__i").drop("__part")
+    many = base.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("__h", F.md5(F.concat_ws("-", F.lit(salt), "perm", index)))
+    # hexadecimal digits sort as their numbers do
+    many = many.withColumn("__part", F.substring("__h", 1, 2))
+    drawn = numbered(many, [*keys, "perm"], "__part", [F.col("__h"), F.col(index)], "__j")
     return drawn.select(*keys, "perm", value, F.col("__j").alias("__i")).join(base.select(*keys, index, "__i"), [*keys, "__i"]).select(*keys, "perm", index, value)
 
 

@@ -149,7 +149,7 @@ def m1_harmonic_fit(spark, d):
 
 @_q()
 def m2_harmonic_permutation(spark, d):
-    return harmonic.harmonic_permutation_test(X.pixel_obs(spark, d), ["pixel_id"], "ts", "value", n_perm=4)
+    return harmonic.harmonic_permutation_test(X.pixel_obs(spark, d), ["pixel_id"], "ts", "value", n_perm=20)
 
 
 _CD = "sqrt(2.0 * 364 * greatest(1 - (a.sin_1*b.sin_1 + a.cos_1*b.cos_1 + a.sin_2*b.sin_2 + a.cos_2*b.cos_2) / sqrt((a.sin_1*a.sin_1 + a.cos_1*a.cos_1 + a.sin_2*a.sin_2 + a.cos_2*a.cos_2) * (b.sin_1*b.sin_1 + b.cos_1*b.cos_1 + b.sin_2*b.sin_2 + b.cos_2*b.cos_2)), 0))"
@@ -174,10 +174,10 @@ def a11_focal_entropy(spark, d):
     return spatial.focal_stat(pix, 8_000.0, "pixel_id", "lon", "lat", "cls", "entropy").select("pixel_id", r("stat").alias("stat"))
 
 
-@_q("""WITH m AS (SELECT l_partkey AS k, l_linenumber AS level, avg(l_extendedprice) AS v FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL)
+@_q("""WITH m AS (SELECT l_partkey AS k, l_linenumber AS level, avg(l_extendedprice) AS v FROM lineitem GROUP BY ALL)
 SELECT a.level AS level_a, b.level AS level_b, round(regr_r2(b.v, a.v), 6) AS r2, regr_count(b.v, a.v) AS n FROM m a JOIN m b ON a.k = b.k AND a.level < b.level GROUP BY ALL""")
 def a19_map_r2(spark, d):
-    m = X.table(spark, d, "lineitem").where("l_linenumber <= 3").groupBy(F.col("l_partkey").alias("k"), F.col("l_linenumber").alias("level")).agg(F.avg("l_extendedprice").alias("v"))
+    m = X.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("k"), F.col("l_linenumber").alias("level")).agg(F.avg("l_extendedprice").alias("v"))
     out = asynchrony.map_r2(m.withColumn("one", F.lit(1)), ["k"], ["one"], "level", "v").drop("one")
     return out.withColumns({"r2": r("r2"), "n": F.col("n").cast("bigint")})
 
@@ -303,7 +303,7 @@ def m18_density(spark, d):
 @_q()
 def m18_peak_test(spark, d):
     h = X.hourly(spark, d).withColumn("n", F.floor("v"))
-    return series.significant_peaks(series.peak_test(h, ["g"], "h", "n", bw=2.0, n_perm=20, weeks=24))
+    return series.significant_peaks(series.peak_test(h, ["g"], "h", "n", bw=2.0, n_perm=100, weeks=24))
 
 
 @_q("""WITH e AS (SELECT o_custkey % 30 AS c, CAST(floor(dayofyear(o_orderdate) / 7) AS INT) AS week FROM orders), n AS (SELECT c, week, count(*) AS n FROM e GROUP BY ALL)
@@ -430,12 +430,12 @@ def a30_product_agreement(spark, d):
     return evaluate.product_agreement(p, "site")[1].select(r("slope").alias("slope"), r("r2").alias("r2"), F.col("n").cast("bigint").alias("n"))
 
 
-@_q(f"""WITH {X.POINTS}, {X.PIXELS}, g AS (SELECT DISTINCT CAST(j AS BIGINT) AS j, CAST(i AS BIGINT) AS i FROM pix), f AS (SELECT lon AS x, -lat AS y FROM pts WHERE id % 10 = 0)
-SELECT i, j FROM g WHERE NOT EXISTS (SELECT 1 FROM f WHERE g.i BETWEEN floor((y - 0.15 + 5.025) / 0.05) AND ceil((y + 0.15 + 5.025) / 0.05) - 1 AND g.j BETWEEN floor((x - 0.15 + 60.025) / 0.05) AND ceil((x + 0.15 + 60.025) / 0.05) - 1)""")
+@_q(f"""WITH {X.POINTS}, {X.PIXELS}, g AS (SELECT DISTINCT CAST(j AS BIGINT) AS j, CAST(i AS BIGINT) AS i FROM pix), f AS (SELECT lon AS x, -lat AS y FROM pts)
+SELECT i, j FROM g WHERE NOT EXISTS (SELECT 1 FROM f WHERE g.i BETWEEN floor((y - 0.02 + 5.025) / 0.05) AND ceil((y + 0.02 + 5.025) / 0.05) - 1 AND g.j BETWEEN floor((x - 0.02 + 60.025) / 0.05) AND ceil((x + 0.02 + 60.025) / 0.05) - 1)""")
 def m26_coverage_gaps(spark, d):
     grid = X.pixel_obs(spark, d).select(F.col("i").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j")).distinct()
-    f = X.points(spark, d).where("id % 10 = 0").select(F.array("lon").alias("lon"), F.array(-F.col("lat")).alias("lat"))
-    return evaluate.coverage_gaps(grid, f, -60.025, -5.025, 0.05)
+    f = X.points(spark, d).select(F.array("lon").alias("lon"), F.array(-F.col("lat")).alias("lat"))
+    return evaluate.coverage_gaps(grid, f, -60.025, -5.025, 0.05, 0.02)
 
 
 @_q(f"""WITH {X.PIXELS}, p AS (SELECT round(lon, 3) AS x, round(lat, 3) AS y, avg(value) AS v FROM pix WHERE pixel_id % 3 = 0 GROUP BY ALL), b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p),
@@ -478,11 +478,11 @@ _RF = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
 
 
 def _forest(spark, d):
-    rows = X.table(spark, d, "lineitem").where("l_orderkey % 7 < 3").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), "l_extendedprice", *[F.col(c).cast("double").alias(c) for c in _RF])
+    rows = X.table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), "l_extendedprice", *[F.col(c).cast("double").alias(c) for c in _RF])
     rows = attribution.standardise(rows, ["l_extendedprice", *_RF])
     split = attribution.stratified_split(rows, "k", "l_extendedprice", 0.6)
     train, test = split.where("train = 1"), split.where("train = 0")
-    return attribution.fit_forest(train, "l_extendedprice", _RF, trees=10, mtry=2, depth=6), test
+    return attribution.fit_forest(train, "l_extendedprice", _RF, trees=50, mtry=2, depth=8), test
 
 
 @_q()
@@ -494,5 +494,4 @@ def m31_permutation_importance(spark, d):
 @_q()
 def m32_shap(spark, d):
     model, test = _forest(spark, d)
-    some = test.where("k % 40 = 1")
-    return attribution.shap_importance(attribution.shap_sample(model, some, some, "k", _RF, nsim=3))
+    return attribution.shap_importance(attribution.shap_sample(model, test, test, "k", _RF))
