@@ -109,9 +109,15 @@ def _anchored(nodes: DataFrame) -> DataFrame:
     return near.unionAll(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _members(buckets: DataFrame, links: DataFrame) -> DataFrame:
+def _joined(links: DataFrame, comps: DataFrame | None = None) -> DataFrame:
+    """``(key, component)`` of nodes that links join, with the components known before; these stand in for the links they came from."""
+    if comps is not None:
+        links = links.unionAll(comps.where("key <> component").select(F.col("component").alias("a"), F.col("key").alias("b")))
+    return connected_components(links, "a", "b").withColumnRenamed("id", "key")
+
+
+def _members(buckets: DataFrame, comps: DataFrame) -> DataFrame:
     """Rows of the buckets with their node's component so far, but those of buckets that are one component."""
-    comps = connected_components(links, "a", "b").withColumnRenamed("id", "key")
     named = materialise(buckets.join(comps, "key", "left").withColumn("component", F.coalesce("component", "key")), "members")
     split = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
     return named.join(split, "band", "left_semi")
@@ -130,19 +136,18 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     full = buckets.groupBy("band").count().where("count > 1").select("band")
     buckets = materialise(buckets.join(full, "band", "left_semi"), "buckets")
     anchored = materialise(_anchored(marked.select("key", "fp").distinct()), "anchored")
-    links = _links(anchored, marked, least)
-    members = _members(buckets, links)
+    comps = _joined(_links(anchored, marked, least))
+    members = _members(buckets, comps)
     for _ in range(STARS):
         sizes = members.groupBy("band", "component").agg(F.count("*").alias("size"), F.min(F.struct("key", "n")).alias("first"))
         # each component but the largest meets the first node of the largest
         heads = sizes.groupBy("band").agg(F.max(F.struct("size", "component", "first")).alias("top")).select("band", F.col("top.first.key").alias("key"), F.col("top.first.n").alias("n"), F.col("top.component").alias("component"))
-        links = links.unionAll(_links(_pairs(members, heads, least), marked, least))
-        members = _members(buckets, links)
+        comps = _joined(_links(_pairs(members, heads, least), marked, least), comps)
+        members = _members(buckets, comps)
     sizes = members.groupBy("band", "component").count()
     top = sizes.groupBy("band").agg(F.max(F.struct("count", "component")).alias("top")).select("band", F.col("top.component").alias("main"))
     rest = members.join(top, "band").where("component <> main").drop("main")
-    links = links.unionAll(_links(_pairs(rest, members, least), marked, least))
-    comps = connected_components(links, "a", "b").withColumnRenamed("id", "key")
+    comps = _joined(_links(_pairs(rest, members, least), marked, least), comps)
     named = marked.groupBy("key").agg(F.min("doc_id").alias("rep")).join(comps, "key", "left").withColumn("component", F.coalesce("component", "key"))
     least_id = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     ids = named.join(least_id, "component").select("key", "component_id")
