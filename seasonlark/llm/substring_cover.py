@@ -5,7 +5,8 @@ in both: anchors are short windows that start where ``position mod period`` is i
 difference cover, and any two residues are brought into the cover by one common shift
 smaller than the period.  So only anchors are dealt out and counted.  Windows that hold
 an anchor seen in another place are extended to their full length and grouped by a 96-bit
-key of their words; the smallest document of each group keeps its first such window.
+key of their words; the smallest document of each group keeps its first such window, which
+the document itself then knows by 64 of these bits.
 Groups are reduced by counts and minima alone, so a passage that a third of all
 documents share costs one row per task after the map-side combine.
 """
@@ -16,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seasonlark.llm.ragged import hashes
 from seasonlark.scratch import materialise, release
 
 #: A perfect difference set: every residue mod PERIOD is a difference of two members.
@@ -31,9 +32,25 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _FIN = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Maximal runs of characters other than space, tab, line feed, vertical tab, form feed, carriage return."""
-    return (text or "").encode("utf-8", "surrogatepass").split()
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one after another, and each text's number of words.
+
+    Words are maximal runs of bytes other than space, tab, line feed, vertical tab, form feed, carriage return.
+    """
+    raw = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    inside = ~_SPACE[raw]
+    edge = np.diff(inside, prepend=False)
+    first = np.flatnonzero(edge & inside)
+    n = np.diff(np.searchsorted(first, ends), prepend=0)
+    # the words' own bytes laid end to end
+    kept = raw[inside]
+    starts = np.cumsum(inside)[first] - 1
+    return hashes(kept, starts, np.diff(starts, append=len(kept))), n
 
 
 def _rolling(h: np.ndarray, n: int, mult: np.uint64) -> np.ndarray:
@@ -54,12 +71,11 @@ class Batch:
     """Word hashes of a batch of texts laid end to end; no text is cut."""
 
     def __init__(self, texts, window: int):
-        self.window, self.words = window, [words_of(t) for t in texts]
-        self.n = np.array([len(w) for w in self.words], np.int64)
+        self.window = window
+        self.texts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else b"" for t in texts]
+        self.h, self.n = word_hashes(self.texts)
         self.first = np.concatenate([[0], np.cumsum(self.n)]).astype(np.int64)
         total = int(self.first[-1])
-        digest = xxhash.xxh64_intdigest
-        self.h = np.fromiter((digest(w) for ws in self.words for w in ws), np.uint64, total)
         self.doc = np.repeat(np.arange(len(self.n)), self.n)
         self.pos = np.arange(total) - self.first[self.doc]
         self.left = self.n[self.doc] - self.pos
@@ -122,18 +138,24 @@ def _split(frames: Iterator[pd.DataFrame], chars: int = 4_000_000) -> Iterator[p
 
 
 def shared_anchors(docs: DataFrame, window: int = 20) -> DataFrame:
-    """``(k, shared)``: for each document key, the hashes of its anchors that another document has as well."""
+    """``(k, r, shared)``: for each document key, the hashes of its anchors that another document has as well."""
 
     def emit(frames):
         for f in _split(frames):
             b = Batch(f["text"], window)
             at, h = b.anchors()
-            rows = np.unique(np.stack([f["k"].to_numpy(np.int64)[b.doc[at]], h.view(np.int64)]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
-            yield pd.DataFrame({"h": rows[1], "k": rows[0]})
-
-    rows = docs.select("k", "text").mapInPandas(emit, "h bigint, k bigint")
+            doc = b.doc[at]
+            order = np.lexsort((h, doc))
+            doc, h = doc[order], h[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            doc = doc[new]
+            yield pd.DataFrame({"h": h[new].view(np.int64), "k": f["k"].to_numpy(np.int64)[doc], "r": f["r"].to_numpy(np.int64)[doc]})
+
+    rows = docs.select("k", "r", "text").mapInPandas(emit, "h bigint, k bigint, r bigint")
     common = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    return rows.join(common, "h").groupBy("k").agg(F.collect_list("h").alias("shared"))
+    # a set: rows that share their key have the same anchors
+    return rows.join(common, "h").groupBy("k", "r").agg(F.collect_set("h").alias("shared"))
 
 
 def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -148,11 +170,13 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     if window < PERIOD + 2:
         raise ValueError(f"window must be at least {PERIOD + 2} words")
     key, words = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("k"), F.col(text).alias("text")
-    shared = materialise(shared_anchors(docs.select(key, words), window), "anchors")
+    # rows without an id are told apart by their texts
+    part = F.when(F.col(doc_id).isNull(), F.xxhash64(F.col(text))).otherwise(F.lit(0)).alias("r")
+    shared = materialise(shared_anchors(docs.select(key, part, words), window), "anchors")
     release(docs.sparkSession)
     own = {f"carry{i}": F.col(c) for i, c in enumerate(carry)}
-    base = docs.select(key, words, *[c.alias(n) for n, c in own.items()])
-    marked = base.join(shared, "k", "left")
+    base = docs.select(key, part, words, *[c.alias(n) for n, c in own.items()])
+    marked = base.join(shared, ["k", "r"], "left")
     carried = list(own)
     types = {n: f.dataType.simpleString() for n, f in zip(own, (docs.select(*carry).schema if carry else []), strict=True)}
 
@@ -167,7 +191,8 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     rows = marked.mapInPandas(windows, "k1 bigint, k2 bigint, k bigint")
     earliest = rows.groupBy("k1", "k2").agg(F.min("k").alias("k"))
-    firsts = earliest.groupBy("k").agg(F.collect_list("k1").alias("firsts"))
+    # no row comes before those without an id, so these lose none of their windows to others
+    firsts = earliest.where(F.col("k") != NO_ID).groupBy("k").agg(F.collect_list("k1").alias("firsts")).withColumn("r", F.lit(0).cast("bigint"))
 
     def strip(frames):
         for f in _split(frames):
@@ -176,8 +201,8 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
             k1, k2 = b.keys(at)
             cuts = np.searchsorted(b.doc[at], np.arange(len(b.n) + 1))
             again = ~b.first_in_doc(at, k1, k2)
-            for i, s in enumerate(f["firsts"]):
-                if cuts[i] < cuts[i + 1]:
+            for i, (k, s) in enumerate(zip(f["k"].tolist(), f["firsts"], strict=True)):
+                if cuts[i] < cuts[i + 1] and k != NO_ID:
                     part = slice(cuts[i], cuts[i + 1])
                     again[part] |= ~np.isin(k1[part], np.asarray([] if s is None else s, np.int64))
             hits = at[again]
@@ -186,8 +211,8 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
             np.add.at(cover, hits + window, -1)
             gone = np.cumsum(cover)[:-1] > 0
             kept, removed = [], []
-            for i, ws in enumerate(b.words):
-                g = gone[b.first[i] : b.first[i + 1]]
+            for i, t in enumerate(b.texts):
+                g, ws = gone[b.first[i] : b.first[i + 1]], t.split()
                 removed.append(int(g.sum()))
                 kept.append(b" ".join([w for w, x in zip(ws, g.tolist(), strict=True) if not x] if removed[-1] else ws).decode("utf-8", "surrogatepass"))
             out = pd.DataFrame({"k": f["k"].to_numpy(np.int64), "n_words": b.n, "n_removed": np.array(removed, np.int64), "kept": kept})
@@ -196,7 +221,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
             yield out
 
     schema = "k bigint, n_words bigint, n_removed bigint, kept string" + "".join(f", {n} {t}" for n, t in types.items())
-    out = marked.join(firsts, "k", "left").mapInPandas(strip, schema)
+    out = marked.join(firsts, ["k", "r"], "left").mapInPandas(strip, schema)
     return out.select(F.nullif("k", F.lit(NO_ID)).alias("doc_id"), "n_words", "n_removed", "kept", *[F.col(n).alias(c) for n, c in zip(own, carry, strict=True)])
 
 
