@@ -141,7 +141,13 @@ def shared_anchors(docs: DataFrame, window: int = 20) -> DataFrame:
     """``(k, r, shared)``: for each document key, the hashes of its anchors that another document has as well."""
 
     def emit(frames):
+        seen: set[int] = set()
         for f in _split(frames):
+            # of rows without an id, a task names each text once
+            blank = (f["k"] == NO_ID).to_numpy()
+            again = blank & (f["r"].duplicated() | f["r"].isin(seen)).to_numpy()
+            seen.update(f["r"].to_numpy()[blank].tolist())
+            f = f[~again]
             b = Batch(f["text"], window)
             at, h = b.anchors()
             doc = b.doc[at]
@@ -154,8 +160,8 @@ def shared_anchors(docs: DataFrame, window: int = 20) -> DataFrame:
 
     rows = docs.select("k", "r", "text").mapInPandas(emit, "h bigint, k bigint, r bigint")
     common = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    # a set: rows that share their key have the same anchors
-    return rows.join(common, "h").groupBy("k", "r").agg(F.collect_set("h").alias("shared"))
+    # dealt as plain rows, which are smaller than one-element sets combined before
+    return rows.join(common, "h").select("k", "r", "h").repartition("k", "r").groupBy("k", "r").agg(F.collect_set("h").alias("shared"))
 
 
 def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -192,7 +198,8 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     rows = marked.mapInPandas(windows, "k1 bigint, k2 bigint, k bigint")
     earliest = rows.groupBy("k1", "k2").agg(F.min("k").alias("k"))
     # no row comes before those without an id, so these lose none of their windows to others
-    firsts = earliest.where(F.col("k") != NO_ID).groupBy("k").agg(F.collect_list("k1").alias("firsts")).withColumn("r", F.lit(0).cast("bigint"))
+    others = earliest.where(F.col("k") != NO_ID).select("k", F.when(F.col("k") == NO_ID, F.col("k")).otherwise(F.lit(0)).alias("r"), "k1")
+    firsts = others.repartition("k", "r").groupBy("k", "r").agg(F.collect_list("k1").alias("firsts"))
 
     def strip(frames):
         for f in _split(frames):

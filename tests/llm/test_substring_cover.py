@@ -63,3 +63,13 @@ def test_query_matches_sql_and_brute_force(spark):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from read_parquet('{sf}/documents.parquet')")
     assert out == {r[0]: r[1:] for r in con.sql(S.OP6_SQL).fetchall()}
+
+
+def test_many_rows_without_an_id(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"v{i}" for i in rng.integers(0, 5000, 60)) for _ in range(30)]
+    rows = [(None, t) for t in texts for _ in range(4)] + [(None, "z " * 40)] * 3 + [(i, t + " end") for i, t in enumerate(texts)]
+    out = S.dedup_substrings(spark.createDataFrame([(*r, 1, "s", "t") for r in rows], SCHEMA).repartition(6)).collect()
+    blank = sorted((r.n_words, r.n_removed) for r in out if r.doc_id is None)
+    assert blank == [(40, 39)] * 3 + [(60, 0)] * 120
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in out if r.doc_id is not None} == {i: (61, 60, "end") for i in range(30)}
