@@ -42,32 +42,42 @@ def simple_ols(df: DataFrame, keys: list[str], x: Column, y: Column, intercept:
     return out.withColumn("p", t_sf(F.col("t"), F.col("df").cast("double"))).select(*keys, "n", "slope", "intercept", "r2", "t", "p")
 
 
-def asynchrony(coeffs: DataFrame, radius_m: float, keys: list[str] | None = None, key: str = "pixel_id", lon: str = "lon", lat: str = "lat", min_n: int = 30, alpha: float = 0.01, ddof: int = 1, include_self: bool = True) -> DataFrame:
-    """``(keys, pixel, asynch, asynch_r2, asynch_pval, asynch_n)`` per focal pixel.
+def asynchrony_radii(coeffs: DataFrame, radii_m: list[float], keys: list[str] | None = None, key: str = "pixel_id", lon: str = "lon", lat: str = "lat", min_n: int = 30, alpha: float = 0.01, ddof: int = 1, include_self: bool = True) -> DataFrame:
+    """``(keys, pixel, radius_m, asynch, asynch_r2, asynch_pval, asynch_n)`` per focal pixel and radius.
 
     Slope of curve distance on distance in metres over the neighbours, the focal pixel among
     them; 0 where not significant; null metrics (n stays) below ``min_n``.  Pixels without
-    coefficients neither appear as neighbours nor get a number.
+    coefficients neither appear as neighbours nor get a number.  Neighbours are met once, within the
+    largest radius; a pair counts for every radius that holds it and is summed before it moves.
+    Variables are keys, so one job serves them all.
     """
     keys = keys or []
     b = [F.col(c) for c in HARMONICS]
     usable = (b[0] * b[0] + b[1] * b[1] + b[2] * b[2] + b[3] * b[3]) > 0
     valid = coeffs.where(usable)
-    near = neighbour_pairs(valid, radius_m, keys, key, lon, lat, HARMONICS)
+    near = neighbour_pairs(valid, max(radii_m), keys, key, lon, lat, HARMONICS)
     if not include_self:
         near = near.where(F.col(key) != F.col(f"n_{key}"))
     gap = curve_distance(b, [F.col(f"n_{c}") for c in HARMONICS], ddof)
-    fit = simple_ols(near, [*keys, key], F.col("dist_m"), gap)
+    radii = F.array(*[F.lit(float(x)) for x in sorted(set(radii_m))])
+    paired = near.select(*keys, key, "dist_m", gap.alias("gap"))
+    held = paired.withColumn("radius_m", F.explode(F.filter(radii, lambda x: x >= F.col("dist_m"))))
+    own = [*keys, key, "radius_m"]
+    fit = simple_ols(held, own, F.col("dist_m"), F.col("gap"))
     enough = F.col("n") >= min_n
     out = fit.select(
-        *keys,
-        key,
-        F.when(enough, F.col("slope") * (F.col("p") < alpha).cast("int")).alias("asynch"),
+        *own,
+        F.when(enough & F.col("p").isNotNull(), F.when(F.col("p") < alpha, F.col("slope")).otherwise(0.0)).alias("asynch"),
         F.when(enough, F.col("r2")).alias("asynch_r2"),
         F.when(enough, F.col("p")).alias("asynch_pval"),
         F.col("n").alias("asynch_n"),
     )
-    return coeffs.select(*keys, key).distinct().join(out, [*keys, key], "left")
+    return coeffs.select(*keys, key).distinct().withColumn("radius_m", F.explode(radii)).join(out, own, "left")
+
+
+def asynchrony(coeffs: DataFrame, radius_m: float, keys: list[str] | None = None, **options) -> DataFrame:
+    """``asynchrony_radii`` for one radius, without its column."""
+    return asynchrony_radii(coeffs, [radius_m], keys, **options).drop("radius_m")
 
 
 def map_r2(maps: DataFrame, keys: list[str], by: list[str], level: str, value: str) -> DataFrame:

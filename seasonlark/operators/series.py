@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seasonlark.functions.seasons import DAYS, curve_value
+from seasonlark.operators.spatial import nearest_cell
 from seasonlark.operators.stats import permutations
 
 
@@ -106,6 +107,21 @@ def curve_series(coeffs: DataFrame, keys: list[str], days: int = DAYS) -> DataFr
     return long.select(*keys, "day", curve_value(F.col("day") + 1, *[F.col(c) for c in ("constant", "sin_1", "cos_1", "sin_2", "cos_2")]).alias("value"))
 
 
+def curves_at_points(points: DataFrame, coeffs: DataFrame, key: str, lon: str, lat: str, res: float, x0: float, y0: float, standardise: bool = False, days: int = DAYS) -> DataFrame:
+    """``(key, day, value)``: the fitted curve of the cell that holds each point, day from 0; null where the cell has none.
+
+    coeffs: a row per cell ``(i, j)``.  standardise: less its mean and divided by its deviation (of
+    a population) over the days; null for a flat curve.
+    """
+    names = ("constant", "sin_1", "cos_1", "sin_2", "cos_2")
+    held = nearest_cell(points.select(key, lon, lat), coeffs.select("i", "j", *names), lon, lat, res, x0, y0)
+    out = curve_series(held, [key], days)
+    if standardise:
+        w = W.partitionBy(key)
+        out = out.withColumn("value", (F.col("value") - F.avg("value").over(w)) / F.nullif(F.stddev_pop("value").over(w), F.lit(0.0)))
+    return out
+
+
 def daily_frames(coeffs: DataFrame, keys: list[str]) -> DataFrame:
     """Fitted curves scaled to [0, 1] per pixel."""
     return minmax_within(curve_series(coeffs, keys), keys, "value")

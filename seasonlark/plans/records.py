@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from seasonlark.functions import seasons
 from seasonlark.functions.geo import dms_to_degrees
-from seasonlark.operators import clean, masks, records, series, spatial, stats
+from seasonlark.operators import asynchrony, clean, masks, records, series, spatial, stats
 from seasonlark.plans import fixtures as X
-from seasonlark.plans.registry import _q, r
+from seasonlark.plans.registry import _CD, _q, r
 from seasonlark.sources import tables
 
 
@@ -201,3 +201,45 @@ def f7_raw_curve_distance(spark, d):
     b = c.select("i", F.col("pixel_id").alias("b"), *[F.col(n).alias(f"b_{n}") for n in ["constant", *names]])
     dist = seasons.raw_curve_distance(F.col("a_constant"), [F.col(f"a_{n}") for n in names], F.col("b_constant"), [F.col(f"b_{n}") for n in names])
     return a.join(b, "i").where("a <> b").select("a", "b", r(dist, 5).alias("dist"))
+
+
+def _simpson(f: str, low: str, high: str, steps: int) -> str:
+    """Simpson's rule over the variable ``u`` of the SQL expression ``f``."""
+    u = f"({low} + ({high} - ({low})) * k / {steps}.0)"
+    weight = f"(CASE WHEN k = 0 OR k = {steps} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END)"
+    return f"(({high} - ({low})) / {3 * steps}.0 * list_sum(list_transform(range(0, {steps + 1}), lambda k: {weight} * {f.replace('@u', u)})))"
+
+
+def t_tail_sql(t: str, df: str, steps: int = 2000) -> str:
+    """Two-sided tail of Student's t, integrated over the angle whose tangent is t / sqrt(df)."""
+    return f"(2 * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt(pi()) * {_simpson(f'pow(cos(@u), {df} - 1)', f'atan(abs({t}) / sqrt({df}))', 'pi() / 2', steps)})"
+
+
+def _radii_sql() -> str:
+    n = "regr_count(gap, dist)"
+    sums = f"{n} AS n, regr_slope(gap, dist) AS slope, regr_r2(gap, dist) AS r2"
+    error = "sqrt(greatest(regr_syy(gap, dist) - regr_slope(gap, dist) * regr_sxy(gap, dist), 0) / nullif(n_2, 0) / regr_sxx(gap, dist))".replace("n_2", f"({n} - 2)")
+    return f"""WITH {X.COEFFS}, v AS (SELECT 'all' AS variable, * FROM coef UNION ALL SELECT 'upper', * FROM coef WHERE i < 9),
+p AS (SELECT a.variable, a.pixel_id, {X.HAV} AS dist, {_CD} AS gap FROM v a JOIN v b ON a.variable = b.variable AND {X.HAV} <= 25000),
+f AS (SELECT variable, pixel_id, radius_m, {sums}, regr_slope(gap, dist) / {error} AS t FROM p JOIN (VALUES (10000.0), (18000.0), (25000.0)) x(radius_m) ON dist <= radius_m GROUP BY ALL),
+q AS (SELECT *, {t_tail_sql('t', '(n - 2)')} AS pv FROM f WHERE n >= 30)
+SELECT f.variable, f.pixel_id, CAST(f.radius_m AS DOUBLE) AS radius_m, f.n, CASE WHEN q.pv < 0.01 THEN round(q.slope * 1000, 4) WHEN q.pv IS NOT NULL THEN 0.0 END AS asynch, round(q.r2, 5) AS r2, round(q.pv, 6) AS p
+FROM f LEFT JOIN q USING (variable, pixel_id, radius_m)"""
+
+
+@_q(_radii_sql())
+def m5_asynchrony_radii(spark, d):
+    c = X.simple_coeffs(spark, d)
+    both = c.withColumn("variable", F.lit("all")).unionByName(c.where("i < 9").withColumn("variable", F.lit("upper")))
+    out = asynchrony.asynchrony_radii(both, [10_000.0, 18_000.0, 25_000.0], ["variable"])
+    return out.select("variable", "pixel_id", "radius_m", F.col("asynch_n").alias("n"), r(F.col("asynch") * 1000, 4).alias("asynch"), r("asynch_r2", 5).alias("r2"), r("asynch_pval").alias("p"))
+
+
+@_q(f"""WITH {X.COEFFS}, {X.POINTS}, h AS (SELECT id, CAST(floor((5 - lat) / 0.05) AS INT) AS i, CAST(floor((lon + 60) / 0.05) AS INT) AS j FROM pts),
+s AS (SELECT id, CAST(day AS INT) AS day, constant + sin_1 * sin(w) + cos_1 * cos(w) + sin_2 * sin(2 * w) + cos_2 * cos(2 * w) AS v
+  FROM (SELECT h.id, coef.*, day, (day + 1) * (2 * pi() / 365) AS w FROM h LEFT JOIN coef USING (i, j), range(0, 365) x(day)))
+SELECT id, count(v) AS n, round(max(z), 5) AS high, round(min(z), 5) AS low, round(avg(z * day), 3) AS moment
+FROM (SELECT *, (v - avg(v) OVER w) / nullif(stddev_pop(v) OVER w, 0) AS z FROM s WINDOW w AS (PARTITION BY id)) GROUP BY id""")
+def m4_curves_at_points(spark, d):
+    out = series.curves_at_points(X.points(spark, d), X.simple_coeffs(spark, d), "id", "lon", "lat", 0.05, -60.0, 5.0, standardise=True)
+    return out.groupBy("id").agg(F.count("value").alias("n"), r(F.max("value"), 5).alias("high"), r(F.min("value"), 5).alias("low"), r(F.avg(F.col("value") * F.col("day")), 3).alias("moment"))
