@@ -60,7 +60,8 @@ def dbscan(df: DataFrame, key: str, x: str, y: str, eps: float, min_samples: flo
     a = base.withColumns({"cx": cell("x"), "cy": cell("y")})
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     b = a.withColumn("d", around).select(F.col("k").alias("k2"), F.col("x").alias("x2"), F.col("y").alias("y2"), (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"))
-    near = a.join(b, ["cx", "cy"]).where(F.pow(F.col("x") - F.col("x2"), 2.0) + F.pow(F.col("y") - F.col("y2"), 2.0) <= eps * eps).select("k", "k2")
+    met = a.join(b, ["cx", "cy"]).where(F.pow(F.col("x") - F.col("x2"), 2.0) + F.pow(F.col("y") - F.col("y2"), 2.0) <= eps * eps)
+    near = materialise(met.select("k", "k2"), "near")
     core = materialise(near.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("k"), "core")
     to_core = near.join(core.withColumnRenamed("k", "k2"), "k2")
     links = to_core.join(core, "k").where("k < k2")

@@ -85,3 +85,21 @@ def cell_means(spark: SparkSession, d: str, gap: int = 0) -> DataFrame:
 def cell_means_sql(gap: int = 0) -> str:
     v = f"CASE WHEN pixel_id % {gap} <> 0 THEN avg(value) END" if gap else "avg(value)"
     return f"{PIXELS}, cells AS (SELECT pixel_id, i, j, {v} AS value FROM pix GROUP BY pixel_id, i, j)"
+
+
+def _simpson(f: str, low: str, high: str, steps: int) -> str:
+    """Simpson's rule over the variable ``u`` of the SQL expression ``f``."""
+    u = f"({low} + ({high} - ({low})) * k / {steps}.0)"
+    weight = f"(CASE WHEN k = 0 OR k = {steps} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END)"
+    return f"(({high} - ({low})) / {3 * steps}.0 * list_sum(list_transform(range(0, {steps + 1}), lambda k: {weight} * {f.replace('@u', u)})))"
+
+
+def t_tail_sql(t: str, df: str, steps: int = 2000) -> str:
+    """Two-sided tail of Student's t, integrated over the angle whose tangent is t / sqrt(df)."""
+    return f"(2 * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt(pi()) * {_simpson(f'pow(cos(@u), {df} - 1)', f'atan(abs({t}) / sqrt({df}))', 'pi() / 2', steps)})"
+
+
+def f_tail_sql(f: str, d1: str, d2: str, steps: int = 4000) -> str:
+    """Upper tail of the F distribution, integrated over the angle whose squared sine is d2 / (d2 + d1 f)."""
+    scale = f"2 * exp(lgamma(({d1} + {d2}) / 2.0) - lgamma({d1} / 2.0) - lgamma({d2} / 2.0))"
+    return f"({scale} * {_simpson(f'pow(sin(@u), {d2} - 1) * pow(cos(@u), {d1} - 1)', '0', f'asin(sqrt({d2} / ({d2} + {d1} * ({f}))))', steps)})"

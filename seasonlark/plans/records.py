@@ -203,18 +203,6 @@ def f7_raw_curve_distance(spark, d):
     return a.join(b, "i").where("a <> b").select("a", "b", r(dist, 5).alias("dist"))
 
 
-def _simpson(f: str, low: str, high: str, steps: int) -> str:
-    """Simpson's rule over the variable ``u`` of the SQL expression ``f``."""
-    u = f"({low} + ({high} - ({low})) * k / {steps}.0)"
-    weight = f"(CASE WHEN k = 0 OR k = {steps} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END)"
-    return f"(({high} - ({low})) / {3 * steps}.0 * list_sum(list_transform(range(0, {steps + 1}), lambda k: {weight} * {f.replace('@u', u)})))"
-
-
-def t_tail_sql(t: str, df: str, steps: int = 2000) -> str:
-    """Two-sided tail of Student's t, integrated over the angle whose tangent is t / sqrt(df)."""
-    return f"(2 * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt(pi()) * {_simpson(f'pow(cos(@u), {df} - 1)', f'atan(abs({t}) / sqrt({df}))', 'pi() / 2', steps)})"
-
-
 def _radii_sql() -> str:
     n = "regr_count(gap, dist)"
     sums = f"{n} AS n, regr_slope(gap, dist) AS slope, regr_r2(gap, dist) AS r2"
@@ -222,7 +210,7 @@ def _radii_sql() -> str:
     return f"""WITH {X.COEFFS}, v AS (SELECT 'all' AS variable, * FROM coef UNION ALL SELECT 'upper', * FROM coef WHERE i < 9),
 p AS (SELECT a.variable, a.pixel_id, {X.HAV} AS dist, {_CD} AS gap FROM v a JOIN v b ON a.variable = b.variable AND {X.HAV} <= 25000),
 f AS (SELECT variable, pixel_id, radius_m, {sums}, regr_slope(gap, dist) / {error} AS t FROM p JOIN (VALUES (10000.0), (18000.0), (25000.0)) x(radius_m) ON dist <= radius_m GROUP BY ALL),
-q AS (SELECT *, {t_tail_sql('t', '(n - 2)')} AS pv FROM f WHERE n >= 30)
+q AS (SELECT *, {X.t_tail_sql('t', '(n - 2)')} AS pv FROM f WHERE n >= 30)
 SELECT f.variable, f.pixel_id, CAST(f.radius_m AS DOUBLE) AS radius_m, f.n, CASE WHEN q.pv < 0.01 THEN round(q.slope * 1000, 4) WHEN q.pv IS NOT NULL THEN 0.0 END AS asynch, round(q.r2, 5) AS r2, round(q.pv, 6) AS p
 FROM f LEFT JOIN q USING (variable, pixel_id, radius_m)"""
 

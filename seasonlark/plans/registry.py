@@ -256,11 +256,12 @@ def m6_env_distance(spark, d):
 
 
 @_q(f"""WITH {X.POINTS}, p AS (SELECT x.grp, abs(x.a - y.a) AS y, abs(x.b - y.b) AS x1, abs(x.lon - y.lon) AS x2 FROM pts x JOIN pts y ON x.grp = y.grp AND x.id > y.id), c AS (SELECT grp, count(*) AS m, corr(y, x1) AS a, corr(y, x2) AS b, corr(x1, x2) AS c FROM p GROUP BY ALL)
-SELECT grp, round((a - b * c) / (1 - c * c), 6) AS x1, round((b - a * c) / (1 - c * c), 6) AS x2, round((a * a + b * b - 2 * a * b * c) / (1 - c * c), 6) AS r2 FROM c""")
+SELECT grp, round(x1, 6) AS x1, round(x2, 6) AS x2, round(r2, 6) AS r2, round(x1 / e, 5) AS x1_t, round(x2 / e, 5) AS x2_t, round(r2 / 2 / ((1 - r2) / (m - 3)), 5) AS f
+FROM (SELECT *, sqrt((1 - r2) / (m - 3) / (1 - c * c)) AS e FROM (SELECT *, (a - b * c) / (1 - c * c) AS x1, (b - a * c) / (1 - c * c) AS x2, (a * a + b * b - 2 * a * b * c) / (1 - c * c) AS r2 FROM c))""")
 def m7_mmrr(spark, d):
     gap = lambda a, b: F.abs(a[0] - b[0])
     t = pairs.pair_table(X.points(spark, d), ["grp"], "id", {"y": (["a"], gap), "x1": (["b"], gap), "x2": (["lon"], gap)})
-    return pairs.mmrr(t, "grp", "y", ["x1", "x2"], nperm=49).select("grp", r("x1").alias("x1"), r("x2").alias("x2"), r("r2").alias("r2"))
+    return pairs.mmrr(t, "grp", "y", ["x1", "x2"], nperm=49).select("grp", *[r(c).alias(c) for c in ("x1", "x2", "r2")], *[r(c, 5).alias(c) for c in ("x1_t", "x2_t", "f")])
 
 
 @_q("""WITH n AS (SELECT l_suppkey % 30 AS s, l_linenumber AS locus, l_partkey % 5 AS allele, CAST(count(*) AS DOUBLE) AS n FROM lineitem WHERE l_partkey % 5 <> 0 GROUP BY ALL), k AS (SELECT DISTINCT locus, allele FROM n), s AS (SELECT DISTINCT s FROM n),
@@ -313,7 +314,11 @@ def m39_weekly_counts(spark, d):
     return series.weekly_counts(o, ["c"], "week")
 
 
-@_q()
+@_q(f"""WITH {X.COEFFS}, s AS (SELECT pixel_id, day, constant + sin_1 * sin(w) + cos_1 * cos(w) + sin_2 * sin(2 * w) + cos_2 * cos(2 * w) AS v
+  FROM (SELECT *, (day + 1) * (2 * pi() / 365) AS w FROM coef, range(0, 365) x(day))),
+z AS (SELECT pixel_id, day, (v - min(v) OVER p) / (max(v) OVER p - min(v) OVER p) AS v FROM s WINDOW p AS (PARTITION BY pixel_id)),
+k AS (SELECT a.pixel_id, a.v FROM z a JOIN z b ON b.pixel_id = a.pixel_id AND b.day = (a.day + 1) % 365 JOIN z c ON c.pixel_id = a.pixel_id AND c.day = (a.day + 364) % 365 WHERE a.v > b.v AND a.v > c.v)
+SELECT pixel_id, count(*) AS npeaks, CASE WHEN count(*) = 2 THEN round(max(v) - min(v), 5) ELSE 1.0 END AS modality FROM k GROUP BY ALL""")
 def m24_modality(spark, d):
     return series.modality(X.simple_coeffs(spark, d), ["pixel_id"]).withColumn("modality", r("modality", 5))
 
@@ -326,9 +331,11 @@ def w6_bh_adjust(spark, d):
 
 
 @_q("""WITH g AS (SELECT c_mktsegment AS g, count(*) AS n, avg(c_acctbal) AS m, var_pop(c_acctbal) AS v FROM customer GROUP BY ALL), t AS (SELECT count(*) AS k, sum(n) AS n, sum(n * m) AS s, sum(n * m * m) AS ss, sum(n * v) AS w FROM g)
-SELECT round(((ss - s * s / n) / (k - 1)) / (w / (n - k)), 5) AS f, CAST(k - 1 AS BIGINT) AS df_between, CAST(n - k AS BIGINT) AS df_within FROM t""")
+SELECT round(f, 5) AS f, CAST(d1 AS BIGINT) AS df_between, CAST(d2 AS BIGINT) AS df_within, round("""
+    + X.f_tail_sql("f", "d1", "d2")
+    + """, 6) AS p FROM (SELECT ((ss - s * s / n) / (k - 1)) / (w / (n - k)) AS f, k - 1 AS d1, n - k AS d2 FROM t)""")
 def a28_anova(spark, d):
-    return stats.anova(X.table(spark, d, "customer"), "c_mktsegment", "c_acctbal").select(r("f", 5).alias("f"), "df_between", "df_within")
+    return stats.anova(X.table(spark, d, "customer"), "c_mktsegment", "c_acctbal").select(r("f", 5).alias("f"), "df_between", "df_within", r("p").alias("p"))
 
 
 @_q()
@@ -350,7 +357,12 @@ def m16_permutation_slope(spark, d):
     return stats.permutation_slope_test(b, "k", "x", "y", 100).select(r("slope").alias("slope"), r("p").alias("p"))
 
 
-@_q()
+@_q(f"""WITH RECURSIVE {X.POINTS}, near AS (SELECT a.id AS k, b.id AS k2 FROM pts a JOIN pts b ON pow(a.b / 10 - b.b / 10, 2) + pow(a.a / 1000 - b.a / 1000, 2) <= 0.8::DOUBLE * 0.8::DOUBLE),
+core AS (SELECT k FROM near GROUP BY k HAVING count(*) >= 4),
+reach AS (SELECT k, k AS root FROM core UNION SELECT near.k2, reach.root FROM reach JOIN near USING (k) JOIN core c ON c.k = near.k2),
+lab AS (SELECT k, dense_rank() OVER (ORDER BY min(root)) AS label FROM reach GROUP BY k),
+edge AS (SELECT near.k, min(label) AS label FROM near JOIN lab ON lab.k = near.k2 GROUP BY near.k)
+SELECT id, CAST(coalesce(lab.label, edge.label, 0) AS INT) AS label FROM pts LEFT JOIN lab ON lab.k = id LEFT JOIN edge ON edge.k = id""")
 def m13_dbscan(spark, d):
     pts = X.points(spark, d).withColumn("y", F.col("a") / 1000)
     return cluster.dbscan(pts.withColumn("x", F.col("b") / 10), "id", "x", "y", 0.8, 4)
