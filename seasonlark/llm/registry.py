@@ -10,10 +10,13 @@ from seasonlark.llm import (
     license_scan,
     ordinal_toxicity,
     piece_lattice,
+    polar_whitening,
     rule_ensemble,
     simhash_anchors,
     substring_cover,
+    term_pipeline,
     token_shards,
+    virtual_slots,
     wrapper_induction,
 )
 
@@ -47,9 +50,12 @@ def queries() -> dict:
         license_scan.op8_license_scan,
         token_shards.op9_token_shards,
         piece_lattice.op10_piece_lattice,
+        virtual_slots.op11_virtual_slots,
+        polar_whitening.op12_polar_whitening,
+        term_pipeline.op13_term_pipeline,
     ]
     return {f.__name__: _query(f) for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_substring_cover": substring_cover.OP6_SQL}
+    return {"op6_substring_cover": substring_cover.OP6_SQL, "op13_term_pipeline": term_pipeline.OP13_SQL}
