@@ -20,9 +20,15 @@ def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colum
     return 2 * EARTH_M * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))
 
 
-@F.pandas_udf(T.DoubleType())
-def vincenty_m(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.Series:
-    """Inverse geodesic on WGS84 in metres (Vincenty 1975); null where it does not converge (near antipodes)."""
+def haversine(lon1: np.ndarray, lat1: np.ndarray, lon2: np.ndarray, lat2: np.ndarray) -> np.ndarray:
+    """Great-circle distances in metres, inside tasks."""
+    a, b = np.radians(lat1), np.radians(lat2)
+    h = np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(lon2 - lon1) / 2) ** 2
+    return 2 * EARTH_M * np.arcsin(np.sqrt(np.minimum(h, 1.0)))
+
+
+def vincenty(lon1: np.ndarray, lat1: np.ndarray, lon2: np.ndarray, lat2: np.ndarray) -> np.ndarray:
+    """Inverse geodesic on WGS84 in metres (Vincenty 1975); nan where it does not converge (near antipodes)."""
     a, f = 6378137.0, 1 / 298.257223563
     b = (1 - f) * a
     u1, u2 = np.arctan((1 - f) * np.tan(np.radians(lat1))), np.arctan((1 - f) * np.tan(np.radians(lat2)))
@@ -47,7 +53,13 @@ def vincenty_m(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Serie
         big = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
         sm = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
         ds = sm * ss * (cm + sm / 4 * (cs * (2 * cm**2 - 1) - sm / 6 * cm * (4 * ss**2 - 3) * (4 * cm**2 - 3)))
-        return pd.Series(np.where(moved > 1e-9, np.nan, b * big * (sigma - ds)), index=lon1.index)
+        return np.where(moved > 1e-9, np.nan, b * big * (sigma - ds))
+
+
+@F.pandas_udf(T.DoubleType())
+def vincenty_m(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.Series:
+    """The geodesic distance of columns in metres; null for null coordinates and where it does not converge."""
+    return pd.Series(vincenty(*(c.to_numpy(float) for c in (lon1, lat1, lon2, lat2))), index=lon1.index)
 
 
 def cell_index(value: Column, origin: float, step: float, sign: int = 1) -> Column:

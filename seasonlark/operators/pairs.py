@@ -1,14 +1,12 @@
-"""Pair tables and matrix regression with permutations (MMRR)."""
+"""Pair tables, which grow with the square of a group; their regression is in ``matrix_regression``."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seasonlark.functions.tails import f_upper, t_two_sided  # noqa: F401  (offered with the regression)
+from seasonlark.operators.matrix_regression import mmrr  # noqa: F401  (a pair table is its input)
 
 
 def pair_table(df: DataFrame, group: list[str], key: str, metrics: dict[str, tuple[list[str], object]]) -> DataFrame:
@@ -79,57 +77,3 @@ def allele_distance(genotypes: DataFrame, sample: str, locus: str, allele: str,
     pairs = norm.select(F.col("s").alias("i"), F.col("q").alias("qi"), F.lit(1).alias("g")).join(norm.select(F.col("s").alias("j"), F.col("q").alias("qj"), F.lit(1).alias("g")), "g").where("i > j")
     out = pairs.join(dot, ["i", "j"], "left")
     return out.select("i", "j", F.sqrt(F.greatest(F.col("qi") + F.col("qj") - 2 * F.coalesce("dot", F.lit(0.0)), F.lit(0.0))).alias("d"))
-
-
-def mmrr(pairs: DataFrame, group: str, y: str, xs: list[str], nperm: int = 999, seed: int = 0, chunk: int = 100) -> DataFrame:
-    """Matrix regression per group: ``(group, n, r2, intercept, b_x.., t_x.., p_x.., f, f_p)``.
-
-    Lower triangles are standardised (so the constant is 0 and t is that of standardised
-    slopes); p = (1 + permutations with |t| at least as large) / (nperm + 1), F one-sided likewise.
-    Permuting rows and columns of Y leaves X'X and Y's variance alone, so a permutation costs
-    one product per x.  Groups are split by chunks of permutations, and a task holds the
-    matrices of one group and chunk.
-    """
-    k = len(xs)
-    chunks = -(-(nperm + 1) // chunk)
-    work = pairs.select(F.col(group).alias("g"), F.col("i").cast("string").alias("i"), F.col("j").cast("string").alias("j"), *[F.col(c).cast("double").alias(f"v{n}") for n, c in enumerate([y, *xs])]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    fields = "n bigint, r2 double, f double, " + ", ".join(f"b{i} double, t{i} double" for i in range(k)) + ", perm int"
-    gtype = pairs.schema[group].dataType.simpleString()
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        names = sorted({*part["i"], *part["j"]})
-        at = {s: i for i, s in enumerate(names)}
-        i, j = part["i"].map(at).to_numpy(), part["j"].map(at).to_numpy()
-        n, m = len(names), len(part)
-        full = m == n * (n - 1) // 2 and not part[[f"v{c}" for c in range(k + 1)]].isna().to_numpy().any()
-        if not full or m <= k + 1:
-            return pd.DataFrame()
-        vals = part[[f"v{c}" for c in range(k + 1)]].to_numpy()
-        sd = vals.std(axis=0)
-        if (sd == 0).any():
-            return pd.DataFrame()
-        z = (vals - vals.mean(axis=0)) / sd
-        mat = np.zeros((n, n))
-        mat[i, j] = mat[j, i] = z[:, 0]
-        inv = np.linalg.pinv(z[:, 1:].T @ z[:, 1:])
-        c = int(part["chunk"].iloc[0])
-        out = []
-        for p in range(c * chunk, min(nperm + 1, (c + 1) * chunk)):
-            order = np.arange(n) if p == 0 else np.random.default_rng([seed, p]).permutation(n)
-            xy = z[:, 1:].T @ mat[order[i], order[j]]
-            beta = inv @ xy
-            sse = max(m - float(beta @ xy), 1e-12)
-            df = m - k - 1
-            t = beta / np.sqrt(sse / df * np.diag(inv))
-            out.append([part["g"].iloc[0], n, 1 - sse / m, (m - sse) / k / (sse / df), *[v for b in zip(beta, t, strict=True) for v in b], p])
-        return pd.DataFrame(out, columns=["g", "n", "r2", "f", *[v for x in range(k) for v in (f"b{x}", f"t{x}")], "perm"])
-
-    stats = work.groupBy("g", "chunk").applyInPandas(run, f"g {gtype}, {fields}")
-    true = stats.where("perm = 0").select("g", *[F.col(c).alias(f"o_{c}") for c in stats.columns if c not in ("g", "perm")])
-    met = stats.join(true, "g")
-    hit = lambda c: ((1 + F.sum(((F.col("perm") > 0) & c).cast("int"))) / (nperm + 1))
-    agg = met.groupBy("g", *[c for c in true.columns if c != "g"]).agg(
-        *[hit(F.abs(f"t{i}") >= F.abs(f"o_t{i}")).alias(f"p{i}") for i in range(k)], hit(F.col("f") >= F.col("o_f")).alias("f_p")
-    )
-    named = [c for i, x in enumerate(xs) for c in (F.col(f"o_b{i}").alias(x), F.col(f"o_t{i}").alias(f"{x}_t"), F.col(f"p{i}").alias(f"{x}_p"))]
-    return agg.select(F.col("g").alias(group), F.col("o_n").alias("n"), F.col("o_r2").alias("r2"), *named, F.col("o_f").alias("f"), "f_p")

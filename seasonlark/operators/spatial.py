@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -122,18 +123,26 @@ def align_bilinear(dst: DataFrame, src: DataFrame, key: str, x: str, y: str, val
     return agg.select(key, F.when(F.col("n") == 4, F.col("v")).alias(value))
 
 
-def tolerance_fill(grid: DataFrame, value: str, tol: int) -> DataFrame:
-    """Fill null cells by inverse distances from valid cells in the window [-tol, tol) of rows and columns; others stay null.
+def tolerance_fill_bands(grid: DataFrame, values: list[str], tol: int) -> DataFrame:
+    """Fill null cells of every band by inverse distances from cells valid in that band, in the window [-tol, tol) of rows and columns; others stay null.
 
-    Only valid cells next to gaps travel: gaps are exploded over the window and joined to the grid.
+    Only cells with a gap travel: they are exploded over the window and joined to the grid once for all bands.
     """
     offsets = [(a, b) for a in range(-tol, tol) for b in range(-tol, tol) if a or b]
     step = F.explode(F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj"), F.lit(1 / math.hypot(a, b)).alias("w")) for a, b in offsets]))
-    gaps = grid.where(F.col(value).isNull()).select("i", "j", step.alias("o"))
-    near = gaps.select(F.col("i").alias("gi"), F.col("j").alias("gj"), (F.col("i") + F.col("o.di")).alias("i"), (F.col("j") + F.col("o.dj")).alias("j"), "o.w")
-    met = near.join(grid.where(F.col(value).isNotNull()).select("i", "j", value), ["i", "j"])
-    new = met.groupBy(F.col("gi").alias("i"), F.col("gj").alias("j")).agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("__new"))
-    return grid.join(new, ["i", "j"], "left").withColumn(value, F.coalesce(value, "__new")).drop("__new")
+    gap = lambda c: F.col(c).isNull()
+    some = functools.reduce(lambda x, y: x | y, map(gap, values))
+    near = grid.where(some).select(F.col("i").alias("gi"), F.col("j").alias("gj"), step.alias("o"))
+    near = near.select("gi", "gj", (F.col("gi") + F.col("o.di")).alias("i"), (F.col("gj") + F.col("o.dj")).alias("j"), "o.w")
+    met = near.join(grid.where(~functools.reduce(lambda x, y: x & y, map(gap, values))).select("i", "j", *values), ["i", "j"])
+    means = [(F.sum(F.col("w") * F.col(c)) / F.sum(F.when(F.col(c).isNotNull(), F.col("w")))).alias(f"__new_{c}") for c in values]
+    new = met.groupBy(F.col("gi").alias("i"), F.col("gj").alias("j")).agg(*means)
+    return grid.join(new, ["i", "j"], "left").withColumns({c: F.coalesce(c, f"__new_{c}") for c in values}).drop(*[f"__new_{c}" for c in values])
+
+
+def tolerance_fill(grid: DataFrame, value: str, tol: int) -> DataFrame:
+    """``tolerance_fill_bands`` of one band."""
+    return tolerance_fill_bands(grid, [value], tol)
 
 
 def zonal_mean(df: DataFrame, zone: str, layer: str, value: str) -> DataFrame:

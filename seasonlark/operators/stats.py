@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seasonlark.functions.shuffles import MASK, permuted_column
 from seasonlark.functions.tails import f_sf
 
 
@@ -77,10 +79,6 @@ def tukey_hsd(df: DataFrame, group: str, value: str) -> DataFrame:
     return both.select("a", "b", (F.col("mb") - F.col("ma")).alias("diff"), q.alias("q"), "k", "dfw").withColumn("p", sf("q", "k", F.col("dfw").cast("double"))).drop("k", "dfw")
 
 
-#: Ranks of a whole table are counted within so many ranges of the index.
-RANK_PARTS = 512
-
-
 def numbered(df: DataFrame, keys: list[str], part: str, order: list, out: str) -> DataFrame:
     """Add the row number from 1 within ``keys`` by (part, order): counted inside each part, plus the rows of the parts before.
 
@@ -93,24 +91,24 @@ def numbered(df: DataFrame, keys: list[str], part: str, order: list, out: str) -
     return inside.join(starts, [*keys, part]).withColumn(out, F.col("__in") + F.col("__before")).drop("__in", "__before")
 
 
+#: Keys of successive permutations lie this far apart.
+PERM_STEP = 0x3C6EF372
+
+
 def permutations(df: DataFrame, keys: list[str], index: str, value: str, n: int, salt: str = "") -> DataFrame:
-    """``(keys, perm, index, value)``: for each of ``n`` seeds the values dealt anew within a group.
+    """``(keys, perm, index, value)``: for each of ``n`` permutations the values dealt anew within a group.
 
-    Ranks by index meet ranks by md5(perm-index); the join is on (keys, perm, rank).
+    Rows are numbered once, by md5 of the index (of any type; it should be unique in its group); a permutation
+    then computes where each row's value goes, and one equi-join on (keys, place) deals it.
     """
     base = df.select(*keys, index, value)
-    if dict(df.dtypes)[index] in ("tinyint", "smallint", "int", "bigint"):
-        ends = base.agg(F.min(index).alias("__lo"), F.max(index).alias("__hi"))
-        at = (F.col(index) - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + 1) * RANK_PARTS
-        base = base.join(F.broadcast(ends)).withColumn("__part", F.coalesce(F.floor(at).cast("int"), F.lit(-1))).drop("__lo", "__hi")
-    else:
-        base = base.withColumn("__part", F.lit(0))
-    base = numbered(base, keys, "__part", [F.col(index)], "__i").drop("__part")
-    many = base.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("__h", F.md5(F.concat_ws("-", F.lit(salt), "perm", index)))
-    # hexadecimal digits sort as their numbers do
-    many = many.withColumn("__part", F.substring("__h", 1, 2))
-    drawn = numbered(many, [*keys, "perm"], "__part", [F.col("__h"), F.col(index)], "__j")
-    return drawn.select(*keys, "perm", value, F.col("__j").alias("__i")).join(base.select(*keys, index, "__i"), [*keys, "__i"]).select(*keys, "perm", index, value)
+    base = base.withColumn("__h", F.coalesce(F.md5(F.col(index).cast("string").cast("binary")), F.lit(""))).withColumn("__part", F.substring("__h", 1, 3))
+    base = numbered(base, keys, "__part", [F.col("__h"), F.col(index)], "__i").withColumn("__i", F.col("__i") - 1).drop("__part", "__h")
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("__n"))
+    many = (base.join(sizes, keys) if keys else base.join(F.broadcast(sizes))).select(*keys, value, "__i", "__n", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("perm"))
+    key = (F.lit(zlib.crc32(salt.encode())) + F.col("perm").cast("bigint") * PERM_STEP).bitwiseAND(F.lit(MASK))
+    many = many.select(*keys, "perm", value, permuted_column("__i", "__n", key).alias("__i"))
+    return many.join(base.select(*keys, index, "__i"), [*keys, "__i"]).select(*keys, "perm", index, value)
 
 
 def permutation_slope_test(df: DataFrame, index: str, x: str, y: str, n: int = 1000) -> DataFrame:

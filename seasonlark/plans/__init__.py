@@ -1,3 +1,4 @@
 """Registered queries over the given tables, with the SQL they are held against."""
 
 from seasonlark.plans import records as records
+from seasonlark.plans import regressions as regressions

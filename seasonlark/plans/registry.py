@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from seasonlark.functions import seasons
 from seasonlark.functions.geo import hex_cell
+from seasonlark.functions.shuffles import MASK, permuted_sql
 from seasonlark.operators import asynchrony, attribution, clean, cluster, eof, evaluate, harmonic, masks, pairs, series, spatial, stats
+from seasonlark.operators.matrix_regression import TIE as mmrr_tie
 from seasonlark.plans import fixtures as X
 from seasonlark.sources import tables
 
@@ -255,13 +257,26 @@ def m6_env_distance(spark, d):
     return pairs.env_distance(X.points(spark, d), ["grp"], "id", ["a", "b"]).withColumn("dist", r("dist"))
 
 
-@_q(f"""WITH {X.POINTS}, p AS (SELECT x.grp, abs(x.a - y.a) AS y, abs(x.b - y.b) AS x1, abs(x.lon - y.lon) AS x2 FROM pts x JOIN pts y ON x.grp = y.grp AND x.id > y.id), c AS (SELECT grp, count(*) AS m, corr(y, x1) AS a, corr(y, x2) AS b, corr(x1, x2) AS c FROM p GROUP BY ALL)
-SELECT grp, round(x1, 6) AS x1, round(x2, 6) AS x2, round(r2, 6) AS r2, round(x1 / e, 5) AS x1_t, round(x2 / e, 5) AS x2_t, round(r2 / 2 / ((1 - r2) / (m - 3)), 5) AS f
-FROM (SELECT *, sqrt((1 - r2) / (m - 3) / (1 - c * c)) AS e FROM (SELECT *, (a - b * c) / (1 - c * c) AS x1, (b - a * c) / (1 - c * c) AS x2, (a * a + b * b - 2 * a * b * c) / (1 - c * c) AS r2 FROM c))""")
+_FIT2 = """(SELECT *, x1 / e AS x1_t, x2 / e AS x2_t, r2 / 2 / ((1 - r2) / (m - 3)) AS f FROM (SELECT *, sqrt((1 - r2) / (m - 3) / (1 - c * c)) AS e
+FROM (SELECT *, (a - b * c) / (1 - c * c) AS x1, (b - a * c) / (1 - c * c) AS x2, (a * a + b * b - 2 * a * b * c) / (1 - c * c) AS r2 FROM c)))"""
+_MMRR = f"""WITH RECURSIVE {X.POINTS}, o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY CAST(id AS VARCHAR)) - 1 AS spot, count(*) OVER (PARTITION BY grp) AS total FROM pts),
+base AS (SELECT s.perm, o.grp, o.spot AS place, o.spot, o.total, (s.perm * CAST({stats.PERM_STEP} AS BIGINT)) & {MASK} AS key FROM o, range(1, 1000) s(perm)), {permuted_sql("base", "spot", "total", "key", "perm, grp, place")},
+dealt AS (SELECT perm, grp, place, pl FROM walk WHERE done UNION ALL SELECT 0, grp, spot, spot FROM o),
+who AS (SELECT d.perm, d.grp, d.place, o.a FROM dealt d JOIN o ON o.grp = d.grp AND o.spot = d.pl),
+p AS (SELECT u.perm, u.grp, abs(u.a - v.a) AS y, abs(x.b - z.b) AS x1, abs(x.lon - z.lon) AS x2 FROM who u JOIN who v ON v.perm = u.perm AND v.grp = u.grp AND v.place < u.place JOIN o x ON x.grp = u.grp AND x.spot = u.place JOIN o z ON z.grp = v.grp AND z.spot = v.place),
+c AS (SELECT perm, grp, count(*) AS m, corr(y, x1) AS a, corr(y, x2) AS b, corr(x1, x2) AS c FROM p GROUP BY perm, grp),
+f AS (SELECT * FROM {_FIT2}), t AS (SELECT * FROM f WHERE perm = 0)
+SELECT t.grp, round(t.x1, 6) AS x1, round(t.x2, 6) AS x2, round(t.r2, 6) AS r2, round(t.x1_t, 5) AS x1_t, round(t.x2_t, 5) AS x2_t, round(t.f, 5) AS f,
+round(avg(CAST(abs(f.x1_t) >= abs(t.x1_t) * {mmrr_tie} AS INT)), 6) AS x1_p, round(avg(CAST(abs(f.x2_t) >= abs(t.x2_t) * {mmrr_tie} AS INT)), 6) AS x2_p, round(avg(CAST(f.f >= t.f * {mmrr_tie} AS INT)), 6) AS f_p
+FROM t JOIN f ON f.grp = t.grp GROUP BY ALL"""
+
+
+@_q(_MMRR)
 def m7_mmrr(spark, d):
     gap = lambda a, b: F.abs(a[0] - b[0])
     t = pairs.pair_table(X.points(spark, d), ["grp"], "id", {"y": (["a"], gap), "x1": (["b"], gap), "x2": (["lon"], gap)})
-    return pairs.mmrr(t, "grp", "y", ["x1", "x2"], nperm=49).select("grp", *[r(c).alias(c) for c in ("x1", "x2", "r2")], *[r(c, 5).alias(c) for c in ("x1_t", "x2_t", "f")])
+    out = pairs.mmrr(t, "grp", "y", ["x1", "x2"], nperm=999)
+    return out.select("grp", *[r(c).alias(c) for c in ("x1", "x2", "r2", "x1_p", "x2_p", "f_p")], *[r(c, 5).alias(c) for c in ("x1_t", "x2_t", "f")])
 
 
 @_q("""WITH n AS (SELECT l_suppkey % 30 AS s, l_linenumber AS locus, l_partkey % 5 AS allele, CAST(count(*) AS DOUBLE) AS n FROM lineitem WHERE l_partkey % 5 <> 0 GROUP BY ALL), k AS (SELECT DISTINCT locus, allele FROM n), s AS (SELECT DISTINCT s FROM n),
@@ -350,11 +365,17 @@ def a29_pair_jaccard(spark, d):
     return cluster.pair_jaccard(e, "e", "f").withColumn("jaccard", r("jaccard", 8))
 
 
-@_q("""WITH b AS (SELECT c_nationkey AS k, avg(c_custkey % 97) AS x, avg(c_acctbal) AS y FROM customer GROUP BY ALL), i AS (SELECT *, row_number() OVER (ORDER BY k) AS i FROM b), p AS (SELECT s.perm, i.x, row_number() OVER (PARTITION BY s.perm ORDER BY md5(concat('-', s.perm, '-', i.k)), i.k) AS j FROM i, range(0, 100) s(perm)),
-n AS (SELECT p.perm, regr_slope(i.y, p.x) AS s FROM p JOIN i ON i.i = p.j GROUP BY ALL), t AS (SELECT regr_slope(y, x) AS s FROM b) SELECT round(t.s, 6) AS slope, round(avg(CAST(n.s >= t.s AS INT)), 6) AS p FROM n, t GROUP BY t.s""")
+_SLOPE = f"""WITH RECURSIVE b AS (SELECT c_nationkey AS k, avg(c_custkey % 97) AS x, avg(c_acctbal) AS y FROM customer GROUP BY ALL),
+i AS (SELECT *, row_number() OVER (ORDER BY md5(CAST(k AS VARCHAR)), k) - 1 AS i, count(*) OVER () AS n FROM b),
+base AS (SELECT s.perm, i.x, i.i AS spot, i.n AS total, (s.perm * CAST({stats.PERM_STEP} AS BIGINT)) & {MASK} AS key FROM i, range(0, 1000) s(perm)), {permuted_sql("base", "spot", "total", "key", "perm, x")},
+n AS (SELECT w.perm, regr_slope(i.y, w.x) AS s FROM walk w JOIN i ON i.i = w.pl WHERE w.done GROUP BY ALL), t AS (SELECT regr_slope(y, x) AS s FROM b)
+SELECT round(t.s, 6) AS slope, round(avg(CAST(n.s >= t.s AS INT)), 6) AS p FROM n, t GROUP BY t.s"""
+
+
+@_q(_SLOPE)
 def m16_permutation_slope(spark, d):
     b = X.table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.avg(F.col("c_custkey") % 97).alias("x"), F.avg("c_acctbal").alias("y"))
-    return stats.permutation_slope_test(b, "k", "x", "y", 100).select(r("slope").alias("slope"), r("p").alias("p"))
+    return stats.permutation_slope_test(b, "k", "x", "y", 1000).select(r("slope").alias("slope"), r("p").alias("p"))
 
 
 @_q(f"""WITH RECURSIVE {X.POINTS}, near AS (SELECT a.id AS k, b.id AS k2 FROM pts a JOIN pts b ON pow(a.b / 10 - b.b / 10, 2) + pow(a.a / 1000 - b.a / 1000, 2) <= 0.8::DOUBLE * 0.8::DOUBLE),

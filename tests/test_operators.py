@@ -151,37 +151,6 @@ def test_simple_ols_edges(spark):
     assert math.isclose(zero.slope, 30 / 14) and math.isclose(zero.r2, 1 - (75 - 30 * 30 / 14) / 75)
 
 
-def test_mmrr_matches_full_regressions(spark):
-    rng = np.random.default_rng(4)
-    n = 14
-    mats = [np.abs(np.subtract.outer(v, v)) for v in rng.normal(size=(3, n))]
-    y = mats[0] * 0.8 + mats[1] * 0.2 + np.abs(rng.normal(0, 0.1, (n, n)))
-    y = (y + y.T) / 2
-    low = np.tril_indices(n, -1)
-    rows = [("g", f"s{i:02d}", f"s{j:02d}", float(y[i, j]), float(mats[1][i, j]), float(mats[0][i, j])) for i, j in zip(*low, strict=True)]
-    rows += [("tiny", "a", "b", 1.0, 2.0, 3.0)]
-    df = spark.createDataFrame(rows, "g string, i string, j string, y double, x1 double, x2 double")
-    out = {r.g: r for r in pairs.mmrr(df, "g", "y", ["x1", "x2"], nperm=99, chunk=17).collect()}
-    assert set(out) == {"g"}
-    z = lambda v: (v - v.mean()) / v.std()
-    x = np.stack([np.ones(len(low[0])), z(mats[1][low]), z(mats[0][low])], axis=1)
-
-    def fit(m):
-        v = z(m[low])
-        b, *_ = np.linalg.lstsq(x, v, rcond=None)
-        s = ((v - x @ b) ** 2).sum() / (len(v) - 3)
-        return b, b / np.sqrt(s * np.diag(np.linalg.inv(x.T @ x))), 1 - ((v - x @ b) ** 2).sum() / len(v)
-
-    b, t, r2 = fit(y)
-    hits = np.ones(2)
-    for p in range(1, 100):
-        o = np.random.default_rng([0, p]).permutation(n)
-        hits += np.abs(fit(y[np.ix_(o, o)])[1][1:]) >= np.abs(t[1:])
-    r = out["g"]
-    assert np.allclose([r.x1, r.x2, r.x1_t, r.x2_t, r.r2], [b[1], b[2], t[1], t[2], r2], rtol=1e-6)
-    assert np.allclose([r.x1_p, r.x2_p], hits / 100)
-
-
 def test_matrix_pairs(spark):
     m = spark.createDataFrame([("a", 0.0, 1.0, 2.0), ("b", 1.0, 0.0, 3.0), ("c", 2.0, 3.5, 0.0)], "k string, a double, b double, c double")
     assert {(r.i, r.j): r.d for r in pairs.matrix_to_pairs(m, "k").collect()} == {("b", "a"): 1.0, ("c", "a"): 2.0, ("c", "b"): 3.5}
