@@ -86,27 +86,6 @@ def nearest_valid(points: DataFrame, grid: DataFrame, key: str, value: str, max_
     return points.select(key).join(best, key, "left").select(key, "b.ring", F.col("b.i").alias("cell_i"), F.col("b.j").alias("cell_j"), f"b.{value}")
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, key: str, x: str, y: str, name: str, vertices: str) -> DataFrame:
-    """``(key, name)`` for every polygon that holds a point, by ray casting; the polygons go to every task after a count check.
-
-    polygons: name and an array of structs x, y in ring order.  Points on an edge may fall on either side.
-    """
-    if polygons.limit(10_001).count() > 10_000:
-        raise ValueError("more polygons than a broadcast should carry; use cell sets and bin_summary")
-    axis = {a: F.col(f"{vertices}.{a}") for a in ("x", "y")}
-    box = polygons.select(name, vertices, *[f(c).alias(f"__{n}{a}") for n, f in (("lo", F.array_min), ("hi", F.array_max)) for a, c in axis.items()])
-    met = points.join(F.broadcast(box), F.col(x).between(F.col("__lox"), F.col("__hix")) & F.col(y).between(F.col("__loy"), F.col("__hiy")))
-    n = F.size(vertices)
-
-    def crosses(v, i):
-        w = F.get(vertices, F.pmod(i + 1, n))
-        up = (v["y"] > F.col(y)) != (w["y"] > F.col(y))
-        return F.when(up & (F.col(x) < (w["x"] - v["x"]) * (F.col(y) - v["y"]) / (w["y"] - v["y"]) + v["x"]), 1).otherwise(0)
-
-    inside = F.aggregate(F.transform(vertices, crosses), F.lit(0), lambda a, b: a + b) % 2 == 1
-    return met.where(inside).select(key, name)
-
-
 def align_bilinear(dst: DataFrame, src: DataFrame, key: str, x: str, y: str, value: str, res: float, x0: float, y0: float) -> DataFrame:
     """Bilinear value of a source grid at points; null if any of the four cell centres around is missing.
 
@@ -163,13 +142,6 @@ def bin_summary(features: DataFrame, cells: DataFrame, key: str, cell: str, metr
     return agg.join(F.broadcast(top)).withColumn("scaled", F.col("n") / F.col("__top")).drop("__top")
 
 
-def random_points(regions: DataFrame, key: str, n: int, seed: int = 0, factor: int = 20) -> DataFrame:
-    """``n`` seeded points in each region's box (west, south, east, north), of ``factor`` times as many drawn; for regions cut out of a box, filter and take ``n`` after."""
-    drawn = regions.select(key, "west", "south", "east", "north", F.explode(F.sequence(F.lit(1), F.lit(n * factor))).alias("draw"))
-    u = lambda salt: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), key, "draw"), F.lit(1 << 40)) / float(1 << 40)
-    return drawn.select(key, "draw", (F.col("west") + u(1) * (F.col("east") - F.col("west"))).alias("x"), (F.col("south") + u(2) * (F.col("north") - F.col("south"))).alias("y"))
-
-
 def first_per_key(df: DataFrame, key: str, n: int, *order: Column | str) -> DataFrame:
     """The first ``n`` rows of each key (quota, sample by a hash order, or nearest members by distance)."""
     return df.withColumn("__r", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("__r") <= n).drop("__r")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from seasonlark.functions import seasons
 from seasonlark.functions.geo import hex_cell
 from seasonlark.functions.shuffles import MASK, permuted_sql
-from seasonlark.operators import asynchrony, attribution, clean, cluster, eof, evaluate, harmonic, masks, pairs, series, spatial, stats
+from seasonlark.operators import asynchrony, attribution, clean, cluster, eof, evaluate, harmonic, masks, pairs, polygons, series, spatial, stats
 from seasonlark.operators.matrix_regression import TIE as mmrr_tie
 from seasonlark.plans import fixtures as X
 from seasonlark.sources import tables
@@ -214,7 +214,7 @@ def j7_points_in_polygons(spark, d):
     k = F.col("r_regionkey") * 0.1
     v = lambda x, y: F.struct((F.lit(x) + k).alias("x"), F.lit(y).alias("y"))
     polys = X.table(spark, d, "region").select(F.col("r_regionkey").cast("int").alias("poly"), F.array(v(-60.0, 4.25), v(-59.7, 4.31), v(-59.81, 5.01)).alias("ring"))
-    return spatial.points_in_polygons(X.points(spark, d), polys, "id", "lon", "lat", "poly", "ring")
+    return polygons.points_in_polygons(X.points(spark, d), polys, "id", "lon", "lat", "poly", "ring")
 
 
 @_q(f"""WITH {X.cell_means_sql()}, {X.POINTS}, f AS (SELECT id, (lon + 60.025) / 0.05 - 0.5 AS fx, (5.025 - lat) / 0.05 - 0.5 AS fy FROM pts), g AS (SELECT id, fx - floor(fx) AS wx, fy - floor(fy) AS wy, floor(fx) AS j0, floor(fy) AS i0 FROM f),
