@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seasonlark.graph import connected_components
-from seasonlark.scratch import materialise
+from seasonlark.operators.density import closing, dbscan, run_cells  # noqa: F401  (clusters by density are offered here as well)
 
 
 def kmeans(df: DataFrame, cols: list[str], k: int, seed: int = 0):
@@ -48,44 +47,9 @@ def inertia(df: DataFrame, label: str, cols: list[str]) -> DataFrame:
     return df.groupBy(label).agg(F.sum(F.lit(0.0)).alias("__z"), *[(F.var_pop(c) * F.count(c)).alias(f"__{c}") for c in cols]).select(label, sum((F.col(f"__{c}") for c in cols[1:]), F.col(f"__{cols[0]}")).alias("inertia"))
 
 
-def dbscan(df: DataFrame, key: str, x: str, y: str, eps: float, min_samples: float) -> DataFrame:
-    """``(key, label)``: density clusters from 1, 0 for noise; the point itself counts.
-
-    Points meet those of the cells around their own in an equi-join.  Core points within eps
-    share a component; a border point takes the smallest label among its core neighbours.
-    Labels are numbered by the smallest key of their core points.
-    """
-    base = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    cell = lambda c: F.floor(F.col(c) / eps)
-    a = base.withColumns({"cx": cell("x"), "cy": cell("y")})
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    b = a.withColumn("d", around).select(F.col("k").alias("k2"), F.col("x").alias("x2"), F.col("y").alias("y2"), (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"))
-    met = a.join(b, ["cx", "cy"]).where(F.pow(F.col("x") - F.col("x2"), 2.0) + F.pow(F.col("y") - F.col("y2"), 2.0) <= eps * eps)
-    near = materialise(met.select("k", "k2"), "near")
-    core = materialise(near.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select("k"), "core")
-    to_core = near.join(core.withColumnRenamed("k", "k2"), "k2")
-    links = to_core.join(core, "k").where("k < k2")
-    comp = connected_components(links.select("k", "k2"), "k", "k2")
-    root = core.join(comp, core["k"] == comp["id"], "left").select("k", F.coalesce("component", "k").alias("root"))
-    number = root.select("root").distinct().withColumn("label", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("root")))
-    labelled = root.join(number, "root").select(F.col("k").alias("k2"), "label")
-    found = to_core.join(labelled, "k2").groupBy("k").agg(F.min("label").alias("label"))
-    own = labelled.select(F.col("k2").alias("k"), F.col("label").alias("own"))
-    out = df.select(F.col(key).alias("k")).join(found, "k", "left").join(own, "k", "left")
-    return out.select(F.col("k").alias(key), F.coalesce("own", "label", F.lit(0)).alias("label"))
-
-
 def footprint(cells: DataFrame, label: str, i: str, j: str, radius: int, res: float, y0: float, min_area_km2: float = 0.0) -> DataFrame:
-    """``(label, i, j)``: morphological closing of each cluster's cells with a disc, clusters below an area left out.
-
-    The disc is dilated over the cells; a cell stays if its whole disc lies in the dilation.
-    """
-    disc = [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if a * a + b * b <= radius * radius]
-    step = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in disc]))
-    base = cells.select(label, F.col(i).cast("bigint").alias("i"), F.col(j).cast("bigint").alias("j")).distinct()
-    wide = base.withColumn("d", step).select(label, (F.col("i") + F.col("d.a")).alias("i"), (F.col("j") + F.col("d.b")).alias("j")).distinct()
-    hits = wide.withColumn("d", step).select(label, (F.col("i") + F.col("d.a")).alias("i"), (F.col("j") + F.col("d.b")).alias("j")).groupBy(label, "i", "j").count()
-    closed = hits.where(F.col("count") == len(disc)).select(label, "i", "j")
+    """``(label, i, j)``: morphological closing of each cluster's cells with a disc, clusters below an area left out."""
+    closed = run_cells(closing(cells.select(label, i, j).withColumn("__r", F.lit(radius)), [label], i, j, "__r"))
     big = cell_areas(closed, label, res, y0).where(F.col("area_km2") >= min_area_km2).select(label)
     return closed.join(big, label, "left_semi")
 

@@ -167,12 +167,13 @@ def _finished(sums: DataFrame, moments: DataFrame, groups: DataFrame, names: lis
     return every.groupBy("g").applyInPandas(run, schema)
 
 
-def mmrr_members(members: DataFrame, group: str, key: str, y: Distance, xs: list[Distance], nperm: int = 999, seed: int = 0, standardise: bool = True, intercept: bool = True) -> DataFrame:
+def mmrr_members(members: DataFrame, group: str, key: str, y: Distance, xs: list[Distance], nperm: int = 999, seed: int = 0, standardise: bool = True, intercept: bool = True, means: bool = False) -> DataFrame:
     """Regress the distances ``y`` of each group's members on the distances ``xs``.
 
     Returns per group ``n``, ``r2``, per term (``intercept`` first, if any) its coefficient, t and p, ``f`` and ``f_p``, and
     ``failure``: NULLs with a reason where a group has no model.  With ``standardise`` the lower triangles are z-scored
     first, so the intercept is 0 with t 0 and p 1.  p = (1 + permutations with |t| (or F) at least as large) / (nperm + 1).
+    With ``means``, a column ``{name}_mean`` per distance (y as well) has its mean over pairs.
     Members with a null key or feature take no part, and a feature that is not a number leaves the group without a model; keys are unique in a group.  The vectors of one group travel
     to its tasks; its pairs are never stored.
     """
@@ -238,6 +239,8 @@ def mmrr_members(members: DataFrame, group: str, key: str, y: Distance, xs: list
     partial = materialise(ready.mapInPandas(sums_of, out), "sums")
     sums = partial.groupBy("g", "perm").agg(F.array(*[F.sum(F.col("xy")[c]) for c in range(len(xs))]).alias("xy"))
     done = _finished(sums, moments, groups, [x.name for x in xs], nperm, standardise, intercept)
+    if means:
+        done = done.join(moments.select("g", *[F.col("mean")[c].alias(f"{d.name}_mean") for c, d in enumerate(dists)]), "g", "left")
     return done.withColumnRenamed("g", group)
 
 

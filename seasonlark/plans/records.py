@@ -191,13 +191,13 @@ def s9_key_from_name(spark, d):
     return X.table(spark, d, "pages").groupBy(tables.key_from_name(F.col("url"), "https?://([^/]+)").alias("host")).agg(F.count("*").alias("n"))
 
 
-@_q(f"""WITH {X.COEFFS}, a AS (SELECT * FROM coef WHERE pixel_id < 60), b AS (SELECT * FROM coef)
+@_q(f"""WITH {X.COEFFS}, a AS (SELECT * FROM coef), b AS (SELECT * FROM coef)
 SELECT a.pixel_id AS a, b.pixel_id AS b, round(sqrt(365 * pow(a.constant - b.constant, 2) + 365 / 2.0 * (pow(a.sin_1 - b.sin_1, 2) + pow(a.cos_1 - b.cos_1, 2) + pow(a.sin_2 - b.sin_2, 2) + pow(a.cos_2 - b.cos_2, 2))), 5) AS dist
 FROM a JOIN b ON a.i = b.i AND a.j <> b.j""")
 def f7_raw_curve_distance(spark, d):
     names = ["sin_1", "cos_1", "sin_2", "cos_2"]
     c = X.simple_coeffs(spark, d)
-    a = c.where("pixel_id < 60").select("i", F.col("pixel_id").alias("a"), *[F.col(n).alias(f"a_{n}") for n in ["constant", *names]])
+    a = c.select("i", F.col("pixel_id").alias("a"), *[F.col(n).alias(f"a_{n}") for n in ["constant", *names]])
     b = c.select("i", F.col("pixel_id").alias("b"), *[F.col(n).alias(f"b_{n}") for n in ["constant", *names]])
     dist = seasons.raw_curve_distance(F.col("a_constant"), [F.col(f"a_{n}") for n in names], F.col("b_constant"), [F.col(f"b_{n}") for n in names])
     return a.join(b, "i").where("a <> b").select("a", "b", r(dist, 5).alias("dist"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seasonlark.functions.geo import hex_cell
-from seasonlark.operators import polygons
+from seasonlark.operators import isoclimate, polygons
 from seasonlark.plans import fixtures as X
-from seasonlark.plans.regressions import sightings
+from seasonlark.plans.regressions import climate, gappy_coeffs, sightings
 from seasonlark.plans.registry import _q, r
 
 #: Corners of each nation's region and of its hole, as offsets from its own corner.
@@ -80,3 +80,49 @@ def t5_random_points(spark, d):
     k = F.col("region")
     near = (F.abs(F.col("mx") - (-60 + 0.02 * k + cx)) < 0.01) & (F.abs(F.col("my") - (4.3 + 0.1 * (k % 4) + cy)) < 0.01)
     return n.join(back.groupBy("region").agg(F.count("*").alias("inside")), "region").select("region", "n", "inside", near.alias("central"))
+
+
+#: Clustering parameters: reach in degrees, least neighbours as a multiple of the grid's rows, and one over the footprints' radius.
+EPS, LEAST, ALPHA = (0.06, 0.08, 0.11), (0.6, 0.45, 0.3), (20.0, 10.0, 20 / 3)
+
+
+def _discs() -> str:
+    return ", ".join(f"({r}, {a}, {b})" for r in (1, 2, 3) for a in range(-r, r + 1) for b in range(-r, r + 1) if a * a + b * b <= r * r)
+
+
+_SETS = ", ".join(f"({k}, {e}::DOUBLE, {m}::DOUBLE, {round(20 / a)})" for k, (e, m, a) in enumerate(((e, m, a) for e in EPS for m in LEAST for a in ALPHA), 1))
+_REGIONS = f"""WITH RECURSIVE {X.COEFFS}, sets(param_id, eps, least, r) AS (VALUES {_SETS}), kinds AS (SELECT DISTINCT eps, least FROM sets), disc(r, da, db) AS (VALUES {_discs()}),
+top AS (SELECT pixel_id AS k, i, j, lon, lat FROM coef WHERE constant >= (SELECT quantile_cont(constant, 0.5) FROM coef)),
+near AS (SELECT eps, least, a.k, b.k AS k2 FROM kinds, top a, top b WHERE power(a.lon - b.lon, 2) + power(a.lat - b.lat, 2) <= eps * eps),
+core AS (SELECT eps, least, k FROM near GROUP BY ALL HAVING count(*) >= least * 15),
+reach AS (SELECT eps, least, k, k AS root FROM core UNION SELECT eps, least, near.k2, reach.root FROM reach JOIN near USING (eps, least, k) JOIN core c USING (eps, least) WHERE c.k = near.k2),
+lab AS (SELECT eps, least, k, dense_rank() OVER (PARTITION BY eps, least ORDER BY min(root)) AS label FROM reach GROUP BY eps, least, k),
+edge AS (SELECT near.eps, near.least, near.k, min(label) AS label FROM near JOIN lab ON lab.eps = near.eps AND lab.least = near.least AND lab.k = near.k2 GROUP BY ALL),
+own AS (SELECT eps, least, k, coalesce(lab.label, edge.label) AS label FROM edge LEFT JOIN lab USING (eps, least, k)),
+cl AS (SELECT s.param_id, s.r, own.label, t.i, t.j FROM own JOIN top t USING (k) JOIN sets s USING (eps, least)),
+wide AS (SELECT DISTINCT param_id, cl.r, label, i + da AS i, j + db AS j FROM cl JOIN disc ON disc.r = cl.r),
+shut AS (SELECT param_id, label, i + da AS i, j + db AS j FROM wide w JOIN disc ON disc.r = w.r GROUP BY ALL HAVING count(*) = any_value((SELECT count(*) FROM disc d WHERE d.r = w.r))),
+ar AS (SELECT param_id, label, count(*) AS n_cells, sum(power(pi() / 180 * 6371.008 * 0.05, 2) * cos(radians(5.025 - (i + 0.5) * 0.05))) AS area, avg(5.025 - (i + 0.5) * 0.05) AS lat FROM shut GROUP BY ALL)
+SELECT s.param_id, a.label AS region, a.n_cells, round(a.area, 3) AS area_km2, round(a.lat, 6) AS mean_lat, coalesce((SELECT count(*) FROM ar d WHERE d.param_id = s.param_id AND d.area < 300), 0) AS n_dropped
+FROM sets s LEFT JOIN (SELECT * FROM ar WHERE area >= 300) a ON a.param_id = s.param_id"""
+
+
+def _isoclimate(spark, d, **more):
+    grid = X.simple_coeffs(spark, d)
+    params = isoclimate.parameter_sets(spark, list(EPS), list(LEAST), list(ALPHA))
+    return isoclimate.isoclimate(grid, gappy_coeffs(spark, d), climate(spark, d), params, "constant", ["e1", "e2"], 0.05, -60.025, 5.025, percentile=0.5, min_area_km2=300.0, **more)
+
+
+@_q(_REGIONS)
+def m15_isoclimate_regions(spark, d):
+    grid = X.simple_coeffs(spark, d)
+    params = isoclimate.parameter_sets(spark, list(EPS), list(LEAST), list(ALPHA))
+    cells, dropped = isoclimate.regions(grid, params, "constant", 0.05, 5.025, 0.5, 300.0)
+    about = cells.groupBy("param_id", "region").agg(F.first("n_cells").alias("n_cells"), r(F.first("area_km2"), 3).alias("area_km2"), r(F.avg(5.025 - (F.col("i") + 0.5) * 0.05)).alias("mean_lat"))
+    return params.select("param_id").join(about, "param_id", "left").join(dropped, "param_id", "left").na.fill(0, ["n_dropped"])
+
+
+@_q()
+def m15_isoclimate(spark, d):
+    """All 27 parameter sets with 1000 points a region and 499 permutations; held against a plain loop in the tests."""
+    return _isoclimate(spark, d)

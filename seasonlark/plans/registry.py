@@ -398,10 +398,12 @@ def m40_cell_areas(spark, d):
 _DISC = "(VALUES " + ", ".join(f"({a}, {b})" for a in range(-2, 3) for b in range(-2, 3) if a * a + b * b <= 4) + ") o(a, b)"
 
 
-@_q(f"""WITH {X.PIXELS}, c AS (SELECT DISTINCT pixel_id % 3 AS label, i, j FROM pix WHERE pixel_id % 2 = 0), w AS (SELECT DISTINCT label, i + a AS i, j + b AS j FROM c, {_DISC}), h AS (SELECT label, i + a AS i, j + b AS j, count(*) AS n FROM w, {_DISC} GROUP BY ALL)
+@_q(f"""WITH {X.PIXELS}, c AS (SELECT DISTINCT p % 3 AS label, p // 15 AS i, p % 15 AS j FROM (SELECT o_custkey % 112 * 2 AS p FROM orders)), w AS (SELECT DISTINCT label, i + a AS i, j + b AS j FROM c, {_DISC}), h AS (SELECT label, i + a AS i, j + b AS j, count(*) AS n FROM w, {_DISC} GROUP BY ALL)
 SELECT label, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j FROM h WHERE n = 13""")
 def m14_footprint(spark, d):
-    c = X.pixel_obs(spark, d).where("pixel_id % 2 = 0").select((F.col("pixel_id") % 3).alias("label"), "i", "j")
+    # every other cell of the grid has a member
+    p = F.col("o_custkey") % 112 * 2
+    c = X.table(spark, d, "orders").select((p % 3).alias("label"), F.floor(p / 15).alias("i"), (p % 15).alias("j"))
     return cluster.footprint(c, "label", "i", "j", 2, 0.05, 5.025)
 
 
@@ -471,11 +473,13 @@ def m26_coverage_gaps(spark, d):
     return evaluate.coverage_gaps(grid, f, -60.025, -5.025, 0.05, 0.02)
 
 
-@_q(f"""WITH {X.PIXELS}, p AS (SELECT round(lon, 3) AS x, round(lat, 3) AS y, avg(value) AS v FROM pix WHERE pixel_id % 3 = 0 GROUP BY ALL), b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p),
+@_q(f"""WITH {X.PIXELS}, p AS (SELECT round(-60 + 0.05 * (k % 15), 3) AS x, round(5 - 0.05 * (k // 15), 3) AS y, avg(v) AS v FROM (SELECT o_custkey % 75 * 3 AS k, o_totalprice AS v FROM orders) GROUP BY ALL), b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p),
 sx AS (SELECT min(d) AS s FROM (SELECT round(x - lag(x) OVER (ORDER BY x), 3) AS d FROM (SELECT DISTINCT x FROM p)) WHERE d > 0), sy AS (SELECT min(d) AS s FROM (SELECT round(y - lag(y) OVER (ORDER BY y), 3) AS d FROM (SELECT DISTINCT y FROM p)) WHERE d > 0),
 c AS (SELECT round(x0 + j * sx.s, 3) AS x, round(y0 + i * sy.s, 3) AS y FROM b, sx, sy, range(0, 15) i(i), range(0, 15) j(j) WHERE round(x0 + j * sx.s, 3) <= x1 AND round(y0 + i * sy.s, 3) <= y1) SELECT CAST(c.x AS DOUBLE) AS x, CAST(c.y AS DOUBLE) AS y, round(p.v, 3) AS value FROM c LEFT JOIN p ON p.x = c.x AND p.y = c.y""")
 def s12_grid_from_points(spark, d):
-    p = X.pixel_obs(spark, d).where("pixel_id % 3 = 0")
+    # every third cell of the grid has points
+    k = F.col("o_custkey") % 75 * 3
+    p = X.table(spark, d, "orders").select((-60 + 0.05 * (k % 15)).alias("lon"), (5 - 0.05 * F.floor(k / 15)).alias("lat"), F.col("o_totalprice").alias("value"))
     return tables.grid_from_points(p, "lon", "lat", "value").select("x", "y", r("value", 3).alias("value"))
 
 
