@@ -42,10 +42,10 @@ CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "body", "html"}
 FURNITURE_TAGS = frozenset("nav footer aside form button head menu dialog".split())
 #: Words of class, id or role names that mark what is no article text.
 FURNITURE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer login menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion reader related reply replies search share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription toolbar widget widgets complementary contentinfo alert masthead".split()
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer disqus footer login menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion reader related reply replies search share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription toolbar widget widgets complementary contentinfo alert masthead".split()
 )
 #: Words that names of furniture are made up with.
-NEUTRAL_WORDS = frozenset("area bar block bottom box button container content form group header inner item left link links list outer page panel posts right section site top wrap wrapper".split())
+NEUTRAL_WORDS = frozenset("area bar block bottom box button container content form group header inner item left link links list outer page panel posts right section site thread top user users wrap wrapper".split())
 #: Elements that hold the page or its article, whatever they are called.
 NEVER_NAMED = frozenset("html body main article h1".split())
 _OPEN = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*)")
@@ -429,23 +429,31 @@ def host_of(url):
 
 
 def templates(pages: DataFrame, references: DataFrame) -> DataFrame:
-    """``(host, constant)``: hashes of (slot, text) pairs that are template on each host."""
+    """``(host, constant)``: hashes of (slot, text) pairs that are template on each host.
+
+    A text that stays the same is template only where the rest of its pages varies: pages whose whole
+    content is the same are copies, whatever their markup, and say nothing about any slot.
+    """
 
     def count(frames):
         ref = _Reference()
         for f in frames:
-            rows: dict[tuple, int] = {}
+            rows: dict[tuple, list[int]] = {}
             for host, page, raw in zip(f["host"], f["html"], f["ref_html"], strict=True):
-                seen = set(aligned_blocks(parse(page), ref.of(raw)))
+                found = aligned_blocks(parse(page), ref.of(raw))
+                seen, whole = set(found), _hash("\n".join(t for _, t in found))
                 for key in [(host, -1, 0), *((host, s, _hash(t)) for s, t in seen if s >= 0), *((host, s, None) for s in {s for s, _ in seen if s >= 0})]:
-                    rows[key] = rows.get(key, 0) + 1
-            yield pd.DataFrame({"host": [k[0] for k in rows], "slot": [k[1] for k in rows], "h": pd.array([k[2] for k in rows], "Int64"), "n": list(rows.values())})
+                    row = rows.setdefault(key, [0, whole, whole])
+                    row[:] = row[0] + 1, min(row[1], whole), max(row[2], whole)
+            n, low, high = zip(*rows.values(), strict=True) if rows else ((), (), ())
+            yield pd.DataFrame({"host": [k[0] for k in rows], "slot": [k[1] for k in rows], "h": pd.array([k[2] for k in rows], "Int64"), "n": n, "low": low, "high": high})
 
-    counts = pages.join(references, ["host", "part"]).select("host", "html", "ref_html").mapInPandas(count, "host string, slot int, h bigint, n bigint").groupBy("host", "slot", "h").agg(F.sum("n").alias("n"))
+    aligned = pages.join(references, ["host", "part"]).select("host", "html", "ref_html").mapInPandas(count, "host string, slot int, h bigint, n bigint, low bigint, high bigint")
+    counts = aligned.groupBy("host", "slot", "h").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     counts = materialise(counts.where((F.col("n") >= MIN_PAGES) | (F.col("slot") < 0)), "slots")
     total = counts.where("slot < 0").select("host", F.col("n").alias("pages"))
     met = counts.where("slot >= 0 and h is null").select("host", "slot", F.col("n").alias("met"))
-    same = counts.where("slot >= 0 and h is not null").join(met, ["host", "slot"]).join(total, "host")
+    same = counts.where("slot >= 0 and h is not null and low < high").join(met, ["host", "slot"]).join(total, "host")
     fixed = same.where((F.col("n") >= CONSTANT_SHARE * F.col("met")) & (F.col("met") >= PRESENT_SHARE * F.col("pages")))
     return fixed.groupBy("host").agg(F.collect_list(F.struct("slot", "h")).alias("constant"))
 

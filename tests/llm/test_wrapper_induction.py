@@ -127,3 +127,17 @@ def test_copies_of_one_page_are_no_template(spark):
     rows = [(i, f"http://h.example/{i}", page("same article")) for i in range(9)] + [(20, "http://h.example/20", None), (21, "http://h.example/21", page("other"))]
     out = {r.page_id: r.text for r in W.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert out == {**dict.fromkeys(range(9), "same article"), 20: "", 21: "other"}
+
+
+def test_pages_of_one_content_are_no_template(spark):
+    """Nine pages hold one article and differ in an HTML comment; on another host so do two articles' pages, beside a menu that is template."""
+    page = lambda t, n, menu="": f"<body><!-- {n} --><ul>{menu}</ul><div><p>{t}</p></div></body>"
+    rows = [(i, f"http://h.example/{i}", page("same article", i)) for i in range(9)]
+    rows += [(20 + i, f"http://g.example/{i}", page("first" if i < 5 else "second", i, "<li>Start</li>")) for i in range(10)]
+    out = {r.page_id: r.text for r in W.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert out == dict.fromkeys(range(9), "same article") | {20 + i: "first" if i < 5 else "second" for i in range(10)}
+
+
+def test_reader_comments_by_name():
+    text = lambda page: [t for part in W._main(W.parse(page)) for _, t in W.blocks(part)]
+    assert text("<article><p>a</p><div class='user-comments'><p>b</p></div><div id='disqus_thread'>c</div></article>") == ["a"]
