@@ -372,14 +372,15 @@ class _Shapes:
         return out
 
 
-def match_trees(a: Node, b: Node) -> dict[int, Node]:
+def match_trees(a: Node, b: Node, shapes: _Shapes | None = None, of_b: dict[int, int] | None = None) -> dict[int, Node]:
     """Simple tree matching: an order-preserving map of nodes of the greatest size, keyed by ``id`` of a node of ``a``.
 
     Weights are kept by shape, so rows alike cost once, and equal shapes at both ends of two lists are
     paired at once.  Time grows with the product of two sibling lists' unlike middles, memory with their sum.
+    Trees that meet the same ``b`` can share ``shapes`` and what it says of ``b``.
     """
-    shapes = _Shapes()
-    of = {**shapes.of(a), **shapes.of(b)}
+    shapes = shapes or _Shapes()
+    of = shapes.of(a) | (of_b or shapes.of(b))
     out: dict[int, Node] = {}
     todo = [(a, b)] if a.label == b.label else []
     while todo:
@@ -401,9 +402,10 @@ def slots(root: Node) -> dict[int, int]:
     return out
 
 
-def aligned_blocks(root: Node, reference: Node) -> list[tuple[int, str]]:
+def aligned_blocks(root: Node, reference: Node, match: dict[int, Node] | None = None, number: dict[int, int] | None = None) -> list[tuple[int, str]]:
     """(slot of the reference page or -1, text) of each content block of a page."""
-    match, number = match_trees(root, reference), slots(reference)
+    match = match_trees(root, reference) if match is None else match
+    number = number or slots(reference)
     return [(number[id(match[id(owner)])] if id(owner) in match else -1, text) for part in _main(root) for owner, text in blocks(part)]
 
 
@@ -412,15 +414,29 @@ def _hash(text: str) -> int:
 
 
 class _Reference:
-    """Remembers the last host's parsed page, since rows of a host come together."""
+    """Reference pages of the last hosts, parsed and numbered once; weights of shapes are kept from page to page."""
 
-    def __init__(self):
-        self.raw, self.tree = None, None
+    #: Shapes after which the weights are begun anew, hosts held, and characters of their pages.
+    SHAPES, HOSTS, CHARS = 20_000, 64, 4_000_000
 
-    def of(self, raw: str | None) -> Node:
-        if self.tree is None or raw != self.raw:
-            self.raw, self.tree = raw, parse(raw)
-        return self.tree
+    def __init__(self):
+        self.held: dict[str, list] = {}
+
+    def blocks(self, root: Node, raw: str) -> list[tuple[int, str]]:
+        """``aligned_blocks`` of a page and the reference page ``raw``."""
+        own = self.held.pop(raw, None)
+        if own is None:
+            tree = parse(raw)
+            own = [tree, slots(tree), None, None]
+        # the latest is last
+        self.held[raw] = own
+        while len(self.held) > 1 and (len(self.held) > self.HOSTS or sum(map(len, self.held)) > self.CHARS):
+            del self.held[next(iter(self.held))]
+        tree, number, shapes, known = own
+        if shapes is None or len(shapes.label) > self.SHAPES or len(shapes.weights) > self.SHAPES:
+            shapes = _Shapes()
+            own[2:] = shapes, known = shapes, shapes.of(tree)
+        return aligned_blocks(root, tree, match_trees(root, tree, shapes, known), number)
 
 
 def host_of(url):
@@ -440,7 +456,7 @@ def templates(pages: DataFrame, references: DataFrame) -> DataFrame:
         for f in frames:
             rows: dict[tuple, list[int]] = {}
             for host, page, raw in zip(f["host"], f["html"], f["ref_html"], strict=True):
-                found = aligned_blocks(parse(page), ref.of(raw))
+                found = ref.blocks(parse(page), raw)
                 seen, whole = set(found), _hash("\n".join(t for _, t in found))
                 for key in [(host, -1, 0), *((host, s, _hash(t)) for s, t in seen if s >= 0), *((host, s, None) for s in {s for s, _ in seen if s >= 0})]:
                     row = rows.setdefault(key, [0, whole, whole])
@@ -494,7 +510,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
                     lines = [t for part in _main(root) for _, t in blocks(part)]
                 else:
                     gone = {(r["slot"], r["h"]) for r in fixed}
-                    lines = [t for s, t in aligned_blocks(root, ref.of(raw)) if s < 0 or (s, _hash(t)) not in gone]
+                    lines = [t for s, t in ref.blocks(root, raw) if s < 0 or (s, _hash(t)) not in gone]
                 out.append("\n".join(lines))
             yield pd.DataFrame({"page_id": f["page_id"], "url": f["url"], "text": out, "n_chars": [len(t) for t in out]})
 
