@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -11,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seasonlark.operators.density import closing, dbscan, run_cells  # noqa: F401  (clusters by density are offered here as well)
+from seasonlark.scratch import materialise
 
 
 def kmeans(df: DataFrame, cols: list[str], k: int, seed: int = 0):
@@ -72,11 +75,93 @@ def pair_jaccard(df: DataFrame, expected: str, found: str, by: list[str] | None
     return met.select(*by, (F.col("__b") / F.nullif(F.col("__x") + F.col("__y") - F.col("__b"), F.lit(0.0))).alias("jaccard"))
 
 
-def jaccard_permutation(df: DataFrame, key: str, expected: str, found: str, n: int = 1000) -> DataFrame:
-    """One row: the index and half the share of label permutations that agree at least as well."""
-    from seasonlark.operators.stats import permutations
-
-    true = pair_jaccard(df, expected, found).withColumnRenamed("jaccard", "__t")
-    moved = permutations(df, [], key, found, n).join(df.select(key, expected), key)
-    null = pair_jaccard(moved, expected, found, ["perm"])
-    return null.join(F.broadcast(true)).groupBy(F.col("__t").alias("jaccard")).agg((F.avg((F.col("jaccard") >= F.col("__t")).cast("double")) / 2).alias("p"))
+def jaccard_permutation(df: DataFrame, expected: str, found: str, n: int = 1000, by: str | None = None, seed: int = 0, chunk: int = 250) -> DataFrame:
+    """``([by,] jaccard, p, least, most)``: the index, half the share of label permutations that agree at least as well, and the range of theirs.
+
+    Dealing labels anew leaves both labellings' counts as they are, so a permutation is a table of counts with the same
+    margins, drawn cell by cell (multivariate hypergeometric), and costs the number of cells instead of the
+    number of rows.  Rows with a null label on either side are left out.
+    """
+    cells = df.where(F.col(expected).isNotNull() & F.col(found).isNotNull()).groupBy((F.col(by) if by else F.lit(0)).alias("g"), F.col(expected).alias("e"), F.col(found).alias("f")).count()
+    margin = lambda c: cells.groupBy("g", c).agg(F.sum("count").alias("n")).groupBy("g").agg(F.sort_array(F.collect_list("n")).alias(c))
+    two = F.sum(F.col("count") * (F.col("count") - 1) / 2)
+    tables = materialise(cells.groupBy("g").agg(two.alias("both")).join(margin("e"), "g").join(margin("f"), "g"), "margins")
+    tasks = tables.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // chunk)))).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "g", "r")
+    half = lambda v: (v * (v - 1) // 2).sum(axis=-1)
+
+    def draw(frames):
+        for frame in frames:
+            for g, both, e, f, r in zip(frame["g"], frame["both"], frame["e"], frame["f"], frame["r"], strict=True):
+                e, f, rng = np.asarray(e, np.int64), np.asarray(f, np.int64), np.random.default_rng([seed, int(r)])
+                size = min(chunk, n - int(r) * chunk)
+                got, pairs = np.zeros(size), half(e) + half(f)
+                for k in range(size):
+                    left, shared = f.copy(), 0
+                    for row in e[:-1]:
+                        cell = rng.multivariate_hypergeometric(left, row, method="marginals")
+                        left -= cell
+                        shared += half(cell)
+                    shared += half(left)
+                    got[k] = shared / (pairs - shared) if pairs > shared else np.nan
+                true = both / (pairs - both) if pairs > both else np.nan
+                yield pd.DataFrame({"g": [g], "true": [true], "above": [int((got >= true * (1 - 1e-12)).sum())], "least": [np.nanmin(got) if size and not np.isnan(got).all() else np.nan], "most": [np.nanmax(got) if size and not np.isnan(got).all() else np.nan]})
+
+    parts = tasks.mapInPandas(draw, tables.select("g").schema.add("true", "double").add("above", "long").add("least", "double").add("most", "double"))
+    value = lambda c: F.nanvl(c, F.lit(None).cast("double"))
+    out = parts.groupBy("g").agg(value(F.first("true")).alias("jaccard"), (F.sum("above") / n / 2).alias("p"), value(F.min("least")).alias("least"), value(F.max("most")).alias("most"))
+    out = out.withColumn("p", F.when(F.col("jaccard").isNotNull(), F.col("p")))
+    return out.withColumnRenamed("g", by) if by else out.drop("g")
+
+
+def keyed_kmeans(vectors: DataFrame, by: str, member: str, dim: str, value: str, start: DataFrame, rounds: int = 100) -> DataFrame:
+    """``(by, member, label, inertia)``: Lloyd's rounds of many clusterings at once, all in the same jobs.
+
+    vectors: a row per non-zero entry ``(by, member, dim, value)``; entries not given are 0, so a matrix of distances is its pair table both ways.
+    start: ``(by, label, member)``, the members whose vectors are the first centres.  A member goes to the nearest centre, the
+    least label on ties; a label that loses all members keeps its centre.  Ends when no member of any group moves, or after ``rounds``.
+    inertia is the member's squared distance to its centre.  A round is two equi-joins; only labels are carried from round to round.
+    """
+    v = materialise(vectors.select(F.col(by).alias("g"), F.col(member).alias("m"), F.col(dim).alias("d"), F.col(value).cast("double").alias("v")), "vectors")
+    norm = v.groupBy("g", "m").agg(F.sum(F.col("v") * F.col("v")).alias("q"))
+    first = start.select(F.col(by).alias("g"), F.col("label").cast("int").alias("label"), F.col(member).alias("m"))
+    every = first.select("g", "label").distinct()
+    centres = materialise(first.join(v, ["g", "m"]).select("g", "label", "d", F.col("v").alias("c")), "centres")
+    labels = None
+    for _ in range(rounds):
+        weight = every.join(centres.groupBy("g", "label").agg(F.sum(F.col("c") * F.col("c")).alias("w")), ["g", "label"], "left").na.fill(0.0, ["w"])
+        dots = v.join(centres, ["g", "d"]).groupBy("g", "m", "label").agg(F.sum(F.col("v") * F.col("c")).alias("dot"))
+        far = norm.join(weight, "g").join(dots, ["g", "m", "label"], "left").select("g", "m", "label", F.greatest(F.col("q") - 2 * F.coalesce("dot", F.lit(0.0)) + F.col("w"), F.lit(0.0)).alias("gap"))
+        best = far.groupBy("g", "m").agg(F.min(F.struct(F.round("gap", 9).alias("near"), "label", "gap")).alias("b")).select("g", "m", "b.label", F.col("b.gap").alias("inertia"))
+        new = materialise(best, "labels")
+        moved = labels is None or not new.join(labels.select("g", "m", F.col("label").alias("old")), ["g", "m"]).where("label <> old").isEmpty()
+        labels = new
+        if not moved:
+            break
+        size = new.groupBy("g", "label").agg(F.count("*").alias("n"))
+        mean = v.join(new.select("g", "m", "label"), ["g", "m"]).groupBy("g", "label", "d").agg(F.sum("v").alias("s")).join(size, ["g", "label"]).select("g", "label", "d", (F.col("s") / F.col("n")).alias("c"))
+        centres = materialise(mean.unionByName(centres.join(size, ["g", "label"], "left_anti")), "centres")
+    return labels.select(F.col("g").alias(by), F.col("m").alias(member), "label", "inertia")
+
+
+def cluster_distance_rows(pairs: DataFrame, by: str, k: int, distance: str, rounds: int = 100) -> DataFrame:
+    """``(by, member, label, inertia)``: k-means of the rows of each group's distance matrix, from its pair table ``(by, i, j, distance)``.
+
+    The first centres are the k members of least md5 of their ids; labels from 0.
+    """
+    both = pairs.select(by, F.col("i").alias("member"), F.col("j").alias("dim"), distance).unionByName(pairs.select(by, F.col("j").alias("member"), F.col("i").alias("dim"), distance))
+    order = W.partitionBy(by).orderBy(F.md5(F.col("member").cast("string").cast("binary")), "member")
+    start = both.select(by, "member").distinct().withColumn("label", F.row_number().over(order) - 1).where(F.col("label") < k)
+    return keyed_kmeans(both, by, "member", "dim", distance, start, rounds)
+
+
+def harvest_agreement(curves: DataFrame, key: str, expected: str, day: str, value: str, k: int = 4, n: int = 1000, seed: int = 0) -> DataFrame:
+    """One row: how well k-means of standardised seasonal curves agrees with expected labels, and p over permutations.
+
+    curves: ``(key, expected, day, value)``; keys with a null label or value take no part.
+    """
+    whole = curves.groupBy(key, expected).agg(F.count("*").alias("__n"), F.count(value).alias("__v")).where(F.col(expected).isNotNull() & (F.col("__n") == F.col("__v"))).select(key, expected)
+    v = curves.select(key, day, value).join(whole.select(key), key).withColumn("__g", F.lit(0))
+    order = W.partitionBy("__g").orderBy(F.md5(F.concat_ws("-", F.lit(str(seed)), key)), key)
+    start = whole.select(key).withColumn("__g", F.lit(0)).withColumn("label", F.row_number().over(order) - 1).where(F.col("label") < k)
+    found = keyed_kmeans(v, "__g", key, day, value, start)
+    return jaccard_permutation(found.select(key, "label").join(whole, key), expected, "label", n, seed=seed)

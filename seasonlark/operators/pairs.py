@@ -9,6 +9,19 @@ from pyspark.sql import functions as F
 from seasonlark.operators.matrix_regression import mmrr  # noqa: F401  (a pair table is its input)
 
 
+#: Members of one whole table are dealt into so many blocks; every two blocks meet under a key of their own.
+BLOCKS = 32
+
+
+def _met(a: DataFrame, b: DataFrame, i: str = "i", j: str = "j") -> DataFrame:
+    """All rows of ``a`` beside all of ``b`` with i > j, as an equi-join on pairs of blocks, so no task holds them all."""
+    own = lambda c: F.pmod(F.xxhash64(c), F.lit(BLOCKS)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
+    left = a.withColumn("__bi", own(i)).withColumn("__bj", other)
+    right = b.withColumn("__bj", own(j)).withColumn("__bi", other)
+    return left.join(right, ["__bi", "__bj"]).where(F.col(i) > F.col(j)).drop("__bi", "__bj")
+
+
 def pair_table(df: DataFrame, group: list[str], key: str, metrics: dict[str, tuple[list[str], object]]) -> DataFrame:
     """``(group, i, j, metrics)`` for every two members of a group with i > j: the reference's pairwise distance matrix.
 
@@ -17,9 +30,7 @@ def pair_table(df: DataFrame, group: list[str], key: str, metrics: dict[str, tup
     cols = list(dict.fromkeys(c for cs, _ in metrics.values() for c in cs))
     a = df.select(*group, F.col(key).alias("i"), *[F.col(c).alias(f"a_{c}") for c in cols])
     b = df.select(*group, F.col(key).alias("j"), *[F.col(c).alias(f"b_{c}") for c in cols])
-    if not group:
-        a, b = a.withColumn("__g", F.lit(1)), b.withColumn("__g", F.lit(1))
-    met = a.join(b, group or ["__g"]).where("i > j")
+    met = a.join(b, group).where("i > j") if group else _met(a, b)
     return met.select(*group, "i", "j", *[f([F.col(f"a_{c}") for c in cs], [F.col(f"b_{c}") for c in cs]).alias(name) for name, (cs, f) in metrics.items()])
 
 
@@ -74,6 +85,6 @@ def allele_distance(genotypes: DataFrame, sample: str, locus: str, allele: str,
     norm = n.groupBy("s").agg(F.sum(F.col("n") * F.col("n")).alias("q"))
     a, b = n.select(F.col("s").alias("i"), locus, allele, F.col("n").alias("na")), n.select(F.col("s").alias("j"), locus, allele, F.col("n").alias("nb"))
     dot = a.join(b, [locus, allele]).where("i > j").groupBy("i", "j").agg(F.sum(F.col("na") * F.col("nb")).alias("dot"))
-    pairs = norm.select(F.col("s").alias("i"), F.col("q").alias("qi"), F.lit(1).alias("g")).join(norm.select(F.col("s").alias("j"), F.col("q").alias("qj"), F.lit(1).alias("g")), "g").where("i > j")
+    pairs = _met(norm.select(F.col("s").alias("i"), F.col("q").alias("qi")), norm.select(F.col("s").alias("j"), F.col("q").alias("qj")))
     out = pairs.join(dot, ["i", "j"], "left")
     return out.select("i", "j", F.sqrt(F.greatest(F.col("qi") + F.col("qj") - 2 * F.coalesce("dot", F.lit(0.0)), F.lit(0.0))).alias("d"))
