@@ -295,6 +295,8 @@ def mmrr(pairs: DataFrame, group: str, y: str, xs: list[str], nperm: int = 999,
         return pd.DataFrame({"g": [part["g"].iloc[0]] * len(s), "perm": np.arange(first, last), "xy": list(s)})
 
     out = T.StructType([work.schema["g"], T.StructField("perm", T.LongType()), T.StructField("xy", T.ArrayType(T.DoubleType()))])
-    sums = materialise(tiles.join(ranges, "g").groupBy("g", "r").applyInPandas(sums_of, out), "sums")
+    # few bytes and much work, so the number of partitions is kept
+    spread = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sums = materialise(tiles.join(ranges, "g").repartition(spread, "g", "r").groupBy("g", "r").applyInPandas(sums_of, out), "sums")
     done = _finished(sums, known.drop("n"), sized, xs, nperm, standardise, intercept)
     return done.withColumnRenamed("g", group)
