@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seasonlark.operators.order import hash_shares, percentiles
 from seasonlark.operators.stats import numbered, permutations
 
 
@@ -22,22 +23,21 @@ def standardise(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, key: str, y: str, share: float, seed: int = 0, strata: int = 4) -> DataFrame:
-    """Add ``train``: the given share of each quantile stratum of y, by a hash of the key."""
-    cuts = df.agg(F.percentile(y, F.array(*[F.lit(i / strata) for i in range(1, strata)])).alias("__c"))
-    band = df.join(F.broadcast(cuts)).withColumn("__s", F.aggregate("__c", F.lit(0), lambda a, c: a + (F.col(y) > c).cast("int"))).drop("__c")
-    part = W.partitionBy("__s")
-    rank = F.row_number().over(part.orderBy(F.md5(F.concat_ws("-", F.lit(str(seed)), key)), key))
-    return band.withColumn("train", (rank <= F.round(F.count("*").over(part) * share)).cast("int")).drop("__s")
+    """Add ``train``: the given share of each quantile stratum of y, by a hash of the key.
+
+    The strata's ends are exact percentiles, selected first; rows without y are a stratum of their own.
+    """
+    cuts = percentiles(df, y, [i / strata for i in range(1, strata)])
+    band = df.withColumn("__band", sum(((F.col(y) > F.lit(c).cast("double")).cast("int") for c in cuts), F.lit(0)))
+    return hash_shares(band, "__band", key, share, seed, strata).withColumn("train", F.col("taken").cast("int")).drop("__band", "taken")
 
 
 def stratified_sample(df: DataFrame, key: str, y: str, n_strata: int = 5, share: float = 0.25, seed: int = 0) -> DataFrame:
     """The given share of each of ``n_strata`` equally wide strata of y, by a hash of the key."""
     ends = df.agg(F.min(y).alias("__a"), F.max(y).alias("__b"))
     s = F.least(F.floor((F.col(y) - F.col("__a")) / F.nullif((F.col("__b") - F.col("__a")) / n_strata, F.lit(0.0))), F.lit(n_strata - 1))
-    band = df.join(F.broadcast(ends)).withColumn("__s", F.coalesce(s, F.lit(0)))
-    part = W.partitionBy("__s")
-    rank = F.row_number().over(part.orderBy(F.md5(F.concat_ws("-", F.lit(str(seed)), key)), key))
-    return band.withColumns({"__r": rank, "__n": F.count("*").over(part)}).where(F.col("__r") <= F.round(F.col("__n") * share)).withColumnRenamed("__s", "stratum").drop("__a", "__b", "__r", "__n")
+    band = df.join(F.broadcast(ends)).withColumn("stratum", F.coalesce(s, F.lit(0))).drop("__a", "__b")
+    return hash_shares(band, "stratum", key, share, seed, n_strata).where("taken").drop("taken")
 
 
 def _assembled(df: DataFrame, xs: list[str]) -> DataFrame:

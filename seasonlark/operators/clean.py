@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seasonlark.operators.order import percentiles
+
 
 def day_step_filter(df: DataFrame, date: str, start: str, end: str, step: int) -> DataFrame:
     """Rows on every ``step``-th calendar day from ``start`` to ``end``, both inclusive (a pushed-down range and a remainder)."""
@@ -66,9 +68,9 @@ def never_flagged(df: DataFrame, keys: list[str], flag: str) -> DataFrame:
 
 
 def percentile_filter(df: DataFrame, value: str, share: float) -> DataFrame:
-    """Rows at or above an exact percentile (linear interpolation) of the column."""
-    cut = df.agg(F.percentile(value, F.lit(share)).alias("__cut"))
-    return df.join(F.broadcast(cut), F.col(value) >= F.col("__cut")).drop("__cut")
+    """Rows at or above an exact percentile (linear interpolation) of the column, which is selected first; nulls and NaN are left out."""
+    cut = percentiles(df, value, [share])[0]
+    return df.where(~F.isnan(F.col(value).cast("double")) & (F.col(value) >= F.lit(cut).cast("double")))
 
 
 def bounding_box(df: DataFrame, lon: str, lat: str, box: tuple[float, float, float, float]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seasonlark.functions.seasons import DAYS, curve_value
+from seasonlark.operators.order import percentiles
 from seasonlark.operators.spatial import nearest_cell
 from seasonlark.operators.stats import permutations
 
@@ -21,10 +22,10 @@ def minmax_within(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def percentile_clip(df: DataFrame, value: str, low: float, high: float) -> DataFrame:
-    """Rescale between two exact percentiles and clip to [0, 1]."""
-    cut = df.agg(F.percentile(value, F.lit(low)).alias("__a"), F.percentile(value, F.lit(high)).alias("__b"))
-    v = (F.col(value) - F.col("__a")) / F.nullif(F.col("__b") - F.col("__a"), F.lit(0.0))
-    return df.join(F.broadcast(cut)).withColumn(value, F.when(v.isNotNull(), F.greatest(F.least(v, F.lit(1.0)), F.lit(0.0)))).drop("__a", "__b")
+    """Rescale between two exact percentiles, which are selected first, and clip to [0, 1]; null where they are equal."""
+    a, b = (F.lit(x).cast("double") for x in percentiles(df, value, [low, high]))
+    v = (F.col(value) - a) / F.nullif(b - a, F.lit(0.0))
+    return df.withColumn(value, F.when(v.isNotNull(), F.greatest(F.least(v, F.lit(1.0)), F.lit(0.0))))
 
 
 def rotate_to_min(df: DataFrame, keys: list[str], idx: str, value: str, nsteps: int = 7) -> DataFrame:
