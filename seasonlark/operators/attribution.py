@@ -29,7 +29,7 @@ def stratified_split(df: DataFrame, key: str, y: str, share: float, seed: int =
     """
     cuts = percentiles(df, y, [i / strata for i in range(1, strata)])
     band = df.withColumn("__band", sum(((F.col(y) > F.lit(c).cast("double")).cast("int") for c in cuts), F.lit(0)))
-    return hash_shares(band, "__band", key, share, seed, strata).withColumn("train", F.col("taken").cast("int")).drop("__band", "taken")
+    return hash_shares(band, "__band", key, share, seed, strata + 1).withColumn("train", F.col("taken").cast("int")).drop("__band", "taken")
 
 
 def stratified_sample(df: DataFrame, key: str, y: str, n_strata: int = 5, share: float = 0.25, seed: int = 0) -> DataFrame:

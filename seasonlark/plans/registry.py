@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from seasonlark.functions import seasons
 from seasonlark.functions.geo import hex_cell
 from seasonlark.functions.shuffles import MASK, permuted_sql
-from seasonlark.operators import asynchrony, attribution, clean, cluster, eof, evaluate, harmonic, masks, pairs, polygons, series, spatial, stats
+from seasonlark.operators import asynchrony, attribution, clean, cluster, eof, evaluate, focal, harmonic, masks, pairs, polygons, series, spatial, stats
 from seasonlark.operators.matrix_regression import TIE as mmrr_tie
 from seasonlark.plans import fixtures as X
 from seasonlark.sources import tables
@@ -166,14 +166,28 @@ def a17_asynchrony(spark, d):
 
 @_q(f"WITH {X.COEFFS} SELECT a.pixel_id, round(stddev_pop(b.constant), 5) AS stat FROM coef a JOIN coef b ON {X.HAV} <= 20000 GROUP BY ALL")
 def j15_focal_deviation(spark, d):
-    return spatial.focal_stat(X.simple_coeffs(spark, d), 20_000.0, "pixel_id", "lon", "lat", "constant", "stddev").withColumn("stat", r("stat", 5))
+    out = focal.focal_grid(X.simple_coeffs(spark, d), 20_000.0, "constant", "stddev", 0.05, 5.025)
+    return out.select((F.col("i") * 15 + F.col("j")).alias("pixel_id"), r("stat", 5).alias("stat"))
 
 
 @_q(f"""WITH {X.COEFFS}, n AS (SELECT a.pixel_id, b.pixel_id % 3 AS c, count(*) AS n FROM coef a JOIN coef b ON {X.HAV} <= 8000 GROUP BY ALL), p AS (SELECT pixel_id, n / sum(n) OVER (PARTITION BY pixel_id) AS p FROM n)
 SELECT pixel_id, round(greatest(least(-sum(p * log2(p)), 1.0), 0.0), 6) AS stat FROM p GROUP BY ALL""")
 def a11_focal_entropy(spark, d):
     pix = X.simple_coeffs(spark, d).withColumn("cls", F.col("pixel_id") % 3)
-    return spatial.focal_stat(pix, 8_000.0, "pixel_id", "lon", "lat", "cls", "entropy").select("pixel_id", r("stat").alias("stat"))
+    out = focal.focal_grid(pix, 8_000.0, "cls", "entropy", 0.05, 5.025)
+    return out.select((F.col("i") * 15 + F.col("j")).alias("pixel_id"), r("stat").alias("stat"))
+
+
+_GLOBE = """globe AS (SELECT c_custkey * 30011 % 64800 // 360 AS i, c_custkey * 30011 % 360 AS j, avg(c_acctbal) AS v FROM customer GROUP BY ALL),
+g AS (SELECT i, j, v, 90 - (i + 0.5) AS lat, j * 1.0 AS lon FROM globe)"""
+
+
+@_q(f"WITH {_GLOBE} SELECT a.i, a.j, count(*) AS n, round(stddev_pop(b.v), 4) AS stat FROM g a JOIN g b ON {X.HAV} <= 700000 GROUP BY ALL")
+def a12_focal_globe(spark, d):
+    p = F.col("c_custkey") * 30011 % 64800
+    cells = X.table(spark, d, "customer").select(F.floor(p / 360).cast("bigint").alias("i"), (p % 360).alias("j"), "c_acctbal")
+    cells = cells.groupBy("i", "j").agg(F.avg("c_acctbal").alias("v"))
+    return focal.focal_grid(cells, 700_000.0, "v", "stddev", 1.0, 90.0).withColumn("stat", r("stat", 4))
 
 
 @_q("""WITH m AS (SELECT l_partkey AS k, l_linenumber AS level, avg(l_extendedprice) AS v FROM lineitem GROUP BY ALL)
