@@ -9,7 +9,9 @@ from seasonlark.functions.geo import dms_to_degrees
 from seasonlark.operators import asynchrony, clean, masks, records, series, spatial, stats
 from seasonlark.plans import fixtures as X
 from seasonlark.plans.registry import _CD, _q, r
+from seasonlark.scratch import new_path
 from seasonlark.sources import tables
+from seasonlark.steps import Steps
 
 
 @_q("SELECT l_orderkey AS parcel FROM lineitem GROUP BY ALL HAVING max(CAST(l_quantity >= 50 AS INT)) = 0")
@@ -231,3 +233,12 @@ FROM (SELECT *, (v - avg(v) OVER w) / nullif(stddev_pop(v) OVER w, 0) AS z FROM
 def m4_curves_at_points(spark, d):
     out = series.curves_at_points(X.points(spark, d), X.simple_coeffs(spark, d), "id", "lon", "lat", 0.05, -60.0, 5.0, standardise=True)
     return out.groupBy("id").agg(F.count("value").alias("n"), r(F.max("value"), 5).alias("high"), r(F.min("value"), 5).alias("low"), r(F.avg(F.col("value") * F.col("day")), 3).alias("moment"))
+
+
+@_q(f"WITH {X.COEFFS} SELECT pixel_id, round(constant, 6) AS constant, round(sin_1, 6) AS sin_1, round(cos_1, 6) AS cos_1 FROM coef")
+def s15_stored_step(spark, d):
+    steps = Steps(spark, new_path(spark, "steps"))
+    build = lambda: X.simple_coeffs(spark, d)
+    for _ in range(2):
+        out = steps.get("coefficients", build, [f"{d}/orders.parquet"], {"harmonics": 2})
+    return out.select("pixel_id", *[r(c).alias(c) for c in ("constant", "sin_1", "cos_1")])
