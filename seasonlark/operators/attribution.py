@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seasonlark.operators.order import hash_shares, percentiles
+from seasonlark.operators.spatial import align_bilinear
 from seasonlark.operators.stats import numbered, permutations
 
 
@@ -153,11 +154,30 @@ def model_summary_pivot(tables: DataFrame, dataset: str, radius: str, variable:
     return tables.withColumns({"__v": v, "__n": name, "__c": F.concat_ws("_", dataset, radius)}).groupBy(F.col("__n").alias(variable)).pivot("__c").agg(F.first("__v"))
 
 
-def parameter_grid(spark, axes: dict[str, list]) -> DataFrame:
-    """The product of parameter values, numbered in an order that looks random but repeats."""
+def prepare(response: DataFrame, y: str, covariates: dict[str, DataFrame], res: float, x0: float, y0: float, n_strata: int = 5, share: float = 0.25, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Rows for a forest and a stratified sample of them: covariates aligned to the response's cells, complete cases, z-scores.
+
+    response: key, x, y_ (cell centres) and ``y``; a cell without a response is out whatever its covariates are.
+    covariates: name to grid (i, j, value) of cells ``res`` wide from (x0, y0), drawn to the cells' centres bilinearly.
+    """
+    rows = response.where(F.col(y).isNotNull()).select("key", "x", "y_", y)
+    cells = rows.select("key", "x", "y_")
+    for name, grid in covariates.items():
+        drawn = align_bilinear(cells, grid.withColumnRenamed("value", name), "key", "x", "y_", name, res, x0, y0)
+        rows = rows.join(drawn, "key", "left")
+    whole = standardise(rows, [y, *covariates])
+    return whole, stratified_sample(whole, "key", y, n_strata, share, seed).drop("stratum")
+
+
+def parameter_grid(spark, axes: dict[str, list], done: DataFrame | None = None) -> DataFrame:
+    """The product of parameter values, numbered in an order that looks random but repeats, without rows that ``done`` has.
+
+    Numbers belong to the whole grid, so a parameter set keeps its number as others finish.
+    """
     out = None
     for name, values in axes.items():
         one = spark.createDataFrame([(v,) for v in values], [name])
         out = one if out is None else out.crossJoin(F.broadcast(one))
     order = F.md5(F.concat_ws("-", *[F.col(c).cast("string") for c in axes]))
-    return out.withColumn("param_id", F.row_number().over(W.orderBy(order)))
+    out = out.withColumn("param_id", F.row_number().over(W.orderBy(order)))
+    return out if done is None else out.join(done.select(*axes).distinct(), list(axes), "left_anti")

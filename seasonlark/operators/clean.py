@@ -94,12 +94,27 @@ def sample_size_filter(df: DataFrame, doy: str, size: str, limit: int = 5, keep_
     return df.where((F.col(doy) >= 0) & (ok if keep_small else ~ok))
 
 
-def flux_filter(df: DataFrame, response: str, qc: str, date: str, min_qc: float = 0.7, sentinel: float = -9999.0, between: tuple[str, str] | None = None) -> DataFrame:
-    """Good-quality flux days with a response, in a date range if one is given."""
-    out = df.where((F.col(qc) >= min_qc) & (F.col(response) != sentinel))
+def flux_filter(
+    df: DataFrame, response: str, qc: str, date: str, min_qc: float = 0.7, sentinel: float = -9999.0, between: tuple[str, str] | None = None,
+    main: Column | None = None, file: str | None = None, methane: str = "FLUXNET-CH4_",
+) -> DataFrame:
+    """Flux days with a response, in a date range if one is given, and of good quality.
+
+    main: where quality counts (only main sites publish it comparably); everywhere if None.
+    file: column of file names; files of the methane network are left out.
+    """
+    good = F.col(qc) >= min_qc
+    out = df.where((good if main is None else ~F.coalesce(main, F.lit(False)) | good) & (F.col(response) != sentinel))
+    if file:
+        out = out.where(~F.coalesce(F.contains(F.col(file), F.lit(methane)), F.lit(False)))
     return out.where(F.col(date).between(*between)) if between else out
 
 
+def usable_sites(df: DataFrame, igbp: str, dropped: tuple[str, ...] = ("WAT", "URB", "CRO")) -> DataFrame:
+    """Results of sites whose cover is not water, built-up or cropland; an unknown cover stays."""
+    return df.where(~F.coalesce(F.col(igbp).isin(*dropped), F.lit(False)))
+
+
 def extreme_range(df: DataFrame, key: str, lat: str, south: float = -10.0, north: float = 10.0) -> DataFrame:
     """Keys that reach from at most ``south`` to at least ``north``."""
     return df.groupBy(key).agg(F.min(lat).alias("lat_min"), F.max(lat).alias("lat_max")).where((F.col("lat_min") <= south) & (F.col("lat_max") >= north))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from seasonlark.functions.seasons import DAYS
 from seasonlark.functions.tails import f_sf
 from seasonlark.operators.asynchrony import simple_ols
+from seasonlark.operators.clean import null_sentinels
 from seasonlark.operators.harmonic import ols
 from seasonlark.operators.series import curve_series, minmax_within, start_of_season
 from seasonlark.operators.spatial import nearest_valid
@@ -88,3 +89,48 @@ def leafout_eval(sites: DataFrame, coeffs: DataFrame, site: str, observed: str)
     mean = sites.groupBy(site).agg(F.avg(observed).alias("observed"))
     met = sos.join(mean, site)
     return met, simple_ols(met, [], F.col("sos"), F.col("observed"))
+
+
+def on_standard_year(df: DataFrame, keys: list[str], date: str, value: str, days: int = 365) -> DataFrame:
+    """``(keys, doy, value)``: the first known value of each day of the year, for days 1 to ``days``; days without one are left out."""
+    known = df.where(F.col(value).isNotNull() & (F.dayofyear(date) <= days))
+    return known.groupBy(*keys, F.dayofyear(date).alias("doy")).agg(F.min_by(value, date).alias(value))
+
+
+def aligned_by_day(a: DataFrame, b: DataFrame, keys: list[str], date: str, value: str) -> DataFrame:
+    """``(keys, doy, a, b)``: two series on a standard year, days that both know."""
+    one, two = (on_standard_year(d, keys, date, value).withColumnRenamed(value, n) for d, n in ((a, "a"), (b, "b")))
+    return one.join(two, [*keys, "doy"])
+
+
+def leafout_regressions(met: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """``(x, y, n, slope, intercept, r2, f, f_p)`` of y on x for each pair of columns, rows with a null in either left out; one job for all pairs.
+
+    With one predictor F is the square of the slope's t, and their p-values are one.
+    """
+    pair = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(x).cast("double").alias("u"), F.col(y).cast("double").alias("v")) for x, y in pairs]))
+    long = met.select(pair.alias("p")).select("p.*")
+    out = simple_ols(long, ["x", "y"], F.col("u"), F.col("v"))
+    return out.select("x", "y", "n", "slope", "intercept", "r2", F.pow("t", F.lit(2.0)).alias("f"), F.col("p").alias("f_p"))
+
+
+def sampled_in_boxes(cells: DataFrame, lon: str, lat: str, boxes: dict[str, tuple[float, float, float, float, int]], seed: int = 0) -> DataFrame:
+    """``(box, cells' columns)``: from each box (west, south, east, north, n) the first n cells by a hash of their place; all, if it has fewer."""
+    inside = [F.when(F.col(lon).between(w, e) & F.col(lat).between(s, n), F.struct(F.lit(name).alias("box"), F.lit(k).alias("k"))) for name, (w, s, e, n, k) in boxes.items()]
+    dealt = cells.withColumn("__b", F.explode(F.array_compact(F.array(*inside)))).select("__b.box", "__b.k", *cells.columns)
+    order = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("i").cast("string"), F.col("j").cast("string")).cast("binary"))
+    most = max(b[-1] for b in boxes.values())
+    ranked = dealt.withColumn("__r", F.row_number().over(W.partitionBy("box").orderBy(order, "i", "j"))).where(F.col("__r") <= most)
+    return ranked.where(F.col("__r") <= F.col("k")).drop("__r", "k")
+
+
+def gap_eval(gaps: DataFrame, a: DataFrame, b: DataFrame, boxes: dict, lon: str = "lon", lat: str = "lat", sentinel: float = -999.0, seed: int = 0) -> DataFrame:
+    """``(box, i, j, n, r)``: correlation of two products at cells drawn among coverage gaps, over the 1st and 16th of months where both are known.
+
+    gaps: i, j, lon, lat; a, b: i, j, date, value.  A site without two common days or with a constant series has a null r.
+    """
+    sites = sampled_in_boxes(gaps.select("i", "j", lon, lat), lon, lat, boxes, seed).select("box", "i", "j")
+    at = lambda d: null_sentinels(d.select("i", "j", "date", "value"), {"value": [sentinel]}).join(F.broadcast(sites.select("i", "j").distinct()), ["i", "j"])
+    pairs = half_month_pairs(at(a), at(b), ["i", "j"], "date", "value").where("a is not null")
+    moments = pairs.groupBy("i", "j").agg(F.count("*").alias("n"), F.corr("a", "b").alias("r"))
+    return sites.join(moments, ["i", "j"], "left").select("box", "i", "j", F.coalesce("n", F.lit(0)).alias("n"), F.nanvl("r", F.lit(None).cast("double")).alias("r"))
