@@ -7,7 +7,9 @@ benchmark's own rows, gives the latent directions: each task multiplies its spar
 with a random test matrix and back again, so a single pass and a sum of small matrices
 yield the sketch A'A Omega, and a Nystroem step turns that into right singular vectors.
 Passages whose latent cosine to an item reaches the threshold are candidates; the longest
-common subsequence of words, the item's informative terms and its ending decide.
+common subsequence of words, the item's informative terms and its ending decide.  A passage whose
+cosine is high needs less of each: replaced words break the order and take terms away, but
+leave a paraphrase near its item, where unrelated texts with as many common words are not.
 
 The latent space has fewer directions than the benchmark may have items, so an item can lie
 outside it.  Windows of blocks that hold any run of the item's length are therefore candidates
@@ -37,6 +39,8 @@ COSINE = 0.3
 #: Share of an item's words that must appear in order: alone, or along with terms and ending.
 LCS_ALONE, LCS_BACKED = 0.8, 0.6
 TERM_SHARE, ANSWER_WORDS, ANSWER_SHARE = 0.6, 6, 0.5
+#: What a passage near an item in the latent space needs of the same instead.
+LATENT_COSINE, LATENT_LCS, LATENT_TERMS, LATENT_ANSWER = 0.4, 0.5, 0.4, 0.33
 #: Terms in more than this share of blocks carry no weight.
 COMMON_SHARE = 0.05
 MAX_ITEMS = 1024
@@ -286,12 +290,13 @@ def _search(docs: DataFrame, known: list, doc_id: str, text: str) -> DataFrame:
                 at = int(number[r]) * STRIDE
                 region = terms[first[d] + max(0, at - len(item)) : min(first[d + 1], first[d] + at + int(span[q]) * STRIDE + len(item))]
                 found = lcs_length(item, region.tolist()) / len(item)
-                if found < LCS_BACKED:
+                if found < LATENT_LCS or (found < LCS_BACKED and near[r, q] < LATENT_COSINE):
                     continue
                 shared = float(np.isin(rare[q], region).mean()) if len(rare[q]) else 1.0
                 tail = item[-ANSWER_WORDS:]
                 answer = lcs_length(tail, region.tolist()) / len(tail)
-                if shared >= TERM_SHARE and (found >= LCS_ALONE or answer >= ANSWER_SHARE):
+                worded = shared >= TERM_SHARE and found >= LCS_BACKED and (found >= LCS_ALONE or answer >= ANSWER_SHARE)
+                if worded or (near[r, q] >= LATENT_COSINE and shared >= LATENT_TERMS and answer >= LATENT_ANSWER):
                     new = (found, float(near[r, q]), shared, answer)
                     best[d, int(q)] = max(best.get((d, int(q)), new), new)
             rows = [(doc[d], ids[q], c, f, s, a) for (d, q), (f, c, s, a) in best.items()]

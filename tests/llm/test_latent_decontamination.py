@@ -123,3 +123,29 @@ def test_items_of_common_terms(spark):
     got = L.contaminated(table, bench).collect()
     assert want <= {(r.doc_id, r.item_id) for r in got}
     assert not {d for d, _ in want} & {r.doc_id for r in L.drop_contaminated(table, bench).collect()}
+
+
+def test_the_latent_space_finds_paraphrases(spark, monkeypatch):
+    """Three of ten words replaced: at least nine of ten are found, fewer without the cosine, and nothing in other texts either way."""
+    rng = np.random.default_rng(11)
+    weight = 1 / np.arange(1, 4001)
+    vocab = np.array(["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(4000)])
+    pick = lambda n: rng.choice(vocab, n, p=weight / weight.sum()).tolist()
+    items = [(i, pick(int(rng.integers(14, 40)))) for i in range(60)]
+    docs, want = [], set()
+    for d in range(400):
+        words = pick(int(rng.integers(60, 400)))
+        if d < 60:
+            own = [f"other{rng.integers(10**6)}" if rng.random() < 0.3 else w for w in items[d][1]]
+            at = int(rng.integers(0, len(words)))
+            words = [*words[:at], *own, *words[at:]]
+            want.add((d, d))
+        docs.append((d, " ".join(words)))
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items], "item_id long, text string")
+    find = lambda: {(r.doc_id, r.item_id) for r in L.contaminated(table, bench).collect()}
+    with_cosine = find()
+    monkeypatch.setattr(L, "LATENT_COSINE", 5.0)
+    without = find()
+    assert len(with_cosine & want) >= 54 and with_cosine <= want
+    assert without < with_cosine and len(without) < 54
