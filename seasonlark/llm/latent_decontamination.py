@@ -44,7 +44,7 @@ LATENT_COSINE, LATENT_LCS, LATENT_TERMS, LATENT_ANSWER = 0.4, 0.5, 0.4, 0.33
 #: Terms in more than this share of blocks carry no weight.
 COMMON_SHARE = 0.05
 MAX_ITEMS = 1024
-SLICES, FAN_IN = 16, 32
+SLICES, FAN_IN, LEVELS = 16, 32, 4
 _TOKEN = re.compile(r"\w+")
 
 
@@ -191,11 +191,14 @@ def right_singular_vectors(coded: DataFrame, idf: np.ndarray, items: np.ndarray,
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = np.sum([np.frombuffer(p, np.float32) for p in group["part"]], axis=0, dtype=np.float64).astype(np.float32)
-        return pd.DataFrame({"slice": group["slice"].iloc[:1], "part": [total.tobytes()], "rows": [group["rows"].sum()]})
+        return pd.DataFrame({"slice": group["slice"].iloc[:1], "part": [total.tobytes()], "rows": [group["rows"].sum()], "g": group["g"].iloc[:1]})
 
     schema = "slice int, part binary, rows bigint"
-    parts = coded.mapInPandas(sketch, schema).withColumn("g", F.floor(F.spark_partition_id() / FAN_IN))
-    summed = parts.groupBy("slice", "g").applyInPandas(add, schema).groupBy("slice").applyInPandas(add, schema).orderBy("slice").collect()
+    summed = coded.mapInPandas(sketch, schema).withColumn("g", F.spark_partition_id().cast("bigint"))
+    # a call adds at most FAN_IN parts, with up to FAN_IN ** LEVELS tasks
+    for _ in range(LEVELS):
+        summed = summed.withColumn("g", F.floor(F.col("g") / FAN_IN)).groupBy("slice", "g").applyInPandas(add, f"{schema}, g bigint")
+    summed = summed.orderBy("slice").collect()
     omega = _test_matrix(size, k).astype(float)
     y, rows = np.zeros((size, k)), 0
     if summed:
