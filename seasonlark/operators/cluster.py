@@ -31,10 +31,11 @@ def scree(df: DataFrame, cols: list[str], k_max: int = 12, seed: int = 0) -> Dat
     return df.sparkSession.createDataFrame(out, "k int, inertia double")
 
 
-def gmm(df: DataFrame, cols: list[str], k: int, seed: int = 0) -> DataFrame:
-    """Rows with the likeliest component and its probability."""
+def gmm(df: DataFrame, cols: list[str], k: int, seed: int = 0, starts: int = 5) -> DataFrame:
+    """Rows with the likeliest component and its probability, of the likeliest of several fits, as one start may end in a local optimum."""
     rows = df.na.drop(subset=cols).withColumn("__f", array_to_vector(F.array(*[F.col(c).cast("double") for c in cols])))
-    out = GaussianMixture(k=k, seed=seed, featuresCol="__f", predictionCol="label", probabilityCol="__p").fit(rows).transform(rows)
+    fits = [GaussianMixture(k=k, seed=seed + s, featuresCol="__f", predictionCol="label", probabilityCol="__p").fit(rows) for s in range(starts)]
+    out = max(fits, key=lambda m: m.summary.logLikelihood).transform(rows)
     return out.withColumn("probability", F.array_max(vector_to_array("__p"))).drop("__f", "__p")
 
 

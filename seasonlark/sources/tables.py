@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from seasonlark.operators.stats import numbered
+
 
 def read_csv(spark: SparkSession, paths, schema: str) -> DataFrame:
     """CSV files with a header, an explicit schema and the file name as ``file_name``."""
@@ -35,9 +37,9 @@ def half_month(name: Column, pattern: str = r"(\d{4})(\d{2})([ab])") -> Column:
 
 
 def number_tiles(files: DataFrame, file: str, position: str, per_row: int) -> DataFrame:
-    """Row-major tile numbers over files in name order: patch_n, patch_i, patch_j."""
-    n = F.row_number().over(W.orderBy(file, position)) - 1
-    return files.withColumn("patch_n", n).withColumns({"patch_i": F.floor(F.col("patch_n") / per_row).cast("int"), "patch_j": (F.col("patch_n") % per_row).cast("int")})
+    """Row-major tile numbers over files in name order: patch_n, patch_i, patch_j.  Tiles are counted file by file, not in one task."""
+    out = numbered(files, [], file, [F.col(position)], "patch_n").withColumn("patch_n", (F.col("patch_n") - 1).cast("int"))
+    return out.withColumns({"patch_i": F.floor(F.col("patch_n") / per_row).cast("int"), "patch_j": (F.col("patch_n") % per_row).cast("int")})
 
 
 def tiles_to_pixels(tiles: DataFrame, meta: DataFrame, margin: int = 0, nodata: float | None = -9999.0) -> DataFrame:
