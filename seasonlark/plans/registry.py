@@ -10,7 +10,7 @@ from seasonlark.functions.shuffles import MASK, permuted_sql
 from seasonlark.operators import asynchrony, attribution, clean, cluster, eof, evaluate, focal, harmonic, masks, pairs, polygons, series, spatial, stats
 from seasonlark.operators.matrix_regression import TIE as mmrr_tie
 from seasonlark.plans import fixtures as X
-from seasonlark.sources import tables
+from seasonlark.sources import scans, tables
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -130,6 +130,18 @@ def p15_overall_mask(spark, d):
     return out.select("pixel_id", r("availability").alias("availability"), "ok")
 
 
+@_q(f"""WITH {_MASK}, {X.LANDCOVER}, lnd AS (SELECT pixel_id, CAST(bool_and(class <> 0) AS INT) + CAST(bool_and(class <= 8 AND class > 0) AS INT) AS land FROM lc WHERE year >= 1997 GROUP BY ALL)
+SELECT lnd.pixel_id, CAST(land AS INT) AS land, CAST(coalesce(least(greatest(coalesce(evenness, 0), 0), 1) >= 0.5 AND land > 1 AND availability >= 0.3 AND lnd.pixel_id % 7 <> 0, false) AS INT) AS ok
+FROM lnd LEFT JOIN ev USING (pixel_id) LEFT JOIN ab USING (pixel_id)""")
+def p15_strict_mask(spark, d):
+    """Natural cover alone, judged on the last years."""
+    cover = scans.class_scan(X.landcover(spark, d), ["pixel_id"], "year", "class", 1997, 9999)
+    parts = masks.always_class(cover, ["pixel_id"], "class", list(range(1, 9)), list(range(9, 17)))
+    parts = parts.join(masks.pielou_evenness(_avail(spark, d), ["pixel_id"]), "pixel_id", "left").join(masks.availability(X.pixel_obs(spark, d), ["pixel_id"], "value", 100), "pixel_id", "left")
+    out = masks.overall_mask(parts.withColumn("significant", (F.col("pixel_id") % 7 != 0).cast("int")), True, 0.5, 0.3)
+    return out.select("pixel_id", F.col("land").cast("int").alias("land"), "ok")
+
+
 def _gram_schmidt(order: list[str]) -> str:
     """Residuals of y and the later regressors on each regressor in turn, by pixel; needs seven observations."""
     t = "2 * pi() * (epoch_ms(ts) - epoch_ms(TIMESTAMP '2000-01-01')) / (365.25 * 86400e3)"
