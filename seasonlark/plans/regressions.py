@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seasonlark.operators import cluster, flowering, genetics, pairs
+from seasonlark.operators import cluster, flowering, genetics
 from seasonlark.plans import fixtures as X
 from seasonlark.plans.registry import _q, r
 
@@ -81,8 +81,7 @@ def m21_genetic_isolation(spark, d):
 def m11_distance_row_clusters(spark, d):
     """Three clusters of the rows of every taxon's matrix of distances of flowering days."""
     gap = lambda a, b: F.least(F.abs(a[0] - b[0]), 365 - F.abs(a[0] - b[0])).cast("double")
-    t = pairs.pair_table(sightings(spark, d), ["taxon"], "obs", {"d": (["doy"], gap)})
-    return cluster.cluster_distance_rows(t, "taxon", 3, "d").withColumn("inertia", r("inertia", 3))
+    return cluster.cluster_member_rows(sightings(spark, d), "taxon", "obs", ["doy"], gap, 3).withColumn("inertia", r("inertia", 3))
 
 
 @_q()
