@@ -151,3 +151,41 @@ def test_flowering_keeps_failed_taxa(spark):
     assert out["lone"].n == 1 and math.isclose(out["lone"].pct_miss, 2 / 3) and out["absent"].pct_miss is None
     filled = flowering.flowering_regression(obs, coeffs, climate, "t", "k", "lon", "lat", "doy", ["e1", "e2"], 1.0, 0.0, 0.0, nperm=9, fill_tol=2).where("t = 'whole'").first()
     assert filled.n == 20 and filled.pct_miss == 0
+
+
+def test_wide_features_and_few_held_tiles(spark, monkeypatch):
+    """Genetic distances come from arrays of allele counts; tiles, batches and slots are many and the group's vectors go to few tasks."""
+    for name, value in {"TILE": 4, "HELD": 3, "WORK": 900, "SLOTS": 5, "HOLD": 2}.items():
+        monkeypatch.setattr(R, name, value)
+    rng = np.random.default_rng(11)
+    n = 19
+    counts, at = rng.integers(0, 4, (n, 6)), rng.normal(size=(n, 2))
+    rows = [(1, f"s{k:02d}", *map(float, at[k]), [float(c) for c in counts[k]]) for k in range(n)]
+    rows += [(2, f"s{k}", 1.0 * k, 2.0 * k * k, [float("nan")] * 6 if k == 2 else [1.0 * k] * 6) for k in range(5)]
+    df = spark.createDataFrame(rows, "g int, k string, x double, y double, v array<double>")
+    xs = [R.Distance("x", "euclid", ("x",)), R.Distance("y", "euclid", ("y",))]
+    out = {r.g: r for r in R.mmrr_members(df, "g", "k", R.Distance("gen", "euclid", ("v",)), xs, nperm=99, wide="v").collect()}
+    gen = np.linalg.norm(counts[:, None] - counts[None], axis=2)
+    agree(out[1], ["intercept", "x", "y"], loop(gen, [np.abs(np.subtract.outer(c, c)) for c in at.T], 99), skip=1)
+    assert (out[2].failure, out[2].n) == ("missing distances", 5)
+
+
+def test_isolation_makes_no_pair_table(spark, monkeypatch):
+    """Allele counts give the distances that the pair table had; a sample without genotypes leaves the model empty."""
+    rng = np.random.default_rng(3)
+    genes = spark.createDataFrame([(k, int(locus), int(rng.integers(-1, 3))) for k in range(12) for locus in range(5) for _ in range(2)], "id int, locus int, allele int")
+    want = {(r.i, r.j): r.d for r in pairs.allele_distance(genes, "id", "locus", "allele", -1).collect()}
+    own, dims = pairs.allele_counts(genes, "id", "locus", "allele", -1)
+    vec = {r.s: np.array(r.v) for r in own.collect()}
+    assert all(len(v) == dims for v in vec.values())
+    assert all(math.isclose(d, np.linalg.norm(vec[i] - vec[j]), rel_tol=1e-12) for (i, j), d in want.items())
+    grid = [(i, j, *map(float, rng.normal(size=6))) for i in range(4) for j in range(4)]
+    coeffs = spark.createDataFrame([g[:6] for g in grid], "i long, j long, sin_1 double, cos_1 double, sin_2 double, cos_2 double")
+    climate = spark.createDataFrame([(*g[:2], *g[6:]) for g in grid], "i long, j long, e1 double, e2 double")
+    samples = spark.createDataFrame([(k, float(rng.uniform(0, 4)), float(-rng.uniform(0, 4))) for k in range(13)], "id int, lon double, lat double")
+    from seasonlark.operators import genetics
+
+    run = lambda s: genetics.genetic_isolation(s, genes, coeffs, climate, "id", "lon", "lat", "locus", "allele", ["e1", "e2"], 1.0, 0.0, 0.0, missing=-1, nperm=19).first()
+    assert not hasattr(genetics, "pair_table")
+    assert run(samples.where("id < 12")).failure is None
+    assert (run(samples).failure, run(samples).n) == ("missing distances", 13)
