@@ -289,3 +289,22 @@ def test_tower_and_leafout(spark):
 def test_focal_on_empty(spark, kind):
     df = spark.createDataFrame([], "id int, lon double, lat double, v double")
     assert spatial.focal_stat(df, 1000.0, "id", "lon", "lat", "v", kind).count() == 0
+
+
+def test_shapley_values_on_a_grid_are_those_of_the_join(spark, monkeypatch):
+    """Variables of few values: the same draws and the same sums, without a row per draw in a shuffle."""
+    from pyspark.sql import functions as F
+
+    from seasonlark.operators import attribution
+
+    rows = spark.range(400).select(F.col("id").alias("k"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") * 5 % 11 / 10).alias("b"), (F.col("id") * 3 % 4).cast("double").alias("c"))
+    rows = rows.withColumn("y", F.col("a") * F.col("b") - F.col("c")).localCheckpoint()
+    model = attribution.fit_forest(rows, "y", ["a", "b", "c"], trees=8, mtry=2, depth=4)
+    of = lambda: {(r.k, r.variable): r.phi for r in attribution.shap_sample(model, rows.where("k < 90"), rows, "k", ["a", "b", "c"], nsim=6).collect()}
+    got = of()
+    plan = attribution.shap_sample(model, rows.where("k < 90"), rows, "k", ["a", "b", "c"], nsim=6)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan
+    monkeypatch.setattr(attribution, "GRID", 10)
+    want = of()
+    assert got.keys() == want.keys() and len(got) == 270
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-9 and any(abs(v) > 0.1 for v in got.values())
