@@ -308,3 +308,40 @@ def test_shapley_values_on_a_grid_are_those_of_the_join(spark, monkeypatch):
     want = of()
     assert got.keys() == want.keys() and len(got) == 270
     assert max(abs(got[k] - want[k]) for k in want) < 1e-9 and any(abs(v) > 0.1 for v in got.values())
+
+
+def test_pairs_of_a_few_large_groups_are_dealt_out(spark):
+    """A group's pairs used to meet in the one task of its key."""
+    from pyspark.sql import functions as F
+
+    from seasonlark.operators import pairs
+
+    df = spark.range(400).select("id", F.lit(1).alias("g"), F.col("id").cast("double").alias("v"))
+    t = pairs.pair_table(df, ["g"], "id", {"d": (["v"], pairs.euclid)})
+    sizes = t.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 400 * 399 // 2
+    assert len(sizes) == 4 and max(r["count"] for r in sizes) < 400 * 399 // 3
+    assert t.where("i <= j or abs(d - (i - j)) > 1e-9").isEmpty() and t.distinct().count() == 400 * 399 // 2
+
+
+def test_importance_numbers_rows_once(spark, monkeypatch):
+    """Grid and forest score alike, and rows are numbered once for all variables."""
+    from pyspark.sql import functions as F
+
+    from seasonlark.operators import attribution, stats
+
+    rows = spark.range(300).select(F.col("id").alias("k"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") * 5 % 11 / 10).alias("b"))
+    rows = rows.withColumn("y", F.col("a") * 2 - F.col("b")).localCheckpoint()
+    model = attribution.fit_forest(rows, "y", ["a", "b"], trees=8, mtry=2, depth=4)
+    calls = []
+    monkeypatch.setattr(attribution, "numbered", lambda *a: calls.append(1) or stats.numbered(*a))
+    of = lambda: {r.variable: r.importance for r in attribution.permutation_importance(model, rows, "k", "y", ["a", "b"], repeats=2).collect()}
+    got = of()
+    assert len(calls) == 1
+    monkeypatch.setattr(attribution, "GRID", 10)
+    want = of()
+    base = attribution.predict(model, rows, ["a", "b"], "y").agg(F.avg(F.col("error") * F.col("error"))).first()[0]
+    for x in ("a", "b"):
+        moved = rows.drop(x).join(stats.permutations(rows, [], "k", x, 2, salt=x), "k")
+        plain = attribution.predict(model, moved, ["a", "b"], "y").agg(F.avg(F.col("error") * F.col("error"))).first()[0] - base
+        assert abs(got[x] - want[x]) < 1e-9 and abs(got[x] - plain) < 1e-9
