@@ -329,6 +329,15 @@ class _Packing:
         return self._part(e, self.id_bits + 7, self.s_bits)
 
 
+def _edges(hit: DataFrame, own: list[str], edge: Column) -> DataFrame:
+    """``(*own, edges)``: the edges of each chunk in order.
+
+    An edge is a column before it is collected: an aggregate on objects interprets its argument
+    row by row, while a projection is compiled.
+    """
+    return hit.select(*own, edge.alias("edge")).groupBy(*own).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+
+
 def encode_chunks(chunks: DataFrame, pieces: DataFrame, longest: int, byte_base: int, fold: str = "merge", keys: tuple[str, ...] = ()) -> DataFrame:
     """``(*keys, chunk, ids)`` of distinct chunks (under their keys) by the lattice.
 
@@ -349,7 +358,7 @@ def encode_chunks(chunks: DataFrame, pieces: DataFrame, longest: int, byte_base:
     if fold == "viterbi":
         worst = pieces.agg(F.min("score")).first()[0]
         edge = F.struct((F.col("s") + F.col("len")).alias("order"), "s", "len", F.when(F.col("id").isNotNull(), F.col("score")).otherwise(float(worst) - 10.0).alias("score"), "id")
-        grouped = hit.groupBy(*own).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+        grouped = _edges(hit, own, edge)
         grouped = grouped.withColumn("cuts", _viterbi_fold(F.col("edges"), F.length("chunk")))
         hops = F.transform("cuts", lambda x, i: F.struct(x.alias("s"), (F.get("cuts", i + 1) - x).alias("len")))
         grouped = grouped.withColumn("hops", hops)
@@ -369,7 +378,7 @@ def encode_chunks(chunks: DataFrame, pieces: DataFrame, longest: int, byte_base:
             F.when(end <= WORD_CHARS, _bit(end) - _shift(2, F.col("s"))).otherwise(none).alias("inner"),
             F.when(found & F.col("again"), F.lit(_SIGN)).otherwise(none).alias("over"),
         )
-        grouped = hit.groupBy(*own).agg(F.sort_array(F.collect_list(edge)).alias("edges")).withColumn("n", F.length("chunk"))
+        grouped = _edges(hit, own, edge).withColumn("n", F.length("chunk"))
         short = F.col("n") <= WORD_CHARS
         multi = F.filter("edges", lambda e: e["inner"] != 0)
         spans = F.transform(F.filter("edges", lambda e: pk.len(e["e"]) > 1), lambda e: F.struct(pk.s(e["e"]).alias("s"), pk.len(e["e"]).alias("len"), (pk.again(e["e"]) == 1).alias("again")))

@@ -144,10 +144,11 @@ class ChunkTable:
 
     @classmethod
     def of(cls, state: dict) -> ChunkTable:
-        """The table of a state; a Python worker builds it once and keeps it there."""
+        """The table of a state; a Python worker builds it once and keeps it there instead of the state's arrays."""
         if "table" not in state:
             table = cls(state["ids"].dtype)
             table.add(state["hash"], state["bytes"], state["length"].astype(np.int64), state["ids"], state["n_ids"].astype(np.int64))
+            state.clear()
             state["table"] = table
         return state["table"]
 

@@ -79,6 +79,24 @@ def test_viterbi_fold_is_the_best_path(spark):
         assert got[w] == best[1], w
 
 
+@pytest.mark.parametrize("fold", ["merge", "viterbi"])
+def test_edges_are_compiled_before_they_are_collected(spark, fold):
+    """An aggregate on objects interprets its argument, which took half of the time of all chunks."""
+    chunks = spark.createDataFrame([("abab",)], "chunk string").repartition(2, "chunk")
+    out = P.encode_chunks(chunks, P.piece_table(spark, {"a": (10, -1.0), "ab": (12, -3.0)}, fold), 2, 1000, fold)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"collect_list\(edge#\d+", plan) and not re.search(r"collect_list\((?!edge#)", plan)
+
+
+def test_a_worker_keeps_one_copy_of_the_table():
+    table = P.ChunkTable(np.dtype("<u2"))
+    table.add(np.array([7], np.uint64), np.frombuffer(b"abc", np.uint8), np.array([3]), np.array([1, 2], np.uint16), np.array([2]))
+    state = table.state()
+    again = P.ChunkTable.of(state)
+    assert set(state) == {"table"} and P.ChunkTable.of(state) is again
+    assert again.find(np.array([7, 8], np.uint64)).tolist() == [0, -1] and again.gather(np.array([0]))[0].tolist() == [1, 2]
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(None, "a b", "c", 1, "x"), (2, "x", "c", 1, "x"), (2, "x", None, None, None), (2, "other", "c", 1, "x")], SCHEMA)
     out = P.encode(docs, P.model_path(), frequent=1).collect()
