@@ -37,6 +37,11 @@ def min_positive(df: DataFrame, keys: list[str], value: str, out: str = "min_pos
     return df.groupBy(*keys).agg(F.min(F.when(F.col(value) > 0, F.col(value))).alias(out))
 
 
+def with_group_value(df: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the columns of their group, of which there is a row a key: a task hashes its groups and does not sort its rows."""
+    return df.join(groups.hint("shuffle_hash"), keys, "left")
+
+
 def clamp_nonpositive(df: DataFrame, keys: list[str], value: str, mode: str = "clamp", fill_missing: bool = False) -> DataFrame:
     """Values at or below 0 become the group's smallest positive value (``clamp``) or go (``drop``); then nulls may be filled with it.
 
@@ -50,7 +55,7 @@ def clamp_nonpositive(df: DataFrame, keys: list[str], value: str, mode: str = "c
         df = df.where((v > 0) | v.isNull()) if fill_missing else df.where(v > 0)
     if mode == "drop" and not fill_missing:
         return df
-    joined = df.join(least, keys, "left")
+    joined = with_group_value(df, least, keys)
     new = F.when(v <= 0, F.col("__least")).otherwise(v) if mode == "clamp" else v
     if fill_missing:
         new = F.coalesce(new, F.col("__least"))

@@ -9,14 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seasonlark.functions.seasons import mid_time, time_radians
-from seasonlark.operators.clean import bit_flag, clamp_nonpositive, day_step_filter, never_flagged, nirv, qa_filter
+from seasonlark.operators.clean import bit_flag, clamp_nonpositive, day_step_filter, min_positive, never_flagged, nirv, qa_filter, with_group_value
 from seasonlark.operators.records import mean_temperature
 from seasonlark.operators.spatial import resample_mean
 
 
-def without_water(df: DataFrame, keys: list[str], water: DataFrame, flag: str) -> DataFrame:
-    """Rows of keys that ``water`` (keys, flag, any number of years) knows and never flags."""
-    return df.join(never_flagged(water, keys, flag), keys, "left_semi")
+def without_water(df: DataFrame, keys: list[str], water: DataFrame, flag: str, dealt: bool = False) -> DataFrame:
+    """Rows of keys that ``water`` (keys, flag, any number of years) knows and never flags.
+
+    dealt: the rows already lie by their keys, so a task hashes its part of the mask and does not sort its rows.
+    """
+    land = never_flagged(water, keys, flag)
+    return df.join(land.hint("shuffle_hash") if dealt else land, keys, "left_semi")
 
 
 def product_scan(
@@ -30,9 +34,8 @@ def product_scan(
     if clamp_to_min:
         df = clamp_nonpositive(df, keys, value, "clamp", fill_with_min)
     elif fill_with_min:
-        least = df.groupBy(*keys).agg(F.min(F.when(F.col(value) > 0, F.col(value))).alias("__least"))
-        df = df.join(least, keys, "left").withColumn(value, F.coalesce(value, "__least")).drop("__least")
-    return df if water is None else without_water(df, keys, water, flag)
+        df = with_group_value(df, min_positive(df, keys, value, "__least"), keys).withColumn(value, F.coalesce(value, "__least")).drop("__least")
+    return df if water is None else without_water(df, keys, water, flag, dealt=clamp_to_min or fill_with_min)
 
 
 def reflectance_scan(

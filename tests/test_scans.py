@@ -20,6 +20,21 @@ def test_product_flags(spark):
     assert len(get()) == 7 and scans.product_scan(df.limit(0), ["k"], "v", clamp_to_min=True).count() == 0
 
 
+def test_product_scan_sorts_no_observations(spark):
+    """Sorted rows of a task grew with the table; hashed groups are those of its keys."""
+    df = spark.createDataFrame([(1, -1.0), (1, 3.0)], "k int, v double")
+    water = spark.createDataFrame([(1, 0)], "k int, water int")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for clamp in (True, False):
+            out = scans.product_scan(df, ["k"], "v", clamp_to_min=clamp, fill_with_min=True, water=water)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("ShuffledHashJoin") == 2 and "Sort" not in plan.replace("SortAggregate", "")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_reflectance_needs_good_quality_of_its_day(spark):
     day = lambda n: date(2000, 1, n)
     bands = spark.createDataFrame([(1, day(1), 5.0, 3.0), (1, day(5), 5.0, 3.0), (1, day(6), 5.0, 3.0), (2, day(1), 1.0, -1.0), (None, day(1), 1.0, 1.0)], "k int, day date, nir double, red double")
