@@ -8,18 +8,21 @@ again, the best-scored edge over exactly two neighbouring symbols, the leftmost
 is the answer for BPE models such as the public one, where the Viterbi path is not.
 
 Chunks are cut where no piece can cross, so a text's encoding is the sum of its chunks'.  The
-most frequent chunks are folded once and their ids go to every task, a table of bounded size;
-a document's other chunks are folded under the document's own key and meet its ids there.
+most frequent chunks are folded once and every worker reads their ids, a table of bounded size, from
+the shared folder; a document's other chunks are folded under the document's own key and meet its ids there.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs
+import pyarrow.parquet as pq
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,12 +32,14 @@ from seasonlark.llm.ragged import ChunkTable, hashes, spread, sums, text_bytes
 from seasonlark.scratch import materialise, remove
 
 META = "▁"
-#: At most so many of the most frequent chunks, of at most so many bytes each, are sent to every task.
+#: At most so many of the most frequent chunks, of at most so many bytes each, are in the table of every task.
 FREQUENT = 1_000_000
 FREQUENT_BYTES = 64
 #: A task counts so many distinct chunks before it passes their counts on.
 COUNTED = 1_000_000
 CHUNKS_A_PARTITION = 60_000
+#: Rows of the table that a worker reads at a time.
+READ_ROWS = 20_000
 #: Boundaries of chunks up to this length are bits of one bigint, of longer ones bits of an array of them.
 WORD_CHARS = 61
 _SIGN = -(2**63)
@@ -137,7 +142,7 @@ def chunks_of(text: str | None, pattern: str) -> list[str]:
     return [x.tobytes().decode("utf-8", "surrogatepass") for x in np.split(raw, starts[1:])] if len(starts) else []
 
 
-def _slices(batch: pa.RecordBatch, most: int = 1_000_000):
+def _slices(batch: pa.RecordBatch, most: int = 250_000):
     """Parts of a batch with some bytes of text each, so that long texts do not add up."""
     size = start = 0
     for i, n in enumerate(pc.binary_length(batch.column("text")).to_pylist()):
@@ -433,13 +438,12 @@ def encode(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text: str =
     n = top.count()
     folded = materialise(encode_chunks(top.repartition(max(1, -(-n // CHUNKS_A_PARTITION)), "chunk"), pieces, model.longest, model.byte_base, fold), "lattice")
     remove(counts)
-    known = spark.sparkContext.broadcast(_table(folded.toArrow(), kind).state())
-    remove(folded)
+    held = _published(folded, kind)
     pattern = model.chunk
 
     def parts(batches):
         """Texts with their chunks' entries in the table, -1 for those it does not hold."""
-        table = ChunkTable.of(known.value)
+        table = held()
         for batch in batches:
             for part in _slices(batch):
                 raw, cuts = text_bytes(prepared(part.column("text")))
@@ -506,10 +510,48 @@ def encode(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text: str =
     return texts.join(own, "k", "left").select("doc_id", "text", "own").mapInArrow(assemble, f"doc_id {id_type}, ids array<int>")
 
 
-def _table(rows: pa.Table, kind: np.dtype) -> ChunkTable:
-    """The lookup table of chunks and their ids."""
-    table = ChunkTable(kind)
-    for batch in rows.to_batches():
+def _published(folded: DataFrame, kind: np.dtype) -> Callable[[], ChunkTable]:
+    """How a worker gets the lookup table of chunks and their ids: from the files of ``folded``, which nothing but workers opens.
+
+    Where Arrow does not know the shared folder's address the table goes through the driver as a broadcast.
+    """
+    files = tuple(folded.inputFiles())
+    try:
+        for f in files[:1]:
+            pyarrow.fs.FileSystem.from_uri(f)
+        room = tuple(folded.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("chunk")), F.lit(0)), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first())
+        return lambda: _read_table(files, kind, room)
+    except (pa.ArrowException, OSError):
+        known = folded.sparkSession.sparkContext.broadcast(_table(folded.toArrow().to_batches(), ChunkTable(kind)).state())
+        remove(folded)
+        return lambda: ChunkTable.of(known.value)
+
+
+#: The table that this worker has read last, by its files.
+_held: dict[tuple[str, ...], ChunkTable] = {}
+
+
+def _read_table(files: tuple[str, ...], kind: np.dtype, room: tuple[int, int, int]) -> ChunkTable:
+    """The table of these Parquet files, some rows at a time, into room for so many chunks, bytes and ids; a Python worker reads it once and keeps no other."""
+
+    def batches():
+        for f in files:
+            fs, path = pyarrow.fs.FileSystem.from_uri(f)
+            with fs.open_input_file(path) as source:
+                yield from pq.ParquetFile(source).iter_batches(READ_ROWS, columns=["chunk", "ids"], use_threads=False)
+
+    if files not in _held:
+        _held.clear()
+        table = ChunkTable(kind)
+        table.reserve(*room)
+        _held[files] = _table(batches(), table)
+        pa.default_memory_pool().release_unused()
+    return _held[files]
+
+
+def _table(batches: Iterable[pa.RecordBatch], table: ChunkTable) -> ChunkTable:
+    """The lookup table with chunks and their ids added."""
+    for batch in batches:
         if batch.num_rows:
             raw, cuts = text_bytes(batch.column("chunk"))
             ids, starts = batch.column("ids"), cuts[:-1]
@@ -520,7 +562,7 @@ def _table(rows: pa.Table, kind: np.dtype) -> ChunkTable:
             h, first = h[fresh], first[fresh]
             offsets = ids.offsets.to_numpy()
             n = np.diff(offsets)[first].astype(np.int64)
-            flat = ids.values.to_numpy(zero_copy_only=False)[spread(offsets[:-1][first].astype(np.int64), n)].astype(kind)
+            flat = ids.values.to_numpy(zero_copy_only=False)[spread(offsets[:-1][first].astype(np.int64), n)].astype(table.kind)
             table.add(h, raw[spread(starts[first], lengths[first])], lengths[first], flat, n)
     return table
 

@@ -119,6 +119,13 @@ class ChunkTable:
             self._claim(entries)
         return entries
 
+    def reserve(self, chunks: int, n_bytes: int, ids: int) -> None:
+        """Room for so many chunks, bytes and ids in all, so that adding them copies nothing."""
+        for names, n in ((("hash", "at", "length", "id_at", "n_ids"), chunks), (("bytes",), n_bytes), (("ids",), ids)):
+            for name in names:
+                setattr(self, name, np.empty(n, getattr(self, name).dtype))
+        self.slots = np.full(max(len(self.slots), 1 << int(3 * chunks // 2).bit_length()), -1, np.int32)
+
     def same(self, entries: np.ndarray, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Whether each chunk has just the bytes of its entry (entries >= 0)."""
         ok = self.length[entries] == lengths

@@ -97,6 +97,49 @@ def test_a_worker_keeps_one_copy_of_the_table():
     assert again.find(np.array([7, 8], np.uint64)).tolist() == [0, -1] and again.gather(np.array([0]))[0].tolist() == [1, 2]
 
 
+def _encoded(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts()[:300])], "doc_id bigint, text string").repartition(3)
+    return {r.doc_id: r.ids for r in P.encode(docs, P.model_path(), frequent=200).collect()}
+
+
+def test_the_chunk_table_does_not_pass_the_driver(spark, sp, monkeypatch):
+    def refused(*_):
+        raise AssertionError("the driver holds the table of chunks")
+
+    monkeypatch.setattr(type(spark.range(0)), "toArrow", refused)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refused)
+    got = _encoded(spark)
+    assert all(got[i] == sp.encode(t or "") for i, t in enumerate(texts()[:300]))
+
+
+def test_the_chunk_table_where_arrow_cannot_open_the_folder(spark, sp, monkeypatch):
+    class Unknown:
+        @staticmethod
+        def from_uri(uri):
+            raise P.pa.ArrowInvalid(uri)
+
+    monkeypatch.setattr(P.pyarrow.fs, "FileSystem", Unknown)
+    got = _encoded(spark)
+    assert all(got[i] == sp.encode(t or "") for i, t in enumerate(texts()[:300]))
+
+
+def test_a_table_read_from_files(tmp_path, monkeypatch):
+    monkeypatch.setattr(P, "READ_ROWS", 2)
+    files = []
+    for k, words in enumerate((["ab", "é", " the"], [], ["x" * 60, "q"])):
+        files.append((tmp_path / f"{k} a.parquet").as_uri())
+        P.pq.write_table(P.pa.table({"chunk": P.pa.array(words, P.pa.utf8()), "ids": P.pa.array([[len(w), 7][: 1 + len(w) % 2] for w in words], P.pa.list_(P.pa.int32()))}), tmp_path / f"{k} a.parquet")
+    room = (5, 2 + 2 + 4 + 60 + 1, 1 + 2 + 1 + 1 + 2)
+    table = P._read_table(tuple(files), np.dtype("<u2"), room)
+    assert table is P._read_table(tuple(files), np.dtype("<u2"), room)
+    assert (len(table.hash), len(table.bytes), len(table.ids)) == (table.size, table.n_bytes, table.all_ids) == room
+    for w in ("ab", "é", " the", "x" * 60, "q"):
+        raw = np.frombuffer(w.encode(), np.uint8)
+        entry = table.find(P.hashes(raw, np.array([0]), np.array([len(raw)])))
+        assert entry[0] >= 0 and table.same(entry, raw, np.array([0]), np.array([len(raw)])).all()
+        assert table.gather(entry)[0].tolist() == [len(w), 7][: 1 + len(w) % 2]
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(None, "a b", "c", 1, "x"), (2, "x", "c", 1, "x"), (2, "x", None, None, None), (2, "other", "c", 1, "x")], SCHEMA)
     out = P.encode(docs, P.model_path(), frequent=1).collect()
