@@ -58,6 +58,10 @@ def isoclimate(
     null region and its reason; a region without a model keeps its row.
     """
     spark = asynchrony.sparkSession
+    # grids are small beside the observations that they may be made from, and each is read several times
+    asynchrony = materialise(asynchrony.select("i", "j", "lon", "lat", value), "asynchrony")
+    coeffs = materialise(coeffs.select("i", "j", *HARMONICS), "coeffs")
+    climate = materialise(climate.select("i", "j", *env), "climate")
     cells, dropped = regions(asynchrony, params, value, res, y0, percentile, min_area_km2)
     cells = materialise(cells.withColumn("g", F.concat_ws("-", "param_id", "region")), "regions")
     lat = y0 - (F.col("i") + 0.5) * res
