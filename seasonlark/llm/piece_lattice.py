@@ -37,7 +37,8 @@ FREQUENT = 1_000_000
 FREQUENT_BYTES = 64
 #: A task counts so many distinct chunks before it passes their counts on.
 COUNTED = 1_000_000
-CHUNKS_A_PARTITION = 60_000
+#: A task holds the edges of so many chunks at once, some 2 KB each.
+CHUNKS_A_PARTITION = 20_000
 #: Rows of the table that a worker reads at a time.
 READ_ROWS = 20_000
 #: Boundaries of chunks up to this length are bits of one bigint, of longer ones bits of an array of them.
@@ -301,8 +302,10 @@ def piece_table(spark: SparkSession, pieces: dict[str, tuple[int, float]], fold:
     h = {p: int(np.uint64(xxhash.xxh64_intdigest(p.encode(), 42)).astype(np.int64)) for p in pieces}
     if len(set(h.values())) < len(pieces):
         raise ValueError("two pieces of one hash")
-    rows = [(h[p], p, place[s], i, float(s), p in again) for p, (i, s) in pieces.items()]
-    return spark.createDataFrame(rows, "h bigint, p string, place bigint, id int, score double, again boolean")
+    rows = zip(*((h[p], p, place[s], i, float(s), p in again) for p, (i, s) in pieces.items()), strict=True)
+    kinds = (pa.int64(), pa.utf8(), pa.int64(), pa.int32(), pa.float64(), pa.bool_())
+    # Arrow columns need no Python workers; rows would be unpickled by a second set of them in every executor
+    return spark.createDataFrame(pa.table([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], ["h", "p", "place", "id", "score", "again"]))
 
 
 class _Packing:

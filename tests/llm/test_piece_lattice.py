@@ -97,6 +97,30 @@ def test_a_worker_keeps_one_copy_of_the_table():
     assert again.find(np.array([7, 8], np.uint64)).tolist() == [0, -1] and again.gather(np.array([0]))[0].tolist() == [1, 2]
 
 
+def test_the_piece_table_needs_no_python_workers(spark):
+    """Rows of a list are unpickled by workers of their own, which every executor then holds beside the others."""
+    table = P.piece_table(spark, {"a": (10, -1.0), "ab": (12, -3.0), "b": (11, -2.0)})
+    assert "PythonRDD" not in table._jdf.rdd().toDebugString()
+    assert table.schema.simpleString() == "struct<h:bigint,p:string,place:bigint,id:int,score:double,again:boolean>"
+    assert {(r.p, r.place, r.id, r.score, r.again) for r in table.collect()} == {("a", 0, 10, -1.0, False), ("ab", 2, 12, -3.0, False), ("b", 1, 11, -2.0, False)}
+
+
+def test_a_task_folds_a_bounded_share_of_the_frequent_chunks(spark, monkeypatch):
+    """A task holds the edges of all its chunks: with 60,000 of them an executor's heap grew to its limit."""
+
+    class Seen(Exception):
+        pass
+
+    def dealt(chunks, *_):
+        raise Seen([r["n"] for r in chunks.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()])
+
+    monkeypatch.setattr(P, "encode_chunks", dealt)
+    words = ["".join("abcdefghij"[int(d)] for d in f"{i:05d}") for i in range(45_000)]
+    with pytest.raises(Seen) as seen:
+        P.encode(spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words))], "doc_id bigint, text string"), P.model_path())
+    assert sum(seen.value.args[0]) == 45_000 and max(seen.value.args[0]) < 25_000
+
+
 def _encoded(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts()[:300])], "doc_id bigint, text string").repartition(3)
     return {r.doc_id: r.ids for r in P.encode(docs, P.model_path(), frequent=200).collect()}
