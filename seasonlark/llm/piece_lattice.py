@@ -510,7 +510,8 @@ def encode(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text: str =
     own = encode_chunks(scattered, pieces, model.longest, model.byte_base, fold, ("k",)).groupBy("k").agg(F.collect_list(F.struct("chunk", "ids")).alias("own"))
     id_type = base.schema["doc_id"].dataType.simpleString()
     texts = base.mapInArrow(zipped, f"k bigint, doc_id {id_type}, text binary")
-    return texts.join(own, "k", "left").select("doc_id", "text", "own").mapInArrow(assemble, f"doc_id {id_type}, ids array<int>")
+    # own comes from explodes, which Spark sizes as their input
+    return texts.join(own.hint("merge"), "k", "left").select("doc_id", "text", "own").mapInArrow(assemble, f"doc_id {id_type}, ids array<int>")
 
 
 def _published(folded: DataFrame, kind: np.dtype) -> Callable[[], ChunkTable]:

@@ -120,7 +120,8 @@ def fingerprint_links(nodes: DataFrame, max_bits: int = 2) -> DataFrame:
     homes = nodes.select(home("fp").alias("anchor"), F.col("fp").alias("fp_a"), F.col("rep").alias("a"))
     visitors = nodes.select(F.explode(visits("fp")).alias("anchor"), F.col("fp").alias("fp_b"), F.col("rep").alias("b"))
     near = F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= max_bits
-    return homes.join(visitors, "anchor").where((F.col("fp_a") < F.col("fp_b")) & near).select("a", "b")
+    # Spark sizes an explode as its input, so the visits, hundreds a fingerprint, would be broadcast
+    return homes.join(visitors.hint("merge"), "anchor").where((F.col("fp_a") < F.col("fp_b")) & near).select("a", "b")
 
 
 def near_duplicate_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, max_bits: int = 2) -> DataFrame:

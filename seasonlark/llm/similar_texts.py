@@ -77,7 +77,9 @@ def _links(pairs: DataFrame, marked: DataFrame, least: float) -> DataFrame:
     """Those of the pairs of nodes ``(a, b)`` whose texts are similar enough."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     texts = materialise(marked.select("key", "text").join(wanted, "key", "left_semi").dropDuplicates(["key"]), "texts")
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+    # texts are sized by their compressed files, so they could be broadcast at many times the threshold
+    side = lambda x: texts.select(F.col("key").alias(x), F.col("text").alias(f"text_{x}")).hint("merge")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def confirm(frames):
         for f in frames:
