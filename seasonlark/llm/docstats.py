@@ -36,8 +36,8 @@ def with_stats(docs: DataFrame, text: str = "text", repeat_window: int = 3) -> D
     """Replace the text by its statistics.
 
     Adds n_chars_all, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words,
-    n_distinct_words, n_pipes, chars (histogram over CLASSES) and commons (counts of
-    ALL_COMMON, lower-case forms).  Columns of ``docs`` with these names are replaced.
+    n_distinct_words, n_pipes, chars (histogram over CLASSES), commons (counts of
+    ALL_COMMON, lower-case forms) and n_common (their sum).  Columns of ``docs`` with these names are replaced.
     Word windows are compared by 64-bit hashes within one text.
     """
     t = F.coalesce(F.col(text), F.lit(""))
@@ -58,21 +58,23 @@ def with_stats(docs: DataFrame, text: str = "text", repeat_window: int = 3) -> D
     )
     step = step.withColumn("__at", F.sort_array(F.transform(seen, lambda g: g["i"])))
     covered = F.transform("__at", lambda p, j: F.least(F.lit(k), F.coalesce(F.get("__at", j + 1) - p, F.lit(k))).cast("bigint"))
-    upper, letters, digits = _removed(F.col("__t"), r"\p{Lu}"), _removed(F.col("__t"), r"\p{L}"), _removed(F.col("__t"), r"\p{Nd}")
+    # letters and space are most of a text, so the other classes are counted in what these leave
+    step = step.withColumn("__signs", F.regexp_replace("__t", r"\p{L}+", "")).withColumn("__rest", F.regexp_replace("__signs", SPACE + "+", ""))
     step = step.withColumns(
         {
             "n_chars_all": F.length("__t").cast("bigint"),
             "n_words": F.size("__words").cast("bigint"),
             "n_distinct_words": F.size(F.array_distinct("__words")).cast("bigint"),
-            "__space": _removed(F.col("__t"), SPACE),
-            "n_symbols": _removed(F.col("__t"), SYMBOLS),
-            "n_pipes": _removed(F.col("__t"), r"\|"),
-            "__upper": upper,
-            "__letters": letters,
-            "__digits": digits,
+            "__space": (F.length("__signs") - F.length("__rest")).cast("bigint"),
+            "n_symbols": _removed(F.col("__rest"), SYMBOLS),
+            "n_pipes": _removed(F.col("__rest"), r"\|"),
+            "__upper": _removed(F.col("__t"), r"\p{Lu}"),
+            "__letters": (F.length("__t") - F.length("__signs")).cast("bigint"),
+            "__digits": _removed(F.col("__rest"), r"\p{Nd}"),
             "n_lines": F.size("__lines").cast("bigint"),
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint"),
             "n_repeat_words": _total(covered),
+            "n_common": F.size("__hits").cast("bigint"),
             "commons": F.array(*[(F.size("__hits") - F.size(F.array_remove("__hits", w))).cast("bigint") for w in ALL_COMMON]),
         }
     )

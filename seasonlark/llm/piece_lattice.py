@@ -33,7 +33,7 @@ from seasonlark.scratch import materialise, remove
 
 META = "▁"
 #: At most so many of the most frequent chunks, of at most so many bytes each, are in the table of every task.
-FREQUENT = 1_000_000
+FREQUENT = 2_000_000
 FREQUENT_BYTES = 64
 #: A task counts so many distinct chunks before it passes their counts on.
 COUNTED = 1_000_000

@@ -48,7 +48,7 @@ def features() -> dict[str, Column]:
                 "repeat_share": _share("n_repeat_words", "n_words"),
                 "distinct_share": _share("n_distinct_words", "n_words"),
                 "dup_line_share": _share("n_dup_lines", "n_lines"),
-                "common_share": F.coalesce(F.aggregate("commons", F.lit(0).cast("bigint"), lambda a, x: a + x) / F.nullif(F.col("n_words"), F.lit(0)), F.lit(0.0)),
+                "common_share": _share("n_common", "n_words"),
                 "line_words": _share("n_words", "n_lines"),
             }
         )

@@ -16,6 +16,8 @@ components is left out, and a group of near copies costs what its members cost.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 
 from seasonlark.graph import connected_components
 from seasonlark.llm.simhash_anchors import fingerprint_links, fingerprint_of
+from seasonlark.llm.substring_cover import rolling, word_hashes
 from seasonlark.scratch import materialise
 
 WORDS, LEAST = 5, 0.8
@@ -31,17 +34,39 @@ BANDS, ROWS = 20, 5
 ANCHOR_BITS = 2
 STARS = 1
 SEED = 42
+#: Bytes of texts that are hashed at a time, at some 50 bytes of memory each; a longer text alone.
+HASHED_BYTES = 250_000
+_M = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.random.default_rng(31).integers(1, 2**63, (2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
 
 
+def shingle_sets(texts: Iterable[str | None], words: int = WORDS) -> Iterator[np.ndarray]:
+    """Each text's sorted distinct 64-bit hashes of its shingles; a text of fewer words is one shingle, one without words has none.
+
+    Texts are hashed together, some ``HASHED_BYTES`` at a time.
+    """
+    raw, size = [], 0
+    for t in texts:
+        raw.append((t or "").encode("utf-8", "surrogatepass").lower())
+        size += len(raw[-1])
+        if size >= HASHED_BYTES:
+            yield from _hashed(raw, words)
+            raw, size = [], 0
+    if raw:
+        yield from _hashed(raw, words)
+
+
+def _hashed(raw: list[bytes], words: int) -> Iterator[np.ndarray]:
+    h, n = word_hashes(raw)
+    grams = rolling(h, words, _M)
+    ends = np.cumsum(n)
+    for first, end in zip((ends - n).tolist(), ends.tolist(), strict=True):
+        yield np.unique(grams[first : end - words + 1] if end - first >= words else rolling(h[first:end], end - first, _M) if end > first else grams[:0])
+
+
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles; a text of fewer words is one shingle, one without words has none."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not w:
-        return np.empty(0, np.uint64)
-    grams = {b" ".join(w)} if len(w) < words else set(map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)))
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(g, SEED) for g in grams), np.uint64, len(grams)))
+    """The same of one text."""
+    return next(shingle_sets([text], words))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -54,16 +79,18 @@ def band_keys(h: np.ndarray) -> list[int]:
     """One signed 64-bit key for each band of minimum hashes; none for an empty set."""
     if not len(h):
         return []
-    low = np.full(BANDS * ROWS, 2**32 - 1, np.uint64)
-    for i in range(0, len(h), 1024):
-        low = np.minimum(low, ((h[i : i + 1024, None] * _MIX[0] + _MIX[1]) >> np.uint64(32)).min(axis=0))
-    rows = low.astype(np.uint32).reshape(BANDS, ROWS)
+    low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for i in range(0, len(h), 256):
+        x = h[i : i + 256, None] * _MIX[0]
+        x += _MIX[1]
+        np.minimum(low, x.min(axis=0), out=low)
+    rows = (low >> np.uint64(32)).astype(np.uint32).reshape(BANDS, ROWS)
     return [int(np.uint64(xxhash.xxh64_intdigest(r.tobytes(), b)).astype(np.int64)) for b, r in enumerate(rows)]
 
 
 def _mark(frames):
     for f in frames:
-        hs = [shingles(t) for t in f["text"]]
+        hs = list(shingle_sets(f["text"]))
         out = f[["doc_id", "text"]].copy()
         out["doc_id"] = out["doc_id"].astype("Int64")
         out["key"] = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in hs], np.uint64).view(np.int64)
@@ -83,13 +110,9 @@ def _links(pairs: DataFrame, marked: DataFrame, least: float) -> DataFrame:
 
     def confirm(frames):
         for f in frames:
-            known: dict[int, np.ndarray] = {}
-            keep = []
-            for a, b, s, t in zip(f["a"], f["b"], f["text_a"], f["text_b"], strict=True):
-                for k, x in ((a, s), (b, t)):
-                    if k not in known:
-                        known[k] = shingles(x)
-                keep.append(jaccard(known[a], known[b]) >= least)
+            texts = dict(zip(f["a"], f["text_a"], strict=True)) | dict(zip(f["b"], f["text_b"], strict=True))
+            known = dict(zip(texts, shingle_sets(texts.values()), strict=True))
+            keep = [jaccard(known[a], known[b]) >= least for a, b in zip(f["a"], f["b"], strict=True)]
             yield f.loc[keep, ["a", "b"]]
 
     return materialise(both.mapInPandas(confirm, "a bigint, b bigint"), "links")

@@ -53,7 +53,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes(kept, starts, np.diff(starts, append=len(kept))), n
 
 
-def _rolling(h: np.ndarray, n: int, mult: np.uint64) -> np.ndarray:
+def rolling(h: np.ndarray, n: int, mult: np.uint64) -> np.ndarray:
     """Mixed polynomial hash of every n consecutive values."""
     m = len(h) - n + 1
     if m <= 0:
@@ -83,7 +83,7 @@ class Batch:
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """(place in the batch, hash) of each anchor of documents long enough to hold a window."""
         size = self.window - PERIOD + 1
-        h = _rolling(self.h, size, _M1)
+        h = rolling(self.h, size, _M1)
         at = np.flatnonzero((self.left[: len(h)] >= size) & (self.n[self.doc[: len(h)]] >= self.window) & np.isin(self.pos[: len(h)] % PERIOD, COVER))
         return at, h[at]
 
@@ -114,8 +114,8 @@ class Batch:
 
     def keys(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """96-bit keys of the windows at the given places."""
-        k2 = _rolling(self.h ^ self.h >> np.uint64(17), self.window, _M2)[starts] >> np.uint64(32)
-        return _rolling(self.h, self.window, _M1)[starts].view(np.int64), k2.astype(np.int64)
+        k2 = rolling(self.h ^ self.h >> np.uint64(17), self.window, _M2)[starts] >> np.uint64(32)
+        return rolling(self.h, self.window, _M1)[starts].view(np.int64), k2.astype(np.int64)
 
     def first_in_doc(self, starts: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
         """Whether each start is the first of its key in its own document."""
